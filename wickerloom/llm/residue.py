@@ -1,0 +1,419 @@
+"""Texts that hold template residue, filler, error pages or script notices instead of content.
+
+Labelled exemplars are kept in an inverted index from term to exemplar. Passages of a text retrieve the exemplars that
+share their rarer terms; a passage's terms are covered where it holds an exemplar's share of TF-IDF weight, or an
+exemplar holds the passage's. Unfilled fields are one term each, whatever their syntax and name. A text is excluded if
+a field is left in it, or if exemplars cover most of its body's weight.
+"""
+
+from __future__ import annotations
+
+import html
+import math
+import re
+import unicodedata
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Labelled exemplars.
+FILLER = """
+lorem ipsum dolor sit amet consectetur adipiscing elit
+your text here
+your headline
+your content goes here
+sample text for layout only
+sample text
+this is a placeholder paragraph
+placeholder text
+placeholder
+description goes here
+description coming soon
+content coming soon
+coming soon
+content pending
+enter product description
+enter your text
+body copy to follow
+copy to follow
+insert copy
+insert text here
+insert image here
+replace this text before publishing
+dummy entry do not use
+dummy text
+blah blah blah
+asdf asdf jkl
+test test #
+testing testing
+heading # subheading text block
+text block
+tbd
+todo
+n/a
+xxx
+dies ist ein blindtext
+blindtext
+hier steht ihr text
+beschreibung folgt
+platzhalter für den inhalt
+platzhaltertext
+votre texte ici
+description à venir
+texte de remplissage
+contenu provisoire
+texte provisoire
+texto de ejemplo
+escriba su texto aquí
+contenido pendiente
+descripción pendiente
+texto de relleno
+"""
+ERROR = """
+# not found
+page not found
+the page you requested could not be found
+oops we can't find that page
+# internal server error
+internal server error
+# bad gateway
+# forbidden
+# service unavailable
+http error #
+the service is unavailable
+service temporarily unavailable
+access denied
+you do not have permission to view this item
+an unexpected error occurred code #
+an error has occurred
+something went wrong on our end
+something went wrong
+try again later
+please try again later
+request timed out while contacting the upstream server
+gateway timeout
+connection timed out
+database connection failed
+error establishing a database connection
+too many requests
+slow down and retry
+your session has expired
+please sign in again
+we are down for maintenance and will be back shortly
+site under maintenance
+this listing is no longer available
+this page is no longer available
+sorry this content cannot be displayed in your area
+this content is not available in your region
+confirm that you are not a robot to continue
+verify you are human
+traceback template rendering failed at line #
+traceback most recent call last
+seite nicht gefunden
+zugriff verweigert
+ihre sitzung ist abgelaufen
+ein fehler ist aufgetreten
+interner serverfehler
+der dienst ist zurzeit nicht verfügbar
+page introuvable
+accès refusé
+votre session a expiré
+une erreur est survenue
+le service est momentanément indisponible
+página no encontrada
+acceso denegado
+su sesión ha caducado
+se ha producido un error
+el servicio no está disponible en este momento
+"""
+SCRIPT = """
+please enable javascript to view this page
+javascript is disabled in your browser
+this site requires javascript and cookies
+you need to turn on scripts to use this shop
+your browser does not run scripts so the product cannot be shown
+your browser does not support javascript
+scripts are blocked
+allow them and reload
+loading
+if nothing happens check that scripting is allowed
+we're sorry but this app doesn't work properly without javascript enabled
+please enable it to continue
+you need to enable javascript to run this app
+noscript interactive catalogue not available
+enable js and disable any ad blocker
+please enable cookies
+bitte aktivieren sie javascript um diese seite anzuzeigen
+ihr browser unterstützt keine skripte
+veuillez activer javascript pour afficher cette page
+votre navigateur ne gère pas les scripts
+active javascript para ver esta página
+su navegador no admite scripts
+"""
+#: What stands around a page's body: neither content nor residue.
+FURNITURE = """
+menu cart # sign in
+search our store
+cookie settings
+accept all cookies
+back to homepage
+go back contact us
+all rights reserved
+reference id #
+skip to content
+sign in
+contact us
+privacy policy
+terms of use
+"""
+#: Words of invented filler prose, of which a passage may hold any in any order.
+PSEUDO_LATIN = """
+lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud
+exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur
+excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim est laborum
+alvea calidae comvel dranum elvius milanum morbex nocte paravel penum quorit rustica sitran temporis urtica vestra
+"""
+#: Names that templates give to the fields of a shop's pages.
+FIELD_NAMES = """
+amount attribute attributes brand category code colour color company count currency customer date days description discount email feature features
+headline image item link list manufacturer model name no num number order page price product qty quantity rating review series size sku spec
+specs stock store tage text title type unit url user value vendor weight year first_name last_name firstname lastname
+"""
+#: Followed by these, the word is language and no missing value.
+NO_VALUE_CONTEXT = {
+    "null": "modem pointer hypothesis and result set character byte terminator problem probleme problemo fehler komma device value",
+    "undefined": "behaviour behavior term terms variable reference in at",
+    "nan": "bread naan",
+}
+
+_NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+)*(?:\[\d+\])?"
+_TAG = re.compile(r"</?(?:a|abbr|article|b|blockquote|body|br|center|code|dd|div|dl|dt|em|font|footer|h[1-6]|head|header|hr|html|i|img|input|label|li|link|main|meta|nav|ol|option|p|pre|script|section|select|small|span|strong|style|sub|sup|table|tbody|td|tfoot|th|thead|title|tr|u|ul)(?:\s+[a-zA-Z\-:]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>\"']+))*\s*/?>", re.I)
+#: Syntaxes that stand for a field whatever its name.
+_ANY_FIELD = re.compile(
+    r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|<%[^%\n]{0,80}%>|<\?(?:php|=)[^?\n]{0,80}\?>|<!--\s*#[^\n]{0,80}?-->"
+    r"|[$#]\{[^{}\n]{0,60}\}|\$\([A-Za-z_][\w.]*\)|\$\[[A-Za-z_][\w.\[\]]*\]|\{![A-Za-z_][\w.\[\]]*\}|\{\d?\}"
+    r"|%\([A-Za-z_][\w.\[\]]*\)[sdif]|(?<![\w%])%(?:\d\$)?[sdif](?![\w%])|\[\[[A-Za-z_][^\[\]\n]{0,40}(?:\[\d+\])?\]\]|\*\|[A-Za-z_][^|\n]{0,40}\|\*|@@[A-Za-z_][\w.\[\]]*@@|(?<!\w)@Model\.\w+"
+    r"|\[INSERT [^\[\]\n]{1,40}\]|\[gallery ids=[^\]]*\]|\(your [A-Za-z_][\w.\[\]]* here\)|_{6,}|\[object \w+\]|#(?:REF!|N/A(?!\w)|VALUE!|NAME\?|DIV/0!|NULL!|NUM!)|(?<!\w)insert-image-here(?!\w)",
+    re.I,
+)
+#: Syntaxes that stand for a field if its name is a field's.
+_NAMED_FIELD = re.compile(
+    rf"<<({_NAME})>>|<({_NAME})>|«({_NAME})»|\[({_NAME})\]|\{{({_NAME})\}}|%({_NAME})%|\$({_NAME})\$|~({_NAME})~|__([A-Za-z][A-Za-z0-9.\[\]]*(?:_[A-Za-z0-9.\[\]]+)*)__"
+)
+_PRINTED = re.compile(r"(?<![\w/.-])(null|undefined|nan|TODO|[Xx]{4,})(?![\w/-])", re.I)
+_FIELD = "\u0001"
+_TERM = re.compile(r"\u0001|[^\W\d_]+(?:['’][^\W\d_]+)*|n/a|\d[\w-]*")
+_PASSAGE = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[.!?…]['\")\]])\s+")
+
+LABELS = ("template", "filler", "error", "script")
+#: Share of the weight that makes a match, and share of the body's weight that makes a case.
+MATCH, COVERED = 0.75, 0.7
+#: Slots of the document frequencies; terms share a slot by hash, so the table is the same size for any corpus.
+SLOTS = 1 << 16
+
+
+def slot(term: str) -> int:
+    import xxhash
+
+    return xxhash.xxh32_intdigest(term) % SLOTS
+
+
+@lru_cache(maxsize=1)
+def _field_names() -> frozenset[str]:
+    return frozenset(FIELD_NAMES.split())
+
+
+def _is_field(name: str) -> bool:
+    base = re.sub(r"\[\d+\]$", "", name)
+    parts = [p for p in re.split(r"[ _.\-]+|(?<=[a-z])(?=[A-Z])", base) if p and not p.isdigit()]
+    words = [p.lower() for p in parts]
+    names = _field_names()
+    if not words or len(base) < 3:
+        return False
+    if words[0] in ("your", "insert", "enter") and len(words) > 1:
+        return True
+    known = [w in names or (w.endswith("name") and len(w) > 4) or w in ("first", "last", "main", "full", "old", "new", "total") for w in words]
+    return all(known) and any(w in names or w.endswith("name") for w in words) or (base.isupper() and "_" in base and any(known)) or base.lower() in ("producttype", "brandname", "productname", "listprice", "itemtype", "modelno")
+
+
+def fields(text: str) -> list[tuple[int, int]]:
+    """Offsets of the unfilled fields and of values that a template printed for want of one."""
+    found = [m.span() for m in _ANY_FIELD.finditer(text)]
+    for m in _NAMED_FIELD.finditer(text):
+        name = next(g for g in m.groups() if g is not None)
+        bare = m.group(2) is not None
+        if _is_field(name) and not (bare and _TAG.fullmatch(m.group())) and not (bare and name.lower() in ("first", "last")):
+            found.append(m.span())
+    if _PRINTED.search(text):
+        cased = re.sub(r"[^A-Za-z]", "", text)
+        one_case = cased.isupper() or cased.islower()
+        for m in _PRINTED.finditer(text):
+            w = m.group(1)
+            after = re.match(r"\s+([^\W\d_]+)", text[m.end() :])
+            if after and after.group(1).lower() in NO_VALUE_CONTEXT.get(w.lower(), "").split():
+                continue
+            # an acronym or a foreign word is told by its case: NaN, TODO and XXXX; a text in one case has lost it
+            if w.lower() == "nan" and w != "NaN" and not one_case:
+                continue
+            if w.lower() == "todo" and (w != "TODO" or one_case):
+                continue
+            if w.lower().startswith("x") and not (w.isupper() or one_case):
+                continue
+            found.append(m.span())
+    return sorted(found)
+
+
+def prepare(text: str) -> str:
+    """Entities, compatibility forms and marks of no width resolved; markup removed; breaks kept."""
+    t = html.unescape(text)
+    t = unicodedata.normalize("NFKC", t)
+    t = "".join(c for c in t if c in "\n\t" or unicodedata.category(c) not in ("Cf", "Cc"))
+    return _TAG.sub(lambda m: "\n" if re.match(r"</?(?:p|br|div|li|h\d|tr|ul|ol|table|section)", m.group(), re.I) else " ", t)
+
+
+def terms(passage: str) -> list[str]:
+    return ["#" if t[0].isdigit() else t for t in _TERM.findall(passage.lower().replace("’", "'"))]
+
+
+class Exemplars:
+    """The labelled exemplars and their inverted index under given document frequencies."""
+
+    def __init__(self, frequency: dict[int, int], documents: int) -> None:
+        self.frequency, self.documents = frequency, max(1, documents)
+        self.items: list[tuple[str, dict[str, float]]] = []
+        self.postings: dict[str, list[int]] = defaultdict(list)
+        for label, block in (("filler", FILLER), ("error", ERROR), ("script", SCRIPT), ("furniture", FURNITURE)):
+            for line in block.strip().splitlines():
+                # of a phrase that repeats one term, one is enough
+                self.items.append((label, {t: self.idf(t) for t in terms(line)}))
+        for k, (_, vector) in enumerate(self.items):
+            # a match shares half of the exemplar's weight at least, so it holds one of its heaviest terms that make up more
+            held, half = 0.0, sum(vector.values()) / 2
+            for t in sorted(vector, key=lambda t: (-vector[t], t)):
+                self.postings[t].append(k)
+                held += vector[t]
+                if held > half:
+                    break
+        self.prose = frozenset(terms(PSEUDO_LATIN))
+
+    @lru_cache(maxsize=200_000)  # noqa: B019
+    def idf(self, term: str) -> float:
+        return 1.0 + math.log((1 + self.documents) / (1 + self.frequency.get(slot(term), 0)))
+
+    def cover(self, passage: list[str]) -> dict[int, str]:
+        """Place of a covered term in the passage -> label of the exemplar that covers it."""
+        there = set(passage)
+        near = {k for t in there for k in self.postings.get(t, ())}
+        scores = {k: sum(w for t, w in self.items[k][1].items() if t in there) for k in near}
+        whole = sum(self.idf(t) for t in there) if near else 0.0
+        out: dict[int, str] = {}
+        for k, shared in sorted(scores.items(), key=lambda x: (-x[1], x[0])):
+            label, vector = self.items[k]
+            size = sum(vector.values())
+            # the exemplar stands in the passage, or the passage is most of what the exemplar says
+            if shared >= MATCH * size or (shared >= MATCH * whole and shared >= 0.5 * size):
+                for place, t in enumerate(passage):
+                    if t in vector:
+                        out.setdefault(place, label)
+        latin = [p for p, t in enumerate(passage) if t in self.prose]
+        if len(latin) >= max(3, MATCH * len(passage)):
+            out |= {p: "filler" for p in latin}
+        return out
+
+
+_TITLE = re.compile(r"^(?:title|product|item|page)\s*:", re.I)
+
+
+def judge(text: str | None, exemplars: Exemplars) -> tuple[str | None, float, str | None]:
+    """(label or None, covered share of the body, evidence)."""
+    if not text or not text.strip():
+        return None, 0.0, None
+    raw = html.unescape(text)
+    if spans := fields(raw):
+        a, z = spans[0]
+        return "template", 1.0, raw[a:z][:80]
+    passages = []
+    for line in prepare(text).split("\n"):
+        line = line.strip()
+        for passage in _PASSAGE.split(line) if line else ():
+            if words := terms(passage):
+                passages.append((line, passage, words, exemplars.cover(words)))
+    if not any(label != "furniture" for p in passages for label in p[3].values()):
+        return None, 0.0, None
+    weights: dict[str, float] = defaultdict(float)
+    body, evidence, titles = 0.0, None, 0
+    for line, passage, words, covered in passages:
+        total = sum(exemplars.idf(w) for w in words)
+        by: dict[str, float] = defaultdict(float)
+        for p, label in covered.items():
+            by[label] += exemplars.idf(words[p])
+        residue = [label for label in by if label != "furniture"]
+        if not residue:
+            if by["furniture"] >= 0.6 * total:
+                continue
+            crumbs = line.count(">") >= 2 and len(words) <= 12
+            # a page's title: a few words without a sentence's end
+            title = _TITLE.match(line) or (len(words) <= 5 and not re.search(r"[.!?,;]", line))
+            if (crumbs or title) and titles < 3:
+                titles += 1
+                continue
+        body += total
+        for label, w in by.items():
+            weights[label] += w
+        if evidence is None and residue:
+            evidence = passage[:80]
+    found = {k: w for k, w in weights.items() if k != "furniture"}
+    share = sum(found.values()) / body if body else 0.0
+    if share >= COVERED:
+        return max(sorted(found), key=lambda k: found[k]), share, evidence
+    return None, share, None
+
+
+def document_frequencies(documents: DataFrame, text: str = "text") -> tuple[dict[int, int], int]:
+    """Documents by slot of their terms, over all documents, and the number of documents; SLOTS rows at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        slots = lru_cache(maxsize=500_000)(slot)
+        n, docs = np.zeros(SLOTS + 1, np.int64), 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                docs += 1
+                if t:
+                    n[list({slots(w) for w in terms(t)})] += 1
+        n[SLOTS] = docs
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], ["slot", "n"])
+
+    rows = documents.select(text).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    table = {r.slot: r.n for r in rows}
+    return table, table.pop(SLOTS, 0)
+
+
+def find_residue(documents: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
+    """(item, label, coverage, evidence) of every document; label is null for a clean one.
+
+    label: template (an unfilled field, or a value printed for want of one, anywhere), filler, error or script (the
+    body, without page titles and menus, is of that kind). A text that speaks of such things or ends in such a notice
+    is clean, and so is one that is null or blank. Whole texts are read and frequencies counted over all documents;
+    repeated rows are judged alike. An empty table gives no rows.
+    """
+    frequency, n = document_frequencies(documents, text)
+    shared = documents.sparkSession.sparkContext.broadcast((frequency, n))
+    kind = documents.schema[item]
+    schema = T.StructType([kind, T.StructField("label", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("evidence", T.StringType())])
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exemplars = Exemplars(*shared.value)
+        for b in batches:
+            got = [judge(t, exemplars) for t in b.column(1).to_pylist()]
+            columns = [*zip(*got)] or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())], [item, "label", "coverage", "evidence"])
+
+    return documents.select(item, text).mapInArrow(label, schema)
