@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from wickerloom.plans.heavy import HEAVY
+from wickerloom.plans.profiles import PROFILES
 from wickerloom.plans.registry import Query
+from wickerloom.plans.splits import SPLITS
+from wickerloom.plans.texts import TEXTS
+from wickerloom.plans.vectors import VECTORS
 
-REGISTRIES = [HEAVY]
+REGISTRIES = [HEAVY, PROFILES, SPLITS, TEXTS, VECTORS]
 
 
 def all_queries() -> dict[str, Query]:
