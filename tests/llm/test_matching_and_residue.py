@@ -1,0 +1,98 @@
+"""Listings of one product and texts without content, on listings and texts of every dirty kind."""
+
+import pytest
+
+from wickerloom.llm.listings import one_edit, plain, read_listing
+from wickerloom.llm.matching import correlate, group_pairs, product_groups
+from wickerloom.llm.residue import find_residue
+
+LISTING = "item_index int, title string, features array<string>, description string, categories array<string>, group int, series string"
+
+
+def listings(spark, rows):
+    return spark.createDataFrame([(i, t, f, d, c, 0, "") for i, t, f, d, c in rows], LISTING)
+
+
+def groups(spark, rows):
+    return {r.item_index: r.group for r in product_groups(listings(spark, rows)).collect()}
+
+
+def test_statements_in_any_wording():
+    a = read_listing("Kelmor - Vantaro 150 Mk2 - 3.3 ft - 65 watts - set of 4 - USB-C cable - BLK", None, None)
+    b = read_listing("USB-C cable ＶＡＮＴＡＲＯ-１５０ (generation 2)", ["Comes as 1 m", "Power: 65W", "(4 count) pack", "Colour: jet black", None, "Brand: Kelmor"], "It is the 65 W version.")
+    assert (a.series, a.number, b.brand) == ("vantaro", 150, "kelmor") and (b.series, b.number) == ("vantaro", 150)
+    assert a.properties["generation"] == b.properties["generation"] == [2.0]
+    assert a.properties["pack"] == b.properties["pack"] and a.properties["colour"] == b.properties["colour"] == ["black"]
+    assert abs(a.properties["length"][0] - b.properties["length"][0]) < 2
+    assert read_listing("Vantaro 150 dock 8 potrs wite", [], "Note the 11.8 fl oz: volume as stated by the maker.").properties == {"ports": [8.0], "colour": ["white"], "volume": [348.967]}
+    assert read_listing("Vantaro150 mouse #AB1234C", [], None).code == read_listing("Vantaro 150", ["MPN ab-1234c"], None).code == "ab1234c"
+    assert read_listing(None, None, None).series == "" and plain("A&amp;B™  ﬁne") == "a&b fine"
+
+
+@pytest.mark.parametrize("a, b, want", [("abcd", "abcd", True), ("abcd", "abd", True), ("abcd", "abdc", True), ("abcd", "xbcd", True), ("abcd", "abcde", True), ("abcd", "badc", False), ("abcd", "abxy", False), ("", "a", True), ("abc", "cab", False)])
+def test_one_edit(a, b, want):
+    assert one_edit(a, b) == one_edit(b, a) == want
+
+
+def test_products_are_grouped_across_wording_and_misspelling(spark):
+    c = ["Electronics", "Cables"]
+    rows = [
+        (1, "Kelmor Vantaro 150 cable 1 m black", ["Brand: Kelmor"], None, c),
+        (2, "BLK | Vantarro-150 | 3.3 ft", None, "Brand: Kelmor", None),
+        (3, "Vnataro 150 cable by Kel-mor 100 cm", [None, ""], "", c),
+        (4, "Kelmor Vantaro 150 cable 2 m black", ["Made by Kelmor"], None, c),
+        (5, "Kelmor Vantaro 150 v2 cable 1 m black", [], None, c),
+        (6, "Kelmor Vantaro 250 cable 1 m black", [], None, c),
+        (7, None, None, None, None), (8, None, None, None, None), (9, "", [], "x" * 100_000, []),
+        (10, "Kelmor Vantaro 150 cable 1 m black", ["Brand: Kelmor"], None, c),
+    ]
+    got = groups(spark, rows)
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, 10: 1}
+    pairs = {(r.item_a, r.item_b) for r in group_pairs(product_groups(listings(spark, rows))).collect()}
+    assert pairs == {(1, 2), (1, 3), (1, 10), (2, 3), (2, 10), (3, 10)}
+
+
+def test_many_copies_and_an_empty_catalogue(spark):
+    rows = [(k, f"Zubrin Kalvero {70 if k % 2 else 90} mug 350 ml", None, None, None) for k in range(400)]
+    assert groups(spark, rows) == {k: k % 2 for k in range(400)}
+    assert groups(spark, []) == {}
+
+
+def test_misspelt_series_meet_in_wide_windows(spark):
+    names = [a + b + c for a in ("bal", "dor", "fen", "guk") for b in ("mir", "nor", "pel") for c in ("ta", "vin", "zor")]
+    rows = [(k, f"{n} 40 lamp", None, None, None) for k, n in enumerate(names)]
+    rows += [(1000 + k, f"{n[:4]}{n[5]}{n[4]}{n[6:]} 40 lamp", None, None, None) for k, n in enumerate(names)]
+    got = groups(spark, rows)
+    assert all(got[1000 + k] == k for k in range(len(names)))
+
+
+def test_clusters_hold_no_contradiction():
+    s = [(1, "ab1a", "", {"colour": "black"}), (2, "ab1b", "", {"colour": "red"}), (3, "", "", {"colour": "red", "pack": 2.0}), (4, "ab1a", "", {}), (5, "", "", {"pack": 3.0, "colour": "red"})]
+    got = correlate(s)
+    assert got[1] == got[4] != got[2] == got[3] != got[5] and got[5] != got[2]
+
+
+REAL = "The lid held up well and the cable is long enough. I would buy it again for the kitchen. It took four minutes to set up."
+CASES = [
+    ("Dear {{first_name}}, thanks.", "template"), ("Only <%= price %> dollars", "template"), ("It costs undefined dollars today.", "template"), (REAL + " The [object Object] is fine.", "template"), ("For &lt;PRICE&gt; euros", "template"),
+    ("Weighs %1$s here", "template"), ("Week ________ it broke", "template"), ("Le modèle XXXX tient bien.", "template"), ("[INSERT COUNT HERE] units", "template"), ("The __list_price__ is low", "template"), ("Hello *|NAME|*", "template"),
+    ("Home > Shop > dock\n404 Not Found\nBack to homepage", "error"), ("Title: Vantaro Kelmor\nAn unexpected error occurred (code 217).\n© all rights reserved", "error"), ("Zugriff verweigert.", "error"), ("ACCESS DENIED. YOU DO NOT HAVE PERMISSION TO VIEW THIS ITEM.", "error"),
+    ("Please enable JavaScript to view this page.", "script"), ("Menu  Cart (0)  Sign in\nScripts are blocked. Allow them and reload.", "script"),
+    ("Lorem ipsum dolor sit amet. Consectetur adipiscing elit.", "filler"), ("Your text here. Your text here.", "filler"), ("TBD", "filler"), ("n/a n/a n/a", "filler"),
+    (REAL, None), (REAL + " Error loading related products.", None), (REAL + " The router page shows '404 Not Found' when I open the setup link.", None), (REAL + " It needs a null modem adapter.", None), ("Undefined behaviour: both LEDs blink at once. " + REAL, None),
+    ("Slots are marked [A], [B] and [C]. Press [Enter]. The keys type { and } too.", None), ("Names are <first> <last>, odd but harmless.", None), ("Save 20% now, 100% happy, $4.50 [with coupon], now $3.", None), ("A blank line ____ for the signature.", None),
+    ('My config is {"mode": "eco", "level": 3}.', None), ("Warning label #169: XX-188 is the model.", None), ("Todo el mundo lo usa.", None), (None, None), ("  \n ", None), ("Works great", None), ("<p>Good cable.</p><p>Long one.</p>", None),
+]
+
+
+def test_residue_is_told_from_texts_that_speak_of_it(spark):
+    df = spark.createDataFrame([(k, t, "x") for k, (t, _) in enumerate(CASES)], "doc_id long, text string, label string")
+    got = {r.doc_id: r.label for r in find_residue(df).collect()}
+    assert {CASES[k][0]: v for k, v in got.items() if v != CASES[k][1]} == {}
+    assert len(got) == len(CASES) and find_residue(df.filter("false")).collect() == []
+
+
+def test_long_and_repeated_texts(spark):
+    long = (REAL + "\n") * 3000
+    df = spark.createDataFrame([(1, long), (2, long + " {{price}}"), (3, "404 Not Found"), (3, "404 Not Found")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.label or "") for r in find_residue(df).collect()) == [(1, ""), (2, "template"), (3, "error"), (3, "error")]

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerloom.llm.listings import letters, one_edit, read_listing, same_value
+from wickerloom.llm.listings import letters, one_edit, plain, read_listing, same_value
 from wickerloom.session import materialise
 
 #: The most brand names that are learned; it bounds what the driver and each task hold.
 MAX_BRANDS = 200_000
 
 _READ = T.StructType(
-    [T.StructField(n, t) for n, t in (("item_index", T.IntegerType()), ("series", T.StringType()), ("number", T.IntegerType()), ("brand", T.StringType()), ("words", T.StringType()), ("code", T.StringType()), ("stated", T.StringType()))]
+    [T.StructField(n, t) for n, t in (("item_index", T.IntegerType()), ("series", T.StringType()), ("number", T.IntegerType()), ("brand", T.StringType()), ("words", T.StringType()), ("code", T.StringType()), ("category", T.StringType()), ("stated", T.StringType()))]
 )
 
 
@@ -34,16 +34,19 @@ def _statements(catalogue: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for item, title, features, description in zip(*(c.to_pylist() for c in b.columns)):
+            for item, title, features, description, categories in zip(*(c.to_pylist() for c in b.columns)):
                 x = read_listing(title, features, description)
                 # without a series the title's words stand for it, in alphabetical order
                 series = x.series or " ".join(sorted(set(x.words))) or f"#{item}"
+                # the first member is too wide to tell products apart
+                path = [plain(c) for c in categories or [] if c and c.strip()]
+                category = path[-1] if len(path) > 1 else ""
                 # a listing's first statement of a property counts; titles come first
                 stated = {k: v[0] for k, v in sorted(x.properties.items())}
-                rows.append((item, series, x.number, x.brand, " ".join(x.words), x.code, json.dumps(stated)))
+                rows.append((item, series, x.number, x.brand, " ".join(x.words), x.code, category, json.dumps(stated)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return catalogue.filter("item_index is not null").select(F.col("item_index").cast("int").alias("item_index"), "title", "features", "description").mapInArrow(read, _READ)
+    return catalogue.filter("item_index is not null").select(F.col("item_index").cast("int").alias("item_index"), "title", "features", "description", "categories").mapInArrow(read, _READ)
 
 
 def _with_brands(read: DataFrame, least: int = 2) -> DataFrame:
@@ -97,7 +100,7 @@ def _window_links(nodes: DataFrame, key, width: int) -> DataFrame:
         window: list[tuple] = []
         for b in batches:
             left, right = [], []
-            for row in zip(*(b.column(c).to_pylist() for c in ("home", "own", "node", "series", "number", "brand", "base"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("home", "own", "node", "series", "number", "brand", "base", "category"))):
                 if window and window[-1][0] != row[0]:
                     window = []
                 for other in window:
@@ -111,9 +114,9 @@ def _window_links(nodes: DataFrame, key, width: int) -> DataFrame:
 
 
 def _aligned(x: tuple, y: tuple) -> bool:
-    """Soft alignment of (series, number, brand, code base); what is empty doesn't separate."""
-    (series, number, brand, base), (series2, number2, brand2, base2) = x, y
-    if number != number2 or (brand and brand2 and not one_edit(brand, brand2)):
+    """Soft alignment of (series, number, brand, code base, category); what is empty doesn't separate."""
+    (series, number, brand, base, category), (series2, number2, brand2, base2, category2) = x, y
+    if number != number2 or (category and category2 and category != category2) or (brand and brand2 and not one_edit(brand, brand2)):
         return False
     if base and base2 and base != base2:
         return False
@@ -191,7 +194,7 @@ def product_groups(catalogue: DataFrame, width: int = 20) -> DataFrame:
     said = materialise(_with_brands(read), "branded")
     # a node is a spelling of a series with its number; exact equality of spellings needs no window
     base = F.when(F.col("code") != "", F.expr("left(code, length(code) - 1)"))
-    names = said.groupBy("series", "number").agg(F.min("item_index").cast("long").alias("node"), F.max("brand").alias("brand"), F.coalesce(F.max(base), F.lit("")).alias("base"))
+    names = said.groupBy("series", "number").agg(F.min("item_index").cast("long").alias("node"), F.max("brand").alias("brand"), F.max("category").alias("category"), F.coalesce(F.max(base), F.lit("")).alias("base"))
     nodes = materialise(names, "series")
     keys = [
         F.concat_ws("|", "series", "number"),

@@ -289,8 +289,8 @@ class Exemplars:
         self.postings: dict[str, list[int]] = defaultdict(list)
         for label, block in (("filler", FILLER), ("error", ERROR), ("script", SCRIPT), ("furniture", FURNITURE)):
             for line in block.strip().splitlines():
-                # of a phrase that repeats one term, one is enough
-                self.items.append((label, {t: self.idf(t) for t in terms(line)}))
+                # of a phrase that repeats one term, one is enough; # stands for any number
+                self.items.append((label, {t: self.idf(t) for t in terms(line.replace("#", "0"))}))
         for k, (_, vector) in enumerate(self.items):
             # a match shares half of the exemplar's weight at least, so it holds one of its heaviest terms that make up more
             held, half = 0.0, sum(vector.values()) / 2
