@@ -105,3 +105,19 @@ def above_thresholds(df: DataFrame, length: Column, thresholds: Sequence[int]) -
     one = df.select(length.alias("l")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("l") > t).alias(f"t{t}") for t in thresholds))
     pairs = ", ".join(f"{t}, t{t}" for t in thresholds)
     return one.select("n", F.expr(f"stack({len(thresholds)}, {pairs}) as (threshold, n_above)")).select("threshold", "n_above", F.round(F.col("n_above") / F.col("n"), 6).alias("ratio"))
+
+
+def ordered_fingerprint(df: DataFrame, index: str, line: Column, fan: int = 1000) -> DataFrame:
+    """One row: SHA-256 over the rows in the order of their index, from 0 and unique, as a tree of `fan` entries a node.
+
+    A node's text is bounded by fan, so no task holds all rows. An empty table has no fingerprint.
+    """
+    level = df.select(F.col(index).cast("long").alias("i"), line.alias("h"))
+    top = df.agg(F.max(index)).first()[0] or 0
+    depth = 1
+    while top >= fan**depth:
+        depth += 1
+    for _ in range(depth):
+        node = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda e: e["h"]), "")
+        level = level.groupBy(F.floor(F.col("i") / fan).alias("i")).agg(F.sha2(node, 256).alias("h"))
+    return level.select(F.col("h").alias("fingerprint"))

@@ -93,6 +93,16 @@ def _block_topk(spark, block: pa.Table, vectors: DataFrame, k: int) -> DataFrame
     return rows.mapInArrow(search, "query_id long, vec_id long, score double")
 
 
+def topk_per_candidate(queries: DataFrame, candidates: DataFrame, vectors: DataFrame, group: str, k: int) -> DataFrame:
+    """(query_id, group, rank, vec_id, score): of each query's candidate groups, the k best vectors of each.
+
+    candidates: distinct (query_id, group). Only vectors of a query's own candidates are scored.
+    """
+    pairs = candidates.join(vectors.select(group, "vec_id", "embedding"), group).join(queries.select("query_id", F.col("embedding").alias("__q")), "query_id")
+    scored = pairs.select("query_id", group, "vec_id", dot(F.col("__q"), F.col("embedding")).alias("score"))
+    return top_per_group(scored, ["query_id", group], [F.desc("score"), F.col("vec_id")], k).select("query_id", group, "rank", "vec_id", "score")
+
+
 def mean_vectors(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """(key, profile, n): the element-wise mean of each key's vectors at length 1; partial sums are made before the shuffle."""
     sums = rows.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))

@@ -132,12 +132,11 @@ def scan_statistics(spark, sf_dir):
 
 
 @query("agg_22_fingerprint", """
-SELECT sha256(string_agg(item_index || chr(9) || parent_asin || chr(10), '' ORDER BY item_index)) AS fingerprint, count(*) AS n FROM product_catalog""")
+WITH l1 AS (SELECT item_index // 1000 AS b, sha256(string_agg(item_index || chr(9) || parent_asin || chr(10), '' ORDER BY item_index)) AS h FROM product_catalog GROUP BY 1)
+SELECT CASE WHEN max(b) = 0 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS fingerprint FROM l1""")
 def fingerprint(spark, sf_dir):
-    # the definition hashes one text of all rows in order, so it is for dimension tables
     line = F.concat(F.col("item_index").cast("string"), F.lit("\t"), "parent_asin", F.lit("\n"))
-    rows = F.array_sort(F.collect_list(F.struct("item_index", line.alias("l"))))
-    return table(spark, sf_dir, "product_catalog").agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["l"]), ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    return P.ordered_fingerprint(table(spark, sf_dir, "product_catalog"), "item_index", line)
 
 
 @query("flt_11_length_bands", """

@@ -159,8 +159,8 @@ def multi_relevant(spark, sf_dir):
     split, train = _train(spark, sf_dir)
     top = materialise(R.popularity(train), "pop").filter("pop_rank <= 20").select(F.col("pop_rank").alias("rank"), "item")
     truth = split.filter("split in ('valid', 'test')").select("user", "item")
-    # one list for everybody; its 20 rows join the truth's users as a broadcast of fixed size
-    ranking = truth.select("user").distinct().join(F.broadcast(top), F.lit(True))
+    # one list for everybody: of it, only the places of a user's own relevant items matter
+    ranking = truth.join(top, "item")
     return R.rank_metrics(ranking, truth, [20])
 
 
@@ -267,9 +267,9 @@ def permutation(spark, sf_dir):
 def reconstruction(spark, sf_dir):
     s, pos = _split(spark, sf_dir), materialise(I.positives(reviews(spark, sf_dir)), "positives")
     parts = s.filter("split = 'train'").unionByName(s.filter("split = 'valid'")).unionByName(s.filter("split = 'test'")).select("user", "item", "ts")
-    lost, added = pos.exceptAll(parts).agg(F.count(F.lit(1)).alias("lost")), parts.exceptAll(pos).agg(F.count(F.lit(1)).alias("added"))
-    # two tables of one row each
-    return lost.select(F.col("lost").cast("int")).join(F.broadcast(added.select(F.col("added").cast("int"))), F.lit(True))
+    one, none = F.lit(1), F.lit(0)
+    differences = pos.exceptAll(parts).select(one.alias("lost"), none.alias("added")).unionByName(parts.exceptAll(pos).select(none.alias("lost"), one.alias("added")))
+    return differences.agg(F.coalesce(F.sum("lost"), none).cast("int").alias("lost"), F.coalesce(F.sum("added"), none).cast("int").alias("added"))
 
 
 @query("dq_05_split_order", SPLIT + """

@@ -55,13 +55,14 @@ def self_search(spark, sf_dir):
     return first.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("query_id") == F.col("vec_id")).alias("found"))
 
 
-@query("vec_05_top3_per_label", TOPK.format("") + """, p AS (SELECT query_id, label, vec_id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS place FROM s)
-SELECT query_id, label, place AS rank, vec_id, round(score, 6) AS score FROM p WHERE place <= 3""")
-def top3_per_label(spark, sf_dir):
+@query("vec_05_top3_per_candidate", TOPK.format("") + f""", c AS (SELECT DISTINCT query_id, label FROM r WHERE rank <= {K}),
+p AS (SELECT query_id, label, vec_id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s SEMI JOIN c USING (query_id, label))
+SELECT query_id, label, rank, vec_id, round(score, 6) AS score FROM p WHERE rank <= 3""")
+def top3_per_candidate(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    # the stated query set is broadcast only where Spark has its size below the limit; scores are cut to 3 a label before the shuffle
-    scored = e.join(_queries(spark, sf_dir).withColumnRenamed("embedding", "q"), F.lit(True)).select("query_id", "label", "vec_id", V.dot(F.col("q"), F.col("embedding")).alias("score"))
-    return R.top_per_group(scored, ["query_id", "label"], [F.desc("score"), F.col("vec_id")], 3).select("query_id", "label", "rank", "vec_id", F.round("score", 6).alias("score"))
+    queries = _queries(spark, sf_dir)
+    candidates = V.vector_topk(queries, e, K).join(e.select("vec_id", "label"), "vec_id").select("query_id", "label").distinct()
+    return V.topk_per_candidate(queries, candidates, e, "label", 3).withColumn("score", F.round("score", 6))
 
 
 @query("vec_07_neighbour_purity", TOPK.format("") + f"""SELECT query_id, round(avg(CASE WHEN r.label = o.label THEN 1.0 ELSE 0.0 END), 6) AS purity
