@@ -50,6 +50,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, for costly work on rows of a small table; a larger one is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what materialise wrote; results that still read it become unreadable."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/wickerloom")
