@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickerloom.session import spread
+
 # Labelled exemplars.
 FILLER = """
 lorem ipsum dolor sit amet consectetur adipiscing elit
@@ -71,6 +73,7 @@ texte provisoire
 texto de ejemplo
 escriba su texto aquí
 contenido pendiente
+aquí va la descripción
 descripción pendiente
 texto de relleno
 """
@@ -155,7 +158,7 @@ votre navigateur ne gère pas les scripts
 active javascript para ver esta página
 su navegador no admite scripts
 """
-#: What stands around a page's body: neither content nor residue.
+#: What stands around or below a page's body: neither content nor residue.
 FURNITURE = """
 menu cart # sign in
 search our store
@@ -170,6 +173,10 @@ sign in
 contact us
 privacy policy
 terms of use
+please enable javascript to view the comments
+error loading related products
+more replies could not be loaded
+sign in to see prices
 """
 #: Words of invented filler prose, of which a passage may hold any in any order.
 PSEUDO_LATIN = """
@@ -198,7 +205,7 @@ _ANY_FIELD = re.compile(
     r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|<%[^%\n]{0,80}%>|<\?(?:php|=)[^?\n]{0,80}\?>|<!--\s*#[^\n]{0,80}?-->"
     r"|[$#]\{[^{}\n]{0,60}\}|\$\([A-Za-z_][\w.]*\)|\$\[[A-Za-z_][\w.\[\]]*\]|\{![A-Za-z_][\w.\[\]]*\}|\{\d?\}"
     r"|%\([A-Za-z_][\w.\[\]]*\)[sdif]|(?<![\w%])%(?:\d\$)?[sdif](?![\w%])|\[\[[A-Za-z_][^\[\]\n]{0,40}(?:\[\d+\])?\]\]|\*\|[A-Za-z_][^|\n]{0,40}\|\*|@@[A-Za-z_][\w.\[\]]*@@|(?<!\w)@Model\.\w+"
-    r"|\[INSERT [^\[\]\n]{1,40}\]|\[gallery ids=[^\]]*\]|\(your [A-Za-z_][\w.\[\]]* here\)|_{6,}|\[object \w+\]|#(?:REF!|N/A(?!\w)|VALUE!|NAME\?|DIV/0!|NULL!|NUM!)|(?<!\w)insert-image-here(?!\w)",
+    r"|\[INSERT [^\n]{1,40}? HERE\]|\[INSERT [^\[\]\n]{1,40}\]|\[gallery ids=[^\]]*\]|\(your [A-Za-z_][\w.\[\]]* here\)|_{6,}|\[object \w+\]|#(?:REF!|N/A(?!\w)|VALUE!|NAME\?|DIV/0!|NULL!|NUM!)|(?<!\w)insert-image-here(?!\w)",
     re.I,
 )
 #: Syntaxes that stand for a field if its name is a field's.
@@ -206,8 +213,11 @@ _NAMED_FIELD = re.compile(
     rf"<<({_NAME})>>|<({_NAME})>|«({_NAME})»|\[({_NAME})\]|\{{({_NAME})\}}|%({_NAME})%|\$({_NAME})\$|~({_NAME})~|__([A-Za-z][A-Za-z0-9.\[\]]*(?:_[A-Za-z0-9.\[\]]+)*)__"
 )
 _PRINTED = re.compile(r"(?<![\w/.-])(null|undefined|nan|TODO|[Xx]{4,})(?![\w/-])", re.I)
-_FIELD = "\u0001"
-_TERM = re.compile(r"\u0001|[^\W\d_]+(?:['’][^\W\d_]+)*|n/a|\d[\w-]*")
+_SPANISH = re.compile(r"(?<!\w)(?:el|la|los|las|de|del|que|por|para|con|en|es|un|una)(?!\w)", re.I)
+#: Every field's syntax needs one of these.
+_FIELD_MARK = re.compile(r"[{%\[$~«@*]|#[A-Za-z{]|<\S|__|\(your|insert-image", re.I)
+_INVISIBLE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]")
+_TERM = re.compile(r"n/a(?!\w)|[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\w-]*")
 _PASSAGE = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[.!?…]['\")\]])\s+")
 
 LABELS = ("template", "filler", "error", "script")
@@ -243,6 +253,8 @@ def _is_field(name: str) -> bool:
 
 def fields(text: str) -> list[tuple[int, int]]:
     """Offsets of the unfilled fields and of values that a template printed for want of one."""
+    if not _FIELD_MARK.search(text) and not _PRINTED.search(text):
+        return []
     found = [m.span() for m in _ANY_FIELD.finditer(text)]
     for m in _NAMED_FIELD.finditer(text):
         name = next(g for g in m.groups() if g is not None)
@@ -260,7 +272,7 @@ def fields(text: str) -> list[tuple[int, int]]:
             # an acronym or a foreign word is told by its case: NaN, TODO and XXXX; a text in one case has lost it
             if w.lower() == "nan" and w != "NaN" and not one_case:
                 continue
-            if w.lower() == "todo" and (w != "TODO" or one_case):
+            if w.lower() == "todo" and (w != "TODO" or one_case) and not (one_case and not _SPANISH.search(text) and not (after and after.group(1).lower() in ("list", "app", "lists"))):
                 continue
             if w.lower().startswith("x") and not (w.isupper() or one_case):
                 continue
@@ -272,7 +284,9 @@ def prepare(text: str) -> str:
     """Entities, compatibility forms and marks of no width resolved; markup removed; breaks kept."""
     t = html.unescape(text)
     t = unicodedata.normalize("NFKC", t)
-    t = "".join(c for c in t if c in "\n\t" or unicodedata.category(c) not in ("Cf", "Cc"))
+    t = _INVISIBLE.sub("", t)
+    if "<" not in t:
+        return t
     return _TAG.sub(lambda m: "\n" if re.match(r"</?(?:p|br|div|li|h\d|tr|ul|ol|table|section)", m.group(), re.I) else " ", t)
 
 
@@ -305,6 +319,15 @@ class Exemplars:
     def idf(self, term: str) -> float:
         return 1.0 + math.log((1 + self.documents) / (1 + self.frequency.get(slot(term), 0)))
 
+    def may_match(self, there: set[str]) -> bool:
+        """Whether a text of these terms can hold half of any exemplar but the furniture, or filler prose."""
+        near = {k for t in there & self.postings.keys() for k in self.postings[t]}
+        for k in near:
+            label, vector = self.items[k]
+            if label != "furniture" and 2 * sum(w for t, w in vector.items() if t in there) >= sum(vector.values()):
+                return True
+        return bool(there & self.prose)
+
     def cover(self, passage: list[str]) -> dict[int, str]:
         """Place of a covered term in the passage -> label of the exemplar that covers it."""
         there = set(passage)
@@ -337,8 +360,11 @@ def judge(text: str | None, exemplars: Exemplars) -> tuple[str | None, float, st
     if spans := fields(raw):
         a, z = spans[0]
         return "template", 1.0, raw[a:z][:80]
+    plain = prepare(text)
+    if not exemplars.may_match(set(terms(plain))):
+        return None, 0.0, None
     passages = []
-    for line in prepare(text).split("\n"):
+    for line in plain.split("\n"):
         line = line.strip()
         for passage in _PASSAGE.split(line) if line else ():
             if words := terms(passage):
@@ -391,7 +417,7 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> tuple[dict
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], ["slot", "n"])
 
-    rows = documents.select(text).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    rows = spread(documents.select(text)).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     table = {r.slot: r.n for r in rows}
     return table, table.pop(SLOTS, 0)
 
@@ -416,4 +442,4 @@ def find_residue(documents: DataFrame, item: str = "doc_id", text: str = "text")
             columns = [*zip(*got)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())], [item, "label", "coverage", "evidence"])
 
-    return documents.select(item, text).mapInArrow(label, schema)
+    return spread(documents.select(item, text)).mapInArrow(label, schema)
