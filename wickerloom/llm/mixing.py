@@ -11,11 +11,15 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wickerloom.operators.ranking import top_per_group
 from wickerloom.session import materialise
 
 #: The most sources with targets; one parameter pair each is held by the driver.
-MAX_SOURCES = 10_000
+MAX_SOURCES = 1000
+#: Documents of each source that are tried after the threshold.
+NEXT = 200
 
 
 def _per_source(name: str, values: dict[str, float]) -> Column:
@@ -119,7 +123,18 @@ def mix(
             if high[s] - low[s] < 1e-15:
                 high[s] = low[s] + 1e-15
     limit = _per_source("source", low)
-    copies = rated.withColumn("copies", F.col("__floor") + F.when(F.col("__need") < limit, 1).otherwise(0)).filter("copies > 0").select(item, "source", "n_tokens", F.col("copies").cast("int").alias("copies"))
+    given = rated.withColumn("copies", F.col("__floor") + F.when(F.col("__need") < limit, 1).otherwise(0))
+    # what the threshold leaves open is less than one document; the next ones in order that fit close it
+    sums = {r.source: r.n for r in given.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n")).collect()}
+    following = given.filter(F.col("__need") >= limit).select(item, "source", "n_tokens", "__need")
+    extra = []
+    for r in top_per_group(following, ["source"], [F.col("__need"), F.col(item)], NEXT).orderBy("source", "rank").collect():
+        if sums[r.source] + r.n_tokens <= goal[r.source][1]:
+            sums[r.source] += r.n_tokens
+            extra.append((r[item], 1))
+    more = spark.createDataFrame(extra, T.StructType([T.StructField("__id", rows.schema[item].dataType), T.StructField("__one", T.IntegerType())]))
+    given = given.join(F.broadcast(more), F.col(item) == F.col("__id"), "left").withColumn("copies", F.col("copies") + F.coalesce("__one", F.lit(0)))
+    copies = given.filter("copies > 0").select(item, "source", "n_tokens", F.col("copies").cast("int").alias("copies"))
     copies = materialise(copies, "copies")
     used = copies.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
     head = spark.createDataFrame([(s, x, c, *have.get(s, (0, 0))) for s, (x, c) in wanted.items()], "source string, target_share double, max_repeats int, documents long, tokens long")
