@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickerloom.llm.listings import letters, one_edit, plain, read_listing, same_value
-from wickerloom.session import materialise
+from wickerloom.session import materialise, spread
 
 #: The most brand names that are learned; it bounds what the driver and each task hold.
 MAX_BRANDS = 200_000
@@ -46,7 +46,8 @@ def _statements(catalogue: DataFrame) -> DataFrame:
                 rows.append((item, series, x.number, x.brand, " ".join(x.words), x.code, category, json.dumps(stated)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return catalogue.filter("item_index is not null").select(F.col("item_index").cast("int").alias("item_index"), "title", "features", "description", "categories").mapInArrow(read, _READ)
+    rows = catalogue.filter("item_index is not null").select(F.col("item_index").cast("int").alias("item_index"), "title", "features", "description", "categories")
+    return spread(rows).mapInArrow(read, _READ)
 
 
 def _with_brands(read: DataFrame, least: int = 2) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickerloom.session import spread
+
 _SENTENCE = re.compile(r"[.!?…]+['\")\]»”’]*(?= )|[。！？]+[」』”’）]*")
 _CLAUSE = re.compile(r"[,;:–—]['\")\]»”’]*(?= )|[、，；：]")
 _BLOCK_END = re.compile(r"</(?:p|div|li|h[1-6]|ul|ol|tr|table|section)>|<br ?/?>", re.I)
@@ -120,7 +122,7 @@ def split_texts(df: DataFrame, keep: list[str], text: str = "text", limit: int =
             columns = [c.take(pa.array(rows, pa.int32())) for c in b.columns[: len(keep)]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(shared, pa.int32())], names=[*keep, "part_index", "text", "n_chars", "n_overlap"])
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(cut, schema)
+    return spread(df.select(*keep, df[text].alias("__text"))).mapInArrow(cut, schema)
 
 
 def _joined(features: Column) -> Column:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from wickerloom.session import spread
+
 #: Where the ranks lie unless a caller names another file.
 RANKS = os.environ.get("WICKERLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -41,4 +43,4 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str =
             n = [len(encode(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int32())], [*keep, "n_tokens"])
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(sizes, schema)
+    return spread(df.select(*keep, df[text].alias("__text"))).mapInArrow(sizes, schema)
