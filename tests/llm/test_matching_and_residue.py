@@ -25,6 +25,7 @@ def test_statements_in_any_wording():
     assert a.properties["pack"] == b.properties["pack"] and a.properties["colour"] == b.properties["colour"] == ["black"]
     assert abs(a.properties["length"][0] - b.properties["length"][0]) < 2
     assert read_listing("Vantaro 150 dock 8 potrs wite", [], "Note the 11.8 fl oz: volume as stated by the maker.").properties == {"ports": [8.0], "colour": ["white"], "volume": [348.967]}
+    assert read_listing("Vantaro 150 dock twellve potrs sinlge pack jet back", [], None).properties == {"pack": [1.0], "ports": [12.0], "colour": ["black"]}
     assert read_listing("Vantaro150 mouse #AB1234C", [], None).code == read_listing("Vantaro 150", ["MPN ab-1234c"], None).code == "ab1234c"
     assert read_listing(None, None, None).series == "" and plain("A&amp;B™  ﬁne") == "a&b fine"
 
@@ -66,6 +67,11 @@ def test_misspelt_series_meet_in_wide_windows(spark):
     assert all(got[1000 + k] == k for k in range(len(names)))
 
 
+def test_a_shared_code_alone_joins_no_strangers(spark):
+    rows = [(1, "Vantaro 150 dock #AB1234C", None, None, None), (2, "Xaolwakor 150 dock AB 1234C", None, None, None), (3, "Vntaaro 150 dock (AB/1234C)", None, None, None)]
+    assert groups(spark, rows) == {1: 1, 2: 2, 3: 1}
+
+
 def test_clusters_hold_no_contradiction():
     s = [(1, "ab1a", "", {"colour": "black"}), (2, "ab1b", "", {"colour": "red"}), (3, "", "", {"colour": "red", "pack": 2.0}), (4, "ab1a", "", {}), (5, "", "", {"pack": 3.0, "colour": "red"})]
     got = correlate(s)

@@ -133,6 +133,15 @@ def _add_misspelt(out: "Listing", rest: str) -> None:
             kind, size = UNITS[u]
             if kind not in out.properties:
                 out.add(kind, round(_number(m.group(1)) * size, 3))
+    words = re.findall(r"[a-z]+", rest)
+    for a, b in zip(words, words[1:]):
+        if "pack" not in out.properties and b == "pack" and len(a) > 4 and one_edit(a, "single"):
+            out.add("pack", 1.0)
+        n = next((w for w in NUMBER_WORDS if len(w) > 3 and one_edit(w, a)), None)
+        if n and (u := next((u for u in _LONG_UNITS if one_edit(u, b)), None)) and UNITS[u][0] not in out.properties:
+            out.add(UNITS[u][0], float(NUMBER_WORDS[n] * UNITS[u][1]))
+    if "colour" not in out.properties and "jet back" in rest:
+        out.add("colour", "black")
     if "colour" not in out.properties:
         for w in re.findall(r"[a-z]{4,7}", rest):
             if w not in _NO_COLOUR and (c := next((c for c in _LONG_COLOURS if one_edit(c, w)), None)):

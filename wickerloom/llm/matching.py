@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from wickerloom.llm.listings import letters, one_edit, plain, read_listing, same_value
 from wickerloom.session import materialise, spread
 
+#: How much of two series' letters agree, where they share a maker's code; different makers' codes coincide now and then.
+SAME_CODE_RATIO = 0.75
 #: The most brand names that are learned; it bounds what the driver and each task hold.
 MAX_BRANDS = 200_000
 
@@ -121,7 +124,7 @@ def _aligned(x: tuple, y: tuple) -> bool:
         return False
     if base and base2 and base != base2:
         return False
-    if base and base == base2:
+    if base and base == base2 and SequenceMatcher(None, series, series2).ratio() >= SAME_CODE_RATIO:
         return True
     if number == 0:  # no series was read: the titles' words are aligned one by one
         u, v = series.split(), series2.split()
