@@ -26,6 +26,17 @@ def test_malformed_lines_are_named(spark, tmp_path):
     assert [r.line for r in io.malformed_lines(spark, str(tmp_path), io.REVIEW).collect()] == ['{"user_id": ', '{"user_id": "v", "rating": true}']
 
 
+def test_repeated_cases_fail_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("truth", T.StructType([T.StructField("ids", T.ArrayType(T.LongType()))]))])
+    (tmp_path / "a.jsonl").write_text('{"case_id": "c1", "truth": {"ids": [1]}}\n')
+    assert io.read_cases(spark, str(tmp_path / "a.jsonl"), schema).first().truth.ids == [1]
+    (tmp_path / "b.jsonl").write_text('{"case_id": "c1"}\n{"case_id": "c1"}\n')
+    with pytest.raises(ValueError, match="c1"):
+        io.read_cases(spark, str(tmp_path / "b.jsonl"), schema)
+
+
 def test_json_map(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"0": "raw a",\n "1": "raw b"}')
     assert sorted(map(tuple, io.read_json_map(spark, str(tmp_path / "m.json")).collect())) == [("0", "raw a"), ("1", "raw b")]

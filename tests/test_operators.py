@@ -148,3 +148,34 @@ def test_rerank_keeps_to_the_pool(spark):
 def test_percentiles_interpolate(spark):
     f = spark.createDataFrame([("user", 1, 1), ("user", 2, 2), ("user", 10, 1)], "side string, degree long, n long")
     assert P.degree_percentiles(f, (0.5, 0.9)).first()[1:] == (2.0, 7.6)
+
+
+def test_product_text_round_trip(spark):
+    rows = [(1, "Dock", ["A", " B "], ["x  y", None, ""], "long\n text"), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "item_index int, title string, categories array<string>, features array<string>, description string")
+    got = {r.item_index: tuple(r)[1:] for r in X.parse_product_text(X.product_text(df)).collect()}
+    assert got == {1: ("Dock", ["A", "B"], ["x y"], "long text"), 2: (None, [], [], None)}
+    wrapped = spark.createDataFrame([(1, "Title: a\n  b\nCategory: c | d\nother\nDescription:  e ")], "item_index int, text string")
+    assert tuple(X.parse_product_text(wrapped).first())[1:] == ("a\nb", ["c", "d\nother"], [], "e")
+
+
+def test_details_and_prefixes(spark):
+    df = spark.createDataFrame([({"a": " x ", "b": "", "skip": "y", "c": "z" * 9},)], "m map<string,string>")
+    assert sorted(df.select(X.details_text(F.col("m"), ("skip",), 5)).first()[0].split(" | ")) == ["a: x", "c: zzzzz..."]
+    texts = spark.createDataFrame([("must support hdmi",), ("must supporthdmi",), ("支持hdmi",), (None,)], "t string")
+    assert [r[0] for r in texts.select(X.without_prefix(F.col("t"), ["must", "must support", "支持"])).collect()] == ["hdmi", "supporthdmi", "hdmi", None]
+
+
+def test_knowledge_chunks(spark):
+    rows = [(1, "P1", "Dock", ["A"], ["f1", None, "f2"], None, 20.5, float("nan"), 3), (2, "P2", None, None, [], "w " * 1500, None, 4.0, None)]
+    df = spark.createDataFrame(rows, "item_index int, parent_asin string, title string, categories array<string>, features array<string>, description string, price double, average_rating double, rating_number int")
+    got = {r.chunk_id: r.text for r in X.knowledge_chunks(df).collect()}
+    assert got["1:summary:0"] == "Title: Dock Categories: A Price: 20.5" and got["1:features:0"] == "f1 f2" and got["2:summary:0"] == "Average rating: 4"
+    assert sorted(got) == ["1:features:0", "1:summary:0", "2:description:0", "2:description:1", "2:summary:0"] and max(map(len, got.values())) <= 1600
+
+
+def test_fingerprint_is_a_tree(spark):
+    a = spark.range(50).select("id", F.col("id").cast("string").alias("l"))
+    one = lambda df, fan: P.ordered_fingerprint(df, "id", F.col("l"), fan).first()[0]
+    assert one(a, 7) == one(a.repartition(5), 7) != one(a.withColumn("l", F.when(F.col("id") == 49, "x").otherwise(F.col("l"))), 7)
+    assert P.ordered_fingerprint(a.filter("false"), "id", F.col("l")).collect() == []

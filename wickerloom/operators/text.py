@@ -95,3 +95,65 @@ def evidence(text: Column, alias: str) -> tuple[Column, Column]:
     rest = F.regexp_replace(lower, denied, " ")
     affirmed = rf"(?:supports?|with|includes?|features?|compatible with|has)\s+(?:[a-z0-9-]+\s+){{0,3}}{bare}|{bare}\s+(?:port|output|input|support|compatible|delivery|jack)|^\s*{bare}\s*$"
     return rest.rlike(affirmed), lower.rlike(denied)
+
+
+LABELS = ("Title", "Category", "Features", "Description")
+
+
+def wrapped_section(text: Column, label: str, labels: tuple[str, ...] = LABELS) -> Column:
+    """The text after the label up to the next label or the end, lines that wrap included; null if there is none."""
+    found = F.regexp_extract(text, rf"(?ms)^{label}:(.*?)(?=^(?:{'|'.join(labels)}):|\z)", 1)
+    return F.nullif(F.regexp_replace(F.regexp_replace(found, r"\s*\n\s*", "\n"), r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
+def split_entries(text: Column, mark: str) -> Column:
+    """Entries between marks, trimmed, without empty ones; null becomes an empty list."""
+    parts = F.filter(F.transform(F.split(text, rf"\s*\{mark}\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
+
+
+def parse_product_text(df: DataFrame) -> DataFrame:
+    """(item_index, title, categories, features, description) of labelled product texts; the inverse of product_text."""
+    category = wrapped_section(F.col("text"), "Category")
+    members = F.when(F.contains(category, F.lit("|")), split_entries(category, "|")).otherwise(split_entries(category, ">"))
+    return df.select(
+        "item_index", wrapped_section(F.col("text"), "Title").alias("title"), members.alias("categories"), split_entries(wrapped_section(F.col("text"), "Features"), "|").alias("features"), wrapped_section(F.col("text"), "Description").alias("description")
+    )
+
+
+def details_text(details: Column, without: tuple[str, ...] = (), longest: int = 500) -> Column:
+    """Entries of a map as "key: value" between " | ", cleaned, long values cut; keys in `without` and empty ones left out."""
+    entries = F.transform(F.map_entries(details), lambda e: F.struct(e["key"].alias("raw"), clean_text(e["key"]).alias("k"), clean_text(e["value"]).alias("v")))
+    kept = F.filter(entries, lambda e: (e["k"] != "") & (e["v"] != "") & ~e["raw"].isin(list(without)))
+    return F.array_join(F.transform(kept, lambda e: F.concat(e["k"], F.lit(": "), F.when(F.length(e["v"]) > longest, F.concat(F.substring(e["v"], 1, longest), F.lit("..."))).otherwise(e["v"]))), " | ")
+
+
+def without_prefix(text: Column, prefixes: list[str]) -> Column:
+    """text without the longest of the prefixes it begins with; a prefix that ends in a Latin letter must be followed by a space."""
+    out = text
+    for p in sorted(prefixes, key=len):
+        whole = p + " " if p[-1].isascii() and p[-1].isalnum() else p
+        out = F.when(F.startswith(text, F.lit(whole)), F.trim(F.substring(text, len(whole) + 1, 1_000_000))).otherwise(out)
+    return out
+
+
+def knowledge_chunks(catalogue: DataFrame, limit: int = 1600) -> DataFrame:
+    """(chunk_id, item_index, parent_asin, chunk_type, part_index, text): a summary and, where there are any, features and description, packed by words."""
+    number = lambda c: F.regexp_replace(F.format_string("%.6f", F.col(c)), r"\.?0+$", "")
+    usable = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c))
+    rating = F.concat(F.lit("Average rating: "), number("average_rating"), F.when(F.col("rating_number").isNotNull(), F.concat(F.lit(" ("), F.col("rating_number").cast("string"), F.lit(" ratings)"))).otherwise(F.lit("")))
+    members = clean_list(F.col("categories"))
+    lines = F.filter(
+        F.array(
+            F.when(F.col("title") != "", F.concat(F.lit("Title: "), "title")), F.when(F.size(members) > 0, F.concat(F.lit("Categories: "), F.array_join(members, " | "))),
+            F.when(usable("price"), F.concat(F.lit("Price: "), number("price"))), F.when(usable("average_rating"), rating),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    summary = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.concat(F.lit("Parent ASIN: "), "parent_asin"))
+    kinds = F.array(
+        F.struct(F.lit("summary").alias("chunk_type"), summary.alias("t")), F.struct(F.lit("features").alias("chunk_type"), F.array_join("features", "\n").alias("t")), F.struct(F.lit("description").alias("chunk_type"), F.col("description").alias("t"))
+    )
+    texts = catalogue.select("item_index", "parent_asin", F.explode(kinds).alias("x")).select("item_index", "parent_asin", "x.chunk_type", "x.t").filter("t is not null")
+    parts = texts.select("item_index", "parent_asin", "chunk_type", F.posexplode(pack_words(F.col("t"), limit)).alias("part_index", "text"))
+    return parts.select(F.concat_ws(":", "item_index", "chunk_type", "part_index").alias("chunk_id"), "*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wickerloom.plans.documents import DOCUMENTS
 from wickerloom.plans.heavy import HEAVY
 from wickerloom.plans.more import MORE
 from wickerloom.plans.profiles import PROFILES
@@ -10,7 +11,7 @@ from wickerloom.plans.splits import SPLITS
 from wickerloom.plans.texts import TEXTS
 from wickerloom.plans.vectors import VECTORS
 
-REGISTRIES = [HEAVY, PROFILES, SPLITS, TEXTS, VECTORS, MORE]
+REGISTRIES = [HEAVY, PROFILES, SPLITS, TEXTS, VECTORS, MORE, DOCUMENTS]
 
 
 def all_queries() -> dict[str, Query]:

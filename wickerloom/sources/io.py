@@ -93,3 +93,12 @@ def encode_resumably(source: DataFrame, key: str, encode: Callable[[DataFrame],
         left = source.join(spark.read.parquet(path).select(key), key, "left_anti")
     encode(left).write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def read_cases(spark: SparkSession, path: str, schema: T.StructType, key: str = "case_id") -> DataFrame:
+    """Evaluation cases from JSON lines under a nested schema; a missing or repeated key fails with its name."""
+    cases = read_json_lines(spark, path, schema)
+    bad = cases.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).orderBy(key).first()
+    if bad:
+        raise ValueError(f"{key} {bad[0]} stands {bad['n']} times in {path}" if bad[0] is not None else f"a case in {path} has no {key}")
+    return cases
