@@ -9,6 +9,7 @@ import html
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 # Number words, colour words and units of measure with their size in the base unit.
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split())}
@@ -50,13 +51,20 @@ _CODE_SAID = re.compile(r"(?:mpn|maker reference:?|item model) (?:model )?[#(]?(
 _SUFFIX = re.compile(r"(?:\s+(?:inc|ltd|llc|co|corp|gmbh)\.?)+$")
 
 
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
+
+
 def plain(text: str | None) -> str:
     """Lower case with entities, compatibility forms, marks without width and runs of white space resolved."""
     if not text:
         return ""
-    text = html.unescape(html.unescape(text)).replace("™", "").replace("®", "")
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn", "Cc") or c in "\t\n")
+    if "&" in text:
+        text = html.unescape(html.unescape(text))
+    if text.isascii():
+        return " ".join(_CONTROL.sub("", text).lower().split())
+    text = unicodedata.normalize("NFKC", text.replace("™", "").replace("®", ""))
+    text = "".join(c for c in text if c.isascii() or unicodedata.category(c) not in ("Cf", "Mn", "Cc"))
+    text = _CONTROL.sub("", text)
     return " ".join(text.lower().replace("‑", "-").replace("–", "-").replace("—", "-").replace("″", '"').replace("”", '"').split())
 
 
@@ -120,33 +128,41 @@ def one_edit(a: str, b: str) -> bool:
 
 
 _LONG_UNITS = [u for u in UNITS if len(u) >= 4 and u.isalpha()]
+_LONG_NUMBERS = [w for w in NUMBER_WORDS if len(w) > 3]
 _LONG_COLOURS = [c for c in COLOURS if len(c) >= 5 and c.isalpha()]
 _MISSPELT = re.compile(rf"(?<![a-z0-9.,])({_NUM})[ -]?([a-z]{{4,9}})(?![a-z0-9-])")
 #: Words of ordinary titles that lie one letter from a colour.
 _NO_COLOUR = {"back", "block", "blank", "slack", "write", "while"}
 
 
+@lru_cache(maxsize=100_000)
+def _near(word: str, kind: str) -> str | None:
+    """The unit, number word or colour that the word misspells; titles share most of their words."""
+    known = {"unit": _LONG_UNITS, "number": _LONG_NUMBERS, "colour": _LONG_COLOURS}[kind]
+    return next((k for k in known if one_edit(k, word)), None)
+
+
 def _add_misspelt(out: "Listing", rest: str) -> None:
-    """Measures and colours of which one letter is wrong, where the property isn't stated otherwise."""
+    """Measures, packs and colours of which one letter is wrong, where the property isn't stated otherwise."""
     for m in _MISSPELT.finditer(rest):
-        if u := next((u for u in _LONG_UNITS if one_edit(u, m.group(2))), None):
+        if u := _near(m.group(2), "unit"):
             kind, size = UNITS[u]
             if kind not in out.properties:
                 out.add(kind, round(_number(m.group(1)) * size, 3))
     words = re.findall(r"[a-z]+", rest)
     for a, b in zip(words, words[1:]):
-        if "pack" not in out.properties and b == "pack" and len(a) > 4 and one_edit(a, "single"):
+        if b == "pack" and len(a) > 4 and "pack" not in out.properties and one_edit(a, "single"):
             out.add("pack", 1.0)
-        n = next((w for w in NUMBER_WORDS if len(w) > 3 and one_edit(w, a)), None)
-        if n and (u := next((u for u in _LONG_UNITS if one_edit(u, b)), None)) and UNITS[u][0] not in out.properties:
+        elif len(a) > 2 and len(b) > 2 and (u := _near(b, "unit")) and UNITS[u][0] not in out.properties and (n := _near(a, "number")):
             out.add(UNITS[u][0], float(NUMBER_WORDS[n] * UNITS[u][1]))
-    if "colour" not in out.properties and "jet back" in rest:
-        out.add("colour", "black")
     if "colour" not in out.properties:
-        for w in re.findall(r"[a-z]{4,7}", rest):
-            if w not in _NO_COLOUR and (c := next((c for c in _LONG_COLOURS if one_edit(c, w)), None)):
-                out.add("colour", COLOURS[c])
-                break
+        if "jet back" in rest:
+            out.add("colour", "black")
+        else:
+            for w in words:
+                if 4 <= len(w) <= 7 and w not in _NO_COLOUR and (c := _near(w, "colour")):
+                    out.add("colour", COLOURS[c])
+                    break
 
 
 def read_listing(title: str | None, features: list | None, description: str | None) -> Listing:
