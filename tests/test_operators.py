@@ -179,3 +179,36 @@ def test_fingerprint_is_a_tree(spark):
     one = lambda df, fan: P.ordered_fingerprint(df, "id", F.col("l"), fan).first()[0]
     assert one(a, 7) == one(a.repartition(5), 7) != one(a.withColumn("l", F.when(F.col("id") == 49, "x").otherwise(F.col("l"))), 7)
     assert P.ordered_fingerprint(a.filter("false"), "id", F.col("l")).collect() == []
+
+
+def test_hybrid_scores_against_loops(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v, u = rng.normal(size=(40, 4)), rng.normal(size=(5, 4))
+    v[7] = v[3]  # a tie
+    vectors = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    profiles = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(u)] + [(9, None)], "user long, profile array<double>")
+    seen = spark.createDataFrame([(0, 3), (0, 11), (1, 7)], "user long, vec_id long")
+    pop = {i: float(i % 5) for i in range(30)}
+    got = {}
+    for r in H.profile_scores(profiles, vectors, 6, pop, 0.7, seen).collect():
+        got.setdefault(r.user, {})[r.rank] = r.vec_id
+    z = lambda x: (x - x.mean()) / (x.std() + 1e-6)
+    p = z(np.asarray([pop.get(i, 0.0) for i in range(40)]))
+    for k, x in enumerate(u):
+        total = np.round(0.3 * p + 0.7 * z(v @ x), 9)
+        gone = {(0, 3), (0, 11), (1, 7)}
+        want = sorted((i for i in range(40) if (k, i) not in gone), key=lambda i: (-total[i], i))[:6]
+        assert [got[k][r] for r in range(1, 7)] == want
+    assert 9 not in got
+
+
+def test_best_columns_take_ties_by_place():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        s = rng.integers(0, 6, size=(7, 60)).astype(float)
+        s[rng.random(s.shape) < 0.1] = -np.inf
+        assert (V.best_columns(s, 5) == np.argsort(-s, axis=1, kind="stable")[:, :5]).all()

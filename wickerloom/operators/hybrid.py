@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerloom.operators.ranking import min_max
-from wickerloom.operators.vectors import QUERY_BLOCK
+from wickerloom.operators.vectors import best_columns
 from wickerloom.session import materialise
 
+#: Vectors of a catalogue that is held as one block, and entries of a block of users' scores.
+MAX_CATALOGUE = 65_536
+SCORES = 4_000_000
+
 
 def edges(df: DataFrame) -> DataFrame:
     """(src, dst, w): both directions of each distinct user and item, weighted 1 / sqrt(d_user * d_item); nodes are 'u' or 'i' and the id."""
@@ -25,8 +29,10 @@ def edges(df: DataFrame) -> DataFrame:
 
 
 def propagate(graph: DataFrame, values: DataFrame, layers: int) -> DataFrame:
-    """(node, x): the mean of the values and their `layers` propagations over the graph; values: (node, pos, x)."""
-    graph = materialise(graph, "edges")
+    """(node, x): the mean of the values and their `layers` propagations over the graph; values: (node, pos, x).
+
+    The graph is read once a layer, so it should be a table.
+    """
     now, total = materialise(values, "layer"), values
     for _ in range(layers):
         step = now.join(graph, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "pos").agg(F.sum(F.col("x") * F.col("w")).alias("x"))
@@ -48,14 +54,14 @@ def profile_scores(profiles: DataFrame, vectors: DataFrame, k: int, popularity:
     catalogue, before seen ones are left out. Products are taken by blocks of users in one matrix product each; only the
     k best plus a user's seen ones leave a task.
     """
-    if vectors.count() > 16 * QUERY_BLOCK:
+    if vectors.count() > MAX_CATALOGUE:
         raise ValueError("the catalogue is too large to be held as one block; use vector_topk")
     t = vectors.select("vec_id", "embedding").orderBy("vec_id").toArrow()
     ids, matrix = np.asarray(t.column("vec_id"), np.int64), np.asarray(t.column("embedding").to_pylist(), np.float64)
     pop = np.asarray([(popularity or {}).get(int(i), 0.0) for i in ids])
     zpop = (pop - pop.mean()) / (pop.std() + epsilon)
     shared = profiles.sparkSession.sparkContext.broadcast((ids, matrix, zpop))
-    rows = profiles.select("user", "profile")
+    rows = profiles.select("user", "profile").filter("profile is not null")
     if seen is not None:
         mine = seen.groupBy("user").agg(F.collect_set("vec_id").alias("seen"))  # at most the catalogue's size
         rows = rows.join(mine, "user", "left")
@@ -65,23 +71,24 @@ def profile_scores(profiles: DataFrame, vectors: DataFrame, k: int, popularity:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, zpop = shared.value
         place = {int(i): k for k, i in enumerate(ids)}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            p = np.asarray(b.column(1).to_pylist(), np.float64)
-            s = p @ matrix.T
-            z = (s - s.mean(1, keepdims=True)) / (s.std(1, keepdims=True) + epsilon)
-            total = np.round((1 - alpha) * zpop[None, :] + alpha * z, 9)
-            for r, gone in enumerate(b.column(2).to_pylist()):
-                for v in gone or ():
-                    if v in place:
-                        total[r, place[v]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, total.shape), -total))[:, :k]
-            best = np.take_along_axis(total, order, 1)
-            keep = np.isfinite(best).ravel()
-            user = np.repeat(np.asarray(b.column(0)), order.shape[1])[keep]
-            rank = np.tile(np.arange(1, order.shape[1] + 1), b.num_rows)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(user), pa.array(rank.astype(np.int32)), pa.array(ids[order].ravel()[keep]), pa.array(best.ravel()[keep])], ["user", "rank", "vec_id", "score"])
+        step = max(1, SCORES // max(1, len(ids)))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
+                p = np.asarray(b.column(1).to_pylist(), np.float64)
+                s = p @ matrix.T
+                z = (s - s.mean(1, keepdims=True)) / (s.std(1, keepdims=True) + epsilon)
+                total = np.round((1 - alpha) * zpop[None, :] + alpha * z, 9)
+                for r, gone in enumerate(b.column(2).to_pylist()):
+                    for v in gone or ():
+                        if v in place:
+                            total[r, place[v]] = -np.inf
+                order = best_columns(total, k)  # columns stand in the order of their ids
+                best = np.take_along_axis(total, order, 1)
+                keep = np.isfinite(best).ravel()
+                user = np.repeat(np.asarray(b.column(0)), order.shape[1])[keep]
+                rank = np.tile(np.arange(1, order.shape[1] + 1), b.num_rows)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(user), pa.array(rank.astype(np.int32)), pa.array(ids[order].ravel()[keep]), pa.array(best.ravel()[keep])], ["user", "rank", "vec_id", "score"])
 
     return rows.mapInArrow(score, "user long, rank int, vec_id long, score double")
 

@@ -25,17 +25,18 @@ def temporal_split(events: DataFrame) -> DataFrame:
 def kcore(df: DataFrame, k: int, user: str = "user", item: str = "item", rounds: int = 100) -> DataFrame:
     """Rows whose user and item both keep at least k rows, repeated until nothing changes.
 
-    Each round counts rows of both sides and takes out the rows of sides below k; null keys never qualify. Repeated
-    rows count as rows. The lineage is cut in every round.
+    Each round is one job: it counts rows of both sides and keeps the rows of sides with k; a round that keeps all rows
+    ends it. Null keys never qualify. Repeated rows count as rows. The lineage is cut in every round.
     """
     now = materialise(df.filter(F.col(user).isNotNull() & F.col(item).isNotNull()), "core")
+    n = now.count()
     for _ in range(rounds):
-        low_users = now.groupBy(user).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).select(user)
-        low_items = now.groupBy(item).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).select(item)
-        low_users, low_items = materialise(low_users, "low"), materialise(low_items, "low")
-        if low_users.isEmpty() and low_items.isEmpty():
+        users = now.groupBy(user).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(user)
+        items = now.groupBy(item).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(item)
+        now = materialise(now.join(users, user, "left_semi").join(items, item, "left_semi"), "core")
+        before, n = n, now.count()
+        if n == before:
             break
-        now = materialise(now.join(low_users, user, "left_anti").join(low_items, item, "left_anti"), "core")
     return now
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from wickerloom.operators.ranking import top_per_group
 
 #: Query vectors that one block holds; a block travels to every partition of the other side.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
 #: Rows of the searched side that one product takes.
-ROW_BLOCK = 8192
+ROW_BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,6 +42,19 @@ def norm_statistics(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
+def best_columns(score: np.ndarray, k: int) -> np.ndarray:
+    """Per row the places of the k largest, largest first, equal ones by place."""
+    n = score.shape[1]
+    if n <= 4 * k:
+        return np.argsort(-score, axis=1, kind="stable")[:, :k]
+    cut = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(score), k), np.int64)
+    for r, row in enumerate(score):
+        at = np.flatnonzero(row >= cut[r])  # the k best and all that equal the last of them, by place
+        out[r] = at[np.argsort(-row[at], kind="stable")[:k]]
+    return out
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): exact inner-product top k per query, ties by vec_id.
 
@@ -77,14 +90,15 @@ def _block_topk(spark, block: pa.Table, vectors: DataFrame, k: int) -> DataFrame
             for a in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(a, ROW_BLOCK)
                 v = part.column(1)
-                x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
-                score = np.hstack([best_score, q @ x.T])
-                vec = np.hstack([best_id, np.broadcast_to(np.asarray(part.column(0)), (len(qid), len(v)))])
-                if score.shape[1] > k:
-                    # ties at the cut go to the smaller id, so the whole row is ordered by both
-                    order = np.lexsort((vec, -score))[:, :k]
-                    score, vec = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
-                best_score, best_id = score, vec
+                own = np.asarray(part.column(0))
+                by_id = np.argsort(own, kind="stable")  # ties go to the smaller id, so columns are put in that order first
+                x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)[by_id]
+                score = q @ x.T
+                order = best_columns(score, k)
+                score = np.hstack([best_score, np.take_along_axis(score, order, 1)])
+                vec = np.hstack([best_id, own[by_id][order]])
+                order = np.lexsort((vec, -score))[:, :k]  # twice k columns at most
+                best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
         n = best_score.shape[1]
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "vec_id", "score"])

@@ -89,7 +89,7 @@ def known_item_retrieval(spark, sf_dir):
 SELECT c."user", CASE WHEN EXISTS (SELECT 1 FROM train t WHERE t."user" = c."user") THEN 'known' ELSE 'fallback' END AS status, rank, item, round(1.0 / pop_rank, 8) AS score FROM c WHERE rank <= {K}""")
 def recommend_to_all(spark, sf_dir):
     train = materialise(I.temporal_split(I.positives(reviews(spark, sf_dir))).filter("split = 'train'"), "train")
-    pop = materialise(R.popularity(train), "pop")
+    pop = R.popularity(train)
     users = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user")).distinct()
     known = train.select("user").distinct().withColumn("known", F.lit(True))
     top = R.popularity_topk(train, users, pop, K).join(pop.select("item", "pop_rank"), "item").join(known, "user", "left")
@@ -143,7 +143,7 @@ SELECT (SELECT count(*) FROM pop ANTI JOIN (SELECT DISTINCT item FROM train) t U
        (SELECT count(*) FROM pop) - (SELECT max(pop_rank) FROM pop) AS rank_gaps""")
 def bundle(spark, sf_dir):
     train = materialise(I.temporal_split(I.positives(reviews(spark, sf_dir))).filter("split = 'train'"), "train")
-    pop = materialise(R.popularity(train), "pop")
+    pop = R.popularity(train)
     both = train.select("item").distinct().withColumn("o", F.lit(1)).join(pop.select("item", "pop_rank"), "item", "full_outer")
     return both.agg(F.count_if(F.col("o").isNull()).alias("unobserved_in_popularity"), F.count_if(F.col("pop_rank").isNull()).alias("missing_in_popularity"), (F.count("pop_rank") - F.max("pop_rank")).alias("rank_gaps"))
 

@@ -116,7 +116,7 @@ SELECT CASE WHEN p.item IS NULL THEN 'cold' ELSE 'warm' END AS part, count(*) AS
 def warm_and_cold(spark, sf_dir):
     split = materialise(I.temporal_split(I.positives(reviews(spark, sf_dir))), "split")
     train = split.filter("split = 'train'")
-    pop = materialise(R.popularity(train), "pop")
+    pop = R.popularity(train)
     ranks = R.popularity_target_ranks(train, split.filter("split = 'test'").select("user", "item"), pop)
     part = ranks.join(pop.select("item", "pop_rank"), "item", "left").withColumn("part", F.when(F.col("pop_rank").isNull(), "cold").otherwise("warm"))
     return R.loo_metrics(part, (50,), by="part").select("part", "n", "recall")

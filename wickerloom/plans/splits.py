@@ -110,14 +110,14 @@ def popularity_ranks(spark, sf_dir):
 SELECT "user", rank, item FROM cand WHERE rank <= {K}""")
 def popularity_topk(spark, sf_dir):
     split, train = _train(spark, sf_dir)
-    pop = materialise(R.popularity(train), "pop")
+    pop = R.popularity(train)
     users = split.filter("split = 'test'").select("user")
     return R.popularity_topk(train, users, pop, K)
 
 
 def _ranks(spark, sf_dir):
     split, train = _train(spark, sf_dir)
-    pop = materialise(R.popularity(train), "pop")
+    pop = R.popularity(train)
     return R.popularity_target_ranks(train, split.filter("split = 'test'").select("user", "item"), pop), split, pop
 
 
@@ -157,7 +157,7 @@ def mean_reciprocal_rank(spark, sf_dir):
 SELECT 20 AS k, count(*) AS n_users, round(avg(h / m), 8) AS recall, round(avg(d / list_sum(list_transform(range(1, least(20, m) + 1), lambda i: 1 / log2(i + 1)))), 8) AS ndcg FROM hit""")
 def multi_relevant(spark, sf_dir):
     split, train = _train(spark, sf_dir)
-    top = materialise(R.popularity(train), "pop").filter("pop_rank <= 20").select(F.col("pop_rank").alias("rank"), "item")
+    top = R.popularity(train).filter("pop_rank <= 20").select(F.col("pop_rank").alias("rank"), "item")
     truth = split.filter("split in ('valid', 'test')").select("user", "item")
     # one list for everybody: of it, only the places of a user's own relevant items matter
     ranking = truth.join(top, "item")
