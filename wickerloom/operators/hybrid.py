@@ -106,4 +106,4 @@ def rerank(candidates: DataFrame, top: int, pool: int, weights: Sequence[float]
     final = pooled.withColumn("final", F.round(weights[0] * s + weights[1] * rating + weights[2] * p, 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("final"), F.desc("score"), "retrieval_rank", "vec_id")
     ranked = final.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "final", "retrieval_rank", (F.col("retrieval_rank") - F.col("rank")).alias("change"))
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "final", "retrieval_rank", (F.col("retrieval_rank") - F.col("rank")).alias("change"))

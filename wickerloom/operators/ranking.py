@@ -27,7 +27,7 @@ def popularity_topk(train: DataFrame, users: DataFrame, pop: DataFrame, k: int)
     last = F.least(F.lit(n_items), F.lit(k) + F.coalesce("s", F.lit(0)))
     open_ = room.select("user", F.explode(F.sequence(F.lit(1), last.cast("long"))).alias("pop_rank")).join(seen, ["user", "pop_rank"], "left_anti")
     top = open_.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy("pop_rank"))).filter(F.col("rank") <= k)
-    return top.join(pop.select("pop_rank", "item"), "pop_rank").select("user", "rank", "item")
+    return top.join(pop.select("pop_rank", "item"), "pop_rank").select("user", F.col("rank").cast("long").alias("rank"), "item")
 
 
 def popularity_target_ranks(train: DataFrame, targets: DataFrame, pop: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def rank_metrics(ranking: DataFrame, truth: DataFrame, ks: Sequence[int]) -> Dat
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark keeps only k a group before the shuffle."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
+    first = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
+    return first.withColumn(name, F.col(name).cast("long"))
 
 
 def min_max(value: Column, group: Sequence[str], constant: float) -> Column:

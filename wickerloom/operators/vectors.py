@@ -35,7 +35,7 @@ def normalised(v: Column) -> Column:
 def norm_statistics(df: DataFrame, vector: str) -> DataFrame:
     v = F.col(vector)
     bad = F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(norm(v).alias("l"), bad.alias("bad"), F.size(v).alias("d"))
+    rows = df.select(norm(v).alias("l"), bad.alias("bad"), F.size(v).cast("long").alias("d"))
     return rows.agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min("l"), 5).alias("least"), F.round(F.avg("l"), 5).alias("mean"), F.round(F.max("l"), 5).alias("most"),
         F.count_if("bad").alias("n_not_finite"), F.count_if(F.col("l") == 0).alias("n_zero"), F.min("d").alias("least_dimension"), F.max("d").alias("most_dimension"),

@@ -96,7 +96,7 @@ def target_in_list(spark, sf_dir):
     q = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     found = vector_topk(q, e, 10)
     targets = q.select("query_id", (F.col("query_id") + 1).alias("vec_id"))
-    return targets.join(found, ["query_id", "vec_id"], "left").select("query_id", F.coalesce("rank", F.lit(0)).alias("rank"))
+    return targets.join(found, ["query_id", "vec_id"], "left").select("query_id", F.coalesce("rank", F.lit(0).cast("long")).alias("rank"))
 
 
 @query("win_07_z_scores", f"""WITH {REVIEWS_SQL}, d AS (SELECT "user", item, avg(rating) AS s FROM reviews GROUP BY ALL)

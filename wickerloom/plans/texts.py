@@ -132,7 +132,7 @@ def context_budget(spark, sf_dir):
     # a row at place n has used n characters at least, so places beyond the budget can't fit; Spark cuts them before the shuffle
     order = Window.partitionBy("source").orderBy(F.desc_nulls_last("created_at"), "doc_id")
     ranked = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("source", "doc_id", "created_at", "text").withColumn("rank", F.row_number().over(order)).filter("rank <= 12000")
-    return X.context_blocks(ranked, "source", "text", 12_000).select("source", "doc_id", "rank", "used")
+    return X.context_blocks(ranked, "source", "text", 12_000).select("source", "doc_id", F.col("rank").cast("long").alias("rank"), "used")
 
 
 @query("ver_01_evidence_sentences")
