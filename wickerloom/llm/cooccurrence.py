@@ -112,7 +112,7 @@ def cooccurrence(df: DataFrame, record: str, item: str, min_count: int = 1, wide
     valid = df.select(F.col(record).cast("long").alias("r"), F.col(item).cast("long").alias("i")).filter("r >= 0")
     records = valid.agg(F.count_distinct("r").alias("n_records"))
     once = materialise(valid.filter("i is not null").distinct(), "baskets")
-    n_records = F.lit(records.first().n_records)
+    n_records = F.lit(records.first().n_records).cast("long")
     items = materialise(once.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count), "items")
     kept = once.join(items, "i", "left_semi") if min_count > 1 else once
     sizes = kept.groupBy("r").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
