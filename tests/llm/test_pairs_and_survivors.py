@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from wickerloom.llm.cooccurrence import associated, cooccurrence
+from wickerloom.llm.queries import QUERIES
 from wickerloom.llm.survivors import interaction_survivors
 
 ANY = {"max_examples": 8, "deadline": None, "suppress_health_check": list(HealthCheck)}
@@ -52,6 +53,14 @@ def test_lift_is_compared_without_rounding(spark):
     assert associated(pairs, 4).collect() == []
 
 
+def test_all_pairs_has_the_rare_ones(spark, tmp_path):
+    rows = [(u, i) for u in range(12) for i in (1, 2)] + [(3, 9), (20, 9), (20, 8), (-1, 8), (None, 1), (21, 1), (21, 1)]
+    spark.createDataFrame(rows, "user_indices int, item_indices int").write.parquet(f"{tmp_path}/train.parquet")
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n_records) for r in QUERIES["p3_all_pairs"](spark, str(tmp_path)).collect()}
+    assert got == brute(rows, 1) and (8, 9) in got
+    assert {(r.item_a, r.item_b) for r in QUERIES["p3_pairs"](spark, str(tmp_path)).collect()} == {(1, 2)}
+
+
 T0 = datetime(2020, 1, 1)
 ROW = "interaction_id long, user_indices int, item_indices int, ratings float, timestamps long, feed string, ingested_at timestamp, __src string"
 

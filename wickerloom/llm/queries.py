@@ -65,6 +65,18 @@ def p3_pairs(spark, sf_dir):
     return pairs.cooccurrence(_read(spark, sf_dir, "train"), "user_indices", "item_indices", LEAST_BASKETS).withColumn("lift", F.round("lift", 6))
 
 
+@query("p3_all_pairs", """
+WITH t AS (SELECT DISTINCT user_indices AS u, item_indices AS i FROM train WHERE user_indices >= 0 AND item_indices IS NOT NULL),
+s AS (SELECT i, count(*) AS n FROM t GROUP BY i),
+p AS (SELECT a.i AS item_a, b.i AS item_b, count(*) AS n_ab FROM t a JOIN t b ON a.u = b.u AND a.i < b.i GROUP BY ALL),
+q AS (SELECT item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, (SELECT count(DISTINCT user_indices) FROM train WHERE user_indices >= 0) AS n_records
+      FROM p JOIN s x ON x.i = item_a JOIN s y ON y.i = item_b)
+SELECT item_a, item_b, n_ab, n_a, n_b, n_records, n_ab * n_records / (n_a * n_b) AS lift FROM q""")
+def p3_all_pairs(spark, sf_dir):
+    """The count and lift of every pair that occurs; p3_pairs is its part of LEAST_BASKETS and more."""
+    return pairs.cooccurrence(_read(spark, sf_dir, "train"), "user_indices", "item_indices")
+
+
 _SURVIVORS_SQL = """
 WITH r AS (
   SELECT e.user_indices, e.item_indices, e.interaction_id, coalesce(f.trust, -1) AS trust, e.ingested_at,
