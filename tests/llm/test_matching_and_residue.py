@@ -1,5 +1,8 @@
 """Listings of one product and texts without content, on listings and texts of every dirty kind."""
 
+import random
+from itertools import combinations
+
 import pytest
 
 from wickerloom.llm.listings import one_edit, plain, read_listing
@@ -67,6 +70,31 @@ def test_misspelt_series_meet_in_wide_windows(spark):
     assert all(got[1000 + k] == k for k in range(len(names)))
 
 
+def test_a_misspelling_far_from_its_name_in_every_order(spark):
+    dice = random.Random(7)
+    some = lambda n, letters: "".join(dice.choices(letters, k=n))
+    names = {"kelmirbvostan": 0, "kelmiryvostan": 1}  # the letter that differs has many names between on either side
+    for k in range(80):
+        names["kelmir" + some(1, "cdefghijklmnopqrstuvwx") + some(6, "bcdfghjkl")] = 10 + k
+        names[some(6, "bcdfghjkl") + some(1, "cdefghijklmnopqrstuvwx") + "vostan"] = 100 + k
+        names["abc" + some(9, "defghij")] = 200 + k
+    assert [(a, b) for a, b in combinations(names, 2) if one_edit(a, b)] == [("kelmirbvostan", "kelmiryvostan")]
+    got = groups(spark, [(k, f"{n} 40 lamp", None, None, None) for n, k in names.items()])
+    assert got == {k: k if k != 1 else 0 for k in names.values()}
+
+
+def test_names_of_one_edit_meet_whatever_their_lengths(spark):
+    rows = [(1, "Vantar 40 lamp", None, None, None), (2, "Vanta 40 lamp", None, None, None), (3, "Zelmo 40 lamp", None, None, None), (4, "Zelma 40 lamp", None, None, None)]
+    assert groups(spark, rows) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_titles_without_series_meet_by_their_words(spark):
+    fill = [(k, f"aa{k % 26 * 'b'}xx kettle yy{k % 7 * 'c'}zz mm{k % 11 * 'd'}nn handle", None, None, None) for k in range(10, 90)]
+    rows = [(1, "quiet stovetop kettle handle polished", None, None, None), (2, "kettle handel qiet polishd stovtop", None, None, None), (3, "kettle handle quiet polished", None, None, None), (4, "kettle handle", None, None, None)]
+    got = groups(spark, rows + fill)
+    assert got[1] == got[2] == got[3] == 1 and got[4] == 4 and 1 not in [got[k] for k, *_ in fill]
+
+
 def test_a_shared_code_alone_joins_no_strangers(spark):
     rows = [(1, "Vantaro 150 dock #AB1234C", None, None, None), (2, "Xaolwakor 150 dock AB 1234C", None, None, None), (3, "Vntaaro 150 dock (AB/1234C)", None, None, None)]
     assert groups(spark, rows) == {1: 1, 2: 2, 3: 1}

@@ -1,7 +1,8 @@
 """Listings of one product by multi-pass sorted neighbourhood, soft token alignment and correlation clustering.
 
-Series names are sorted under several normalised keys, each forgiving another kind of misspelling, and every name is
-compared with its neighbours in a sliding window. Names that align softly become one series. Within a series, listings
+Series names are sorted under several normalised keys (the name and the name with one letter left out, each with the
+number, and the maker's code), and every name is compared with all names of the same key, so that no pair that aligns
+is missed however large the catalogue is. Names that align softly become one series. Within a series, listings
 repel one another where a stated value differs and attract one another where values agree, and are clustered so that
 no cluster holds a repulsion. Identical statements are one representative throughout, whatever the number of copies.
 """
@@ -14,7 +15,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,8 @@ from wickerloom.session import materialise, spread
 
 #: How much of two series' letters agree, where they share a maker's code; different makers' codes coincide now and then.
 SAME_CODE_RATIO = 0.75
+#: Letters of the longer of two series that one edit may tell apart.
+LEAST_LETTERS = 6
 #: The most brand names that are learned; it bounds what the driver and each task hold.
 MAX_BRANDS = 200_000
 
@@ -87,34 +90,57 @@ def _with_brands(read: DataFrame, least: int = 2) -> DataFrame:
     return read.withColumn("brand", find("brand", "words")).drop("words")
 
 
-def _window_links(nodes: DataFrame, key, width: int) -> DataFrame:
-    """(a, b) of nodes within the window of width in key order that are one series; every neighbouring pair is compared."""
-    n = nodes.count()
-    parts = max(1, min(nodes.sparkSession.sparkContext.defaultParallelism * 4, n // (50 * width)))
-    order = nodes.withColumn("key", key).filter("key is not null").repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
-    # the id holds the partition and the place in it
-    placed = materialise(order.withColumn("at", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftright("at", 33).cast("int")
-    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    # the first rows of a partition also follow the one before it
-    homes = F.when(place < width - 1, F.array(part, part - 1)).otherwise(F.array(part))
-    spread = placed.select("*", part.alias("own"), F.explode(homes).alias("home")).filter("home >= 0").repartition(parts, "home").sortWithinPartitions("home", "at")
+def _left_out(word: str) -> str:
+    """SQL of the keys of a word: with its number, the whole word and the word without each one of its letters."""
+    return f"transform(sequence(0, length({word})), k -> xxhash64(number, concat(left({word}, k - 1), substring({word}, k + 1))))"
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(node, key, probe): any two nodes that can align share a key, under which one of them probes.
+
+    Names one edit apart are equal once the right letter is left out of each, or of the longer one.
+    """
+    spelt = F.expr(f"if(number <> 0 and length(series) >= {LEAST_LETTERS - 1}, {_left_out('series')}, array())")
+    coded = F.expr("if(base <> '', array(xxhash64(number, 'code', base)), array())")
+    keys = nodes.select("node", F.explode(F.array_distinct(F.concat(spelt, coded))).alias("key"), F.lit(True).alias("probe"))
+    words = nodes.filter("number = 0 and size(split(series, ' ')) >= 3").select("node", "number", F.explode(F.split("series", " ")).alias("word"))
+    if words.isEmpty():
+        return keys
+    # at most a fifth of the words stay without a counterpart, so one of the rarest has one
+    w = Window.partitionBy("node")
+    rare = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").withColumn("place", F.row_number().over(w.orderBy("n", "word"))).withColumn("size", F.count(F.lit(1)).over(w))
+    each = rare.select("node", F.expr("place <= size div 5 + 1").alias("probe"), F.explode(F.expr(_left_out("word"))).alias("key"))
+    return keys.unionByName(each.groupBy("node", "key").agg(F.max("probe").alias("probe")))
+
+
+def _run_links(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes that are one series: sorted by key, each window is the whole run of a key, whatever its length."""
+    keyed = _keys(nodes).join(nodes.select("node", "series", "number", "brand", "base", "category"), "node")
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    runs = shared.select("key", "probe", "node", "series", "number", "brand", "base", "category").sortWithinPartitions("key", F.desc("probe"), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: list[tuple] = []
+        held: list[tuple] = []
         for b in batches:
             left, right = [], []
-            for row in zip(*(b.column(c).to_pylist() for c in ("home", "own", "node", "series", "number", "brand", "base", "category"))):
-                if window and window[-1][0] != row[0]:
-                    window = []
-                for other in window:
-                    if other[1] == other[0] and _aligned(other[3:], row[3:]):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[-1][0] != row[0]:
+                    held = []
+                for other in held:
+                    if _aligned(other[3:], row[3:]):
                         left.append(other[2])
                         right.append(row[2])
-                window = [*window, row][-(width - 1) :]
+                if row[1]:
+                    held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return spread.mapInArrow(compare, "a long, b long")
+    return runs.mapInArrow(compare, "a long, b long")
+
+
+def _alike(a: str, b: str) -> bool:
+    """Whether the letters agree by SAME_CODE_RATIO, in either order of the two; the quick ratios are upper bounds."""
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= SAME_CODE_RATIO and m.quick_ratio() >= SAME_CODE_RATIO and (m.ratio() >= SAME_CODE_RATIO or SequenceMatcher(None, b, a).ratio() >= SAME_CODE_RATIO)
 
 
 def _aligned(x: tuple, y: tuple) -> bool:
@@ -124,13 +150,13 @@ def _aligned(x: tuple, y: tuple) -> bool:
         return False
     if base and base2 and base != base2:
         return False
-    if base and base == base2 and SequenceMatcher(None, series, series2).ratio() >= SAME_CODE_RATIO:
+    if base and base == base2 and _alike(series, series2):
         return True
     if number == 0:  # no series was read: the titles' words are aligned one by one
         u, v = series.split(), series2.split()
-        hits = sum(any(one_edit(p, q) for q in v) for p in u)
+        hits = max(sum(any(one_edit(p, q) for q in y) for p in x) for x, y in ((u, v), (v, u)))
         return min(len(u), len(v)) >= 3 and hits >= 0.8 * max(len(u), len(v))
-    return len(series) >= 6 and one_edit(series, series2)
+    return max(len(series), len(series2)) >= LEAST_LETTERS and one_edit(series, series2)
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
@@ -183,7 +209,7 @@ def correlate(statements: list[tuple[int, str, str, dict]]) -> dict[int, int]:
     return out
 
 
-def product_groups(catalogue: DataFrame, width: int = 20) -> DataFrame:
+def product_groups(catalogue: DataFrame) -> DataFrame:
     """(item_index, group): one row per listing, with the same group for listings of the same product.
 
     Same product: same brand, series and number, softly aligned, same generation and no property (colour, pack, power,
@@ -191,26 +217,14 @@ def product_groups(catalogue: DataFrame, width: int = 20) -> DataFrame:
     whatever wording or unit; a common maker's code is decisive. What a listing leaves out doesn't separate it. group
     is the smallest item_index of the product. A listing of which nothing can be read is a group of its own. Null
     items are left out; null or empty columns state nothing; whole texts are read. An empty catalogue gives no rows.
-
-    width: neighbours in each of the four sort orders that a series name is compared with.
     """
     read = materialise(_statements(catalogue), "statements")
     said = materialise(_with_brands(read), "branded")
-    # a node is a spelling of a series with its number; exact equality of spellings needs no window
+    # a node is a spelling of a series with its number; exact equality of spellings needs no comparison
     base = F.when(F.col("code") != "", F.expr("left(code, length(code) - 1)"))
     names = said.groupBy("series", "number").agg(F.min("item_index").cast("long").alias("node"), F.max("brand").alias("brand"), F.max("category").alias("category"), F.coalesce(F.max(base), F.lit("")).alias("base"))
     nodes = materialise(names, "series")
-    keys = [
-        F.concat_ws("|", "series", "number"),
-        F.concat_ws("|", F.reverse("series"), "number"),
-        F.concat_ws("|", "number", F.array_join(F.array_sort(F.array_distinct(F.split("series", ""))), "")),
-        F.when(F.col("base") != "", F.concat_ws("|", "base", "number", "series")),
-    ]
-    links = None
-    for k in keys:
-        found = _window_links(nodes, k, width)
-        links = found if links is None else links.unionByName(found)
-    roots = components(nodes, materialise(links.distinct(), "aligned"))
+    roots = components(nodes, materialise(_run_links(nodes).distinct(), "aligned"))
     series = materialise(nodes.join(roots, "node").select("series", "number", F.col("root").alias("series_root")), "series_roots")
     placed = said.join(series, ["series", "number"]).select("item_index", "series_root", "code", "brand", "stated")
     # identical statements are one representative
