@@ -7,7 +7,7 @@ import pytest
 
 from wickerloom.llm.listings import one_edit, plain, read_listing
 from wickerloom.llm.matching import correlate, group_pairs, product_groups
-from wickerloom.llm.residue import find_residue
+from wickerloom.llm.residue import fields, find_residue
 
 LISTING = "item_index int, title string, features array<string>, description string, categories array<string>, group int, series string"
 
@@ -126,6 +126,16 @@ def test_residue_is_told_from_texts_that_speak_of_it(spark):
     assert len(got) == len(CASES) and find_residue(df.filter("false")).collect() == []
 
 
+@pytest.mark.parametrize("text", ["Your parcel [order_id] left.", "Part {product_id} fits.", "See %tracking_code% for it.", "Ask <support_team> first.", "Costs $shipping_fee$ more.", "Ref ~batch_no~ here", "The __delivery_window__ ends", "From [warehouseName] with care.", "Code {orderId} or [OrderID]", "Pay <GRAND_SUM> now"])
+def test_fields_are_known_by_the_form_of_their_name(text):
+    assert fields(text)
+
+
+@pytest.mark.parametrize("text", ["Use row[max_len] there.", "On [iPhone] and <eBay>, [YouTube] too.", "See [user_guide](page) for it.", "[solved] The <first> <last> of [A], then press [Enter].", "The {set} and ~ten~ of [sic].", "snake_case and camelCase are styles", "Runs on [macOS]."])
+def test_ordinary_text_in_brackets_is_no_field(text):
+    assert not fields(text)
+
+
 def test_long_and_repeated_texts(spark):
     long = (REAL + "\n") * 3000
     df = spark.createDataFrame([(1, long), (2, long + " {{price}}"), (3, "404 Not Found"), (3, "404 Not Found")], "doc_id long, text string")

@@ -2,8 +2,9 @@
 
 Labelled exemplars are kept in an inverted index from term to exemplar. Passages of a text retrieve the exemplars that
 share their rarer terms; a passage's terms are covered where it holds an exemplar's share of TF-IDF weight, or an
-exemplar holds the passage's. Unfilled fields are one term each, whatever their syntax and name. A text is excluded if
-a field is left in it, or if exemplars cover most of its body's weight.
+exemplar holds the passage's. Unfilled fields are found by their syntax before that, and by the form of the name or a
+list of names where the syntax is also ordinary text. A text is excluded if a field is left in it, or if exemplars cover
+most of its body's weight.
 """
 
 from __future__ import annotations
@@ -212,6 +213,8 @@ _ANY_FIELD = re.compile(
 _NAMED_FIELD = re.compile(
     rf"<<({_NAME})>>|<({_NAME})>|«({_NAME})»|\[({_NAME})\]|\{{({_NAME})\}}|%({_NAME})%|\$({_NAME})\$|~({_NAME})~|__([A-Za-z][A-Za-z0-9.\[\]]*(?:_[A-Za-z0-9.\[\]]+)*)__"
 )
+#: Names in a form that ordinary words don't have: order_id, ORDER_ID, orderId, orderID, OrderId. A short first part is a trade name's (iPhone, eBay).
+_NAME_FORM = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+(?:\[\d+\])?|[a-z]{2,}[a-z0-9]*(?:[A-Z][a-z]+[0-9]*)+(?:ID)?|[A-Za-z][a-z]+(?:[A-Z][a-z]+)*I[dD]")
 _PRINTED = re.compile(r"(?<![\w/.-])(null|undefined|nan|TODO|[Xx]{4,})(?![\w/-])", re.I)
 _SPANISH = re.compile(r"(?<!\w)(?:el|la|los|las|de|del|que|por|para|con|en|es|un|una)(?!\w)", re.I)
 #: Every field's syntax needs one of these.
@@ -259,7 +262,9 @@ def fields(text: str) -> list[tuple[int, int]]:
     for m in _NAMED_FIELD.finditer(text):
         name = next(g for g in m.groups() if g is not None)
         bare = m.group(2) is not None
-        if _is_field(name) and not (bare and _TAG.fullmatch(m.group())) and not (bare and name.lower() in ("first", "last")):
+        # by form alone, an index (row[max_len]), a part of a word and a link's text are no fields
+        apart = not re.match(r"\w", text[m.end() : m.end() + 1]) and not re.search(r"\w$", text[max(0, m.start() - 1) : m.start()]) and not text.startswith("](", m.end() - 1)
+        if (_is_field(name) or (apart and _NAME_FORM.fullmatch(name))) and not (bare and _TAG.fullmatch(m.group())) and not (bare and name.lower() in ("first", "last")):
             found.append(m.span())
     if _PRINTED.search(text):
         cased = re.sub(r"[^A-Za-z]", "", text)
