@@ -204,6 +204,21 @@ def test_hybrid_scores_against_loops(spark):
     assert 9 not in got
 
 
+def test_hybrid_scores_are_the_same_in_any_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(2, 1, size=(60, 4)))] + [(60, [1.0] * 4), (61, [1.0] * 4)], "vec_id long, embedding array<double>")
+    profiles = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(6, 4)))], "user long, profile array<double>")
+    seen = spark.createDataFrame([(0, 3), (0, 11), (1, 60)], "user long, vec_id long")
+    pop = {i: float(i % 7) for i in range(0, 62, 3)}
+    rows = lambda: [(r.user, r.rank, r.vec_id, round(r.score, 7)) for r in H.profile_scores(profiles, vectors, 50, pop, 0.7, seen).orderBy("user", "rank").collect()]
+    whole = rows()
+    monkeypatch.setattr(H, "MAX_CATALOGUE", 9)
+    assert rows() == whole and len(whole) == 300
+    assert H.profile_scores(profiles, vectors.filter("false"), 5).collect() == []
+
+
 def test_best_columns_take_ties_by_place():
     import numpy as np
 

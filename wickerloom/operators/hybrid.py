@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickerloom.operators.ranking import min_max
+from wickerloom.operators.ranking import min_max, top_per_group
 from wickerloom.operators.vectors import best_columns
 from wickerloom.session import materialise
 
-#: Vectors of a catalogue that is held as one block, and entries of a block of users' scores.
+#: Vectors of a catalogue that one block holds, about, and entries of a block of users' scores.
 MAX_CATALOGUE = 65_536
 SCORES = 4_000_000
 
@@ -47,37 +47,87 @@ def fuse(collaborative: Column, semantic: Column, alpha: float, observed: Column
     return mixed if observed is None else F.when(observed, mixed).otherwise(semantic)
 
 
-def profile_scores(profiles: DataFrame, vectors: DataFrame, k: int, popularity: dict[int, float] | None = None, alpha: float = 1.0, seen: DataFrame | None = None, epsilon: float = 1e-6) -> DataFrame:
+def _moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and covariance of the vectors; one row a partition reaches the driver."""
+
+    def joined(x: tuple, y: tuple) -> tuple:
+        (n, mean, m), (n2, mean2, m2) = x, y
+        apart = mean2 - mean
+        return n + n2, mean + apart * (n2 / (n + n2)), m + m2 + np.outer(apart, apart) * (n * n2 / (n + n2))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(0).to_pylist(), np.float64)
+                mean = x.mean(0)
+                one = (len(x), mean, (x - mean).T @ (x - mean))
+                held = one if held is None else joined(held, one)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1].tolist()]), pa.array([held[2].ravel().tolist()])], ["n", "mean", "m"])
+
+    held = None
+    for row in vectors.select("embedding").mapInArrow(part, "n long, mean array<double>, m array<double>").toLocalIterator():
+        mean = np.asarray(row.mean)
+        one = (row.n, mean, np.asarray(row.m).reshape(len(mean), len(mean)))
+        held = one if held is None else joined(held, one)
+    return (held[0], held[1], held[2] / held[0]) if held else (0, np.empty(0), np.empty((0, 0)))
+
+
+def profile_scores(profiles: DataFrame, vectors: DataFrame, k: int, popularity: DataFrame | dict[int, float] | None = None, alpha: float = 1.0, seen: DataFrame | None = None, epsilon: float = 1e-6) -> DataFrame:
     """(user, rank, vec_id, score): each user's k best vectors by z-scored semantic and popularity scores, without the seen ones.
 
-    profiles: (user, profile); vectors: (vec_id, embedding) of a catalogue that fits a block; z-scores are over the whole
-    catalogue, before seen ones are left out. Products are taken by blocks of users in one matrix product each; only the
-    k best plus a user's seen ones leave a task.
+    profiles: (user, profile); vectors: (vec_id, embedding); popularity: (vec_id, n) or a dict, 0 where it has none.
+    z-scores are over the whole catalogue, before seen ones are left out; a user's mean and deviation follow from the
+    catalogue's mean and covariance. The catalogue is taken in blocks of about MAX_CATALOGUE vectors and products by
+    blocks of users in one matrix product each; only the k best of a block leave a task. An empty catalogue gives no rows.
     """
-    if vectors.count() > MAX_CATALOGUE:
-        raise ValueError("the catalogue is too large to be held as one block; use vector_topk")
-    t = vectors.select("vec_id", "embedding").orderBy("vec_id").toArrow()
-    ids, matrix = np.asarray(t.column("vec_id"), np.int64), np.asarray(t.column("embedding").to_pylist(), np.float64)
-    pop = np.asarray([(popularity or {}).get(int(i), 0.0) for i in ids])
-    zpop = (pop - pop.mean()) / (pop.std() + epsilon)
-    shared = profiles.sparkSession.sparkContext.broadcast((ids, matrix, zpop))
+    spark = profiles.sparkSession
+    if not isinstance(popularity, DataFrame):
+        popularity = spark.createDataFrame([(int(i), float(n)) for i, n in (popularity or {}).items()], "vec_id long, n double")
+    catalogue = materialise(vectors.select("vec_id", "embedding").join(popularity.select("vec_id", F.col("n").cast("double").alias("pop")), "vec_id", "left").fillna(0.0, ["pop"]), "catalogue")
+    n, mean, covariance = _moments(catalogue)
+    of_pop = catalogue.agg(F.avg("pop").alias("mean"), F.stddev_pop("pop").alias("deviation")).first()
+    result = "user long, rank int, vec_id long, score double"
+    if not n:
+        return spark.createDataFrame([], result)
     rows = profiles.select("user", "profile").filter("profile is not null")
     if seen is not None:
         mine = seen.groupBy("user").agg(F.collect_set("vec_id").alias("seen"))  # at most the catalogue's size
         rows = rows.join(mine, "user", "left")
     else:
         rows = rows.withColumn("seen", F.array().cast("array<bigint>"))
+    blocks = -(-n // MAX_CATALOGUE)
+    if blocks == 1:
+        return rows.mapInArrow(_block_scores(catalogue, k, alpha, epsilon, mean, covariance, of_pop), result)
+    rows, out = materialise(rows, "profiles"), None
+    for b in range(blocks):
+        block = catalogue.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+        found = materialise(rows.mapInArrow(_block_scores(block, k, alpha, epsilon, mean, covariance, of_pop), result), "block")
+        out = found if out is None else out.unionByName(found)
+    best = top_per_group(out.drop("rank"), ["user"], [F.desc("score"), F.col("vec_id")], k)
+    return best.select("user", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _block_scores(block: DataFrame, k: int, alpha: float, epsilon: float, mean: np.ndarray, covariance: np.ndarray, of_pop):
+    """The function that gives batches of (user, profile, seen) their k best of one block of the catalogue."""
+    t = block.orderBy("vec_id").toArrow()
+    ids, matrix = np.asarray(t.column("vec_id"), np.int64), np.asarray(t.column("embedding").to_pylist(), np.float64).reshape(-1, len(mean))
+    zpop = (np.asarray(t.column("pop"), np.float64) - of_pop.mean) / (of_pop.deviation + epsilon)
+    shared = block.sparkSession.sparkContext.broadcast((ids, matrix, zpop, mean, covariance))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, zpop = shared.value
+        ids, matrix, zpop, mean, covariance = shared.value
+        if not len(ids):
+            return
         place = {int(i): k for k, i in enumerate(ids)}
         step = max(1, SCORES // max(1, len(ids)))
         for whole in batches:
             for a in range(0, whole.num_rows, step):
                 b = whole.slice(a, step)
                 p = np.asarray(b.column(1).to_pylist(), np.float64)
-                s = p @ matrix.T
-                z = (s - s.mean(1, keepdims=True)) / (s.std(1, keepdims=True) + epsilon)
+                deviation = np.sqrt(np.maximum(((p @ covariance) * p).sum(1, keepdims=True), 0.0))
+                z = (p @ matrix.T - (p @ mean)[:, None]) / (deviation + epsilon)
                 total = np.round((1 - alpha) * zpop[None, :] + alpha * z, 9)
                 for r, gone in enumerate(b.column(2).to_pylist()):
                     for v in gone or ():
@@ -90,7 +140,7 @@ def profile_scores(profiles: DataFrame, vectors: DataFrame, k: int, popularity:
                 rank = np.tile(np.arange(1, order.shape[1] + 1), b.num_rows)[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(user), pa.array(rank.astype(np.int32)), pa.array(ids[order].ravel()[keep]), pa.array(best.ravel()[keep])], ["user", "rank", "vec_id", "score"])
 
-    return rows.mapInArrow(score, "user long, rank int, vec_id long, score double")
+    return score
 
 
 def rerank(candidates: DataFrame, top: int, pool: int, weights: Sequence[float] = (0.7, 0.2, 0.1)) -> DataFrame:

@@ -88,7 +88,7 @@ def _semantic(spark, sf_dir, alpha):
     split = materialise(I.temporal_split(I.positives(reviews(spark, sf_dir))), "split")
     train = split.filter("split = 'train'").select("user", F.pmod("item", F.lit(n)).alias("vec_id"))
     profiles = V.mean_vectors(train.join(e, "vec_id"), "user").select("user", "profile")
-    counts = {r.vec_id: float(r.n) for r in train.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a vector of the catalogue block
+    counts = train.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
     return profiles, e, train.distinct(), counts, alpha
 
 
