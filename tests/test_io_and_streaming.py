@@ -79,6 +79,14 @@ def test_negatives_are_no_positives(spark):
     assert len(got) == 120 and {r.negative for r in got} <= {8, 9}
 
 
+def test_draws_left_over_come_from_the_items_that_a_user_lacks(spark):
+    pos = spark.createDataFrame([(1, i) for i in range(60) if i != 17] + [(2, 5)] + [(3, i) for i in range(60)], "user long, item long")
+    items = spark.createDataFrame([(i, i) for i in range(60)], "item long, item_id long")
+    got = [(r.user, r.item, r.draw, r.negative) for r in negative_samples(pos, items, 2, 1, rounds=1).collect()]
+    assert len(got) == len({g[:3] for g in got}) == 2 * 59 + 2
+    assert {n for u, _, _, n in got if u == 1} == {17} and all(n != 5 for u, _, _, n in got if u == 2)
+
+
 @pytest.mark.parametrize("text, want", [("ＵＳＢ‑Ｃ  Straße", "usb-c strasse"), (None, None)])
 def test_normal_form(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(S.normal_form("t")).first()[0] == want

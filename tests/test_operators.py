@@ -181,6 +181,14 @@ def test_fingerprint_is_a_tree(spark):
     assert P.ordered_fingerprint(a.filter("false"), "id", F.col("l")).collect() == []
 
 
+def test_a_long_chain_peels_to_nothing(spark, monkeypatch):
+    monkeypatch.setattr(I, "materialise", lambda df, label: spark.createDataFrame(df.collect(), df.schema).coalesce(1))
+    rows = [(k // 2, (k + 1) // 2) for k in range(208)]  # a path loses its two ends a round
+    ring = [(1000, 1000), (1000, 1001), (1001, 1000), (1001, 1001)]
+    got = I.kcore(spark.createDataFrame(rows + ring, "user long, item long").coalesce(1), 2)
+    assert sorted((r.user, r.item) for r in got.collect()) == ring
+
+
 def test_hybrid_scores_against_loops(spark):
     import numpy as np
 

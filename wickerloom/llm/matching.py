@@ -159,19 +159,18 @@ def _aligned(x: tuple, y: tuple) -> bool:
     return max(len(series), len(series2)) >= LEAST_LETTERS and one_edit(series, series2)
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, root): the least node of each node's component, by label spreading with pointer jumps."""
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): the least node of each node's component, by label spreading with pointer jumps until nothing changes."""
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
     linked = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "roots")
-    for _ in range(rounds):
+    done = False
+    while not done:
         spread = both.join(linked, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("r"))
         new = linked.join(spread, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("r", "root")).alias("new"), "root")
         up = new.select(F.col("node").alias("p"), F.col("new").alias("p_root"))
         jumped = materialise(new.join(up, F.col("new") == F.col("p"), "left").select("node", F.least("new", F.coalesce("p_root", "new")).alias("next"), "root"), "roots")
         done = jumped.filter("next <> root").isEmpty()
         linked = jumped.select("node", F.col("next").alias("root"))
-        if done:
-            break
     return nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

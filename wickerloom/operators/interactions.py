@@ -22,7 +22,7 @@ def temporal_split(events: DataFrame) -> DataFrame:
     return marked.select(*events.columns, split.alias("split"))
 
 
-def kcore(df: DataFrame, k: int, user: str = "user", item: str = "item", rounds: int = 100) -> DataFrame:
+def kcore(df: DataFrame, k: int, user: str = "user", item: str = "item") -> DataFrame:
     """Rows whose user and item both keep at least k rows, repeated until nothing changes.
 
     Each round is one job: it counts rows of both sides and keeps the rows of sides with k; a round that keeps all rows
@@ -30,14 +30,13 @@ def kcore(df: DataFrame, k: int, user: str = "user", item: str = "item", rounds:
     """
     now = materialise(df.filter(F.col(user).isNotNull() & F.col(item).isNotNull()), "core")
     n = now.count()
-    for _ in range(rounds):
+    while True:
         users = now.groupBy(user).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(user)
         items = now.groupBy(item).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(item)
         now = materialise(now.join(users, user, "left_semi").join(items, item, "left_semi"), "core")
         before, n = n, now.count()
         if n == before:
-            break
-    return now
+            return now
 
 
 def core_sizes(df: DataFrame, ks: list[int]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerloom.operators.ranking import top_per_group
@@ -23,7 +23,8 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str] =
 def negative_samples(positives: DataFrame, items: DataFrame, per_positive: int, seed: int, rounds: int = 100) -> DataFrame:
     """(user, item, draw, negative): items drawn evenly among those the user has no positive with, per_positive for each.
 
-    items: (item, item_id) with item_id from 0 without gaps. Draws that hit a positive are drawn again, at most rounds times.
+    items: (item, item_id) with item_id from 0 without gaps. Draws that hit a positive are drawn again, rounds times; those
+    still left, of users with nearly every item, are drawn from the items that the user lacks. A user with every item has none.
     """
     n = items.count()
     known = positives.select("user", F.col("item").alias("negative")).distinct()
@@ -36,5 +37,15 @@ def negative_samples(positives: DataFrame, items: DataFrame, per_positive: int,
         done = good if done is None else done.unionByName(good)
         todo = named.join(known, ["user", "negative"], "left_semi").select("user", "item", "draw")
         if todo.isEmpty():
-            break
-    return done
+            return done
+    return done.unionByName(_from_lacking(materialise(todo, "left"), known, items, seed))
+
+
+def _from_lacking(todo: DataFrame, known: DataFrame, items: DataFrame, seed: int) -> DataFrame:
+    """The draws of todo, even among the items that their users lack: todo's users by all items, less the known."""
+    pairs = todo.select("user").distinct().crossJoin(items.select(F.col("item").alias("negative"))).join(known, ["user", "negative"], "left_anti")
+    w = Window.partitionBy("user")
+    lacking = materialise(pairs.withColumn("place", F.row_number().over(w.orderBy("negative"))).withColumn("n", F.count(F.lit(1)).over(w)), "lacking")
+    sizes = lacking.select("user", "n").distinct()
+    placed = todo.join(sizes, "user").withColumn("place", F.pmod(F.xxhash64("user", "item", "draw", F.lit(seed), F.lit("lacking")), F.col("n")) + 1)
+    return placed.join(lacking.select("user", "place", "negative"), ["user", "place"]).select("user", "item", "draw", "negative")
