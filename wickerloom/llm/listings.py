@@ -32,22 +32,28 @@ RESOLUTIONS = {
     "2160p": 2160, "uhd": 2160, "4k": 2160, "ultra hd": 2160, "3840x2160": 2160, "3840 x 2160": 2160,
 }
 
-_NUM = r"\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?|" + "|".join(NUMBER_WORDS)
-_UNIT = "|".join(sorted(map(re.escape, UNITS), key=len, reverse=True))
-_MEASURE = rf"(?P<n>{_NUM})[ -]?(?P<u>{_UNIT})(?![a-z0-9])"
-_PACK = rf"(?:pack of|set of|box of|lot of) (?P<p1>{_NUM})|\(?(?P<p2>{_NUM})[ -]?(?:pack(?! of)|pcs|pc|pieces|piece|count|ct)\b\)?|(?P<p3>single pack)"
-_COLOUR = "(?P<c>" + "|".join(sorted(COLOURS, key=len, reverse=True)) + r")(?![a-z0-9-])"
-_RES = "(?P<r>" + "|".join(sorted(RESOLUTIONS, key=len, reverse=True)) + r")(?![a-z0-9])"
-_ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5}
-_GEN = r"\(?(?:(?:gen|generation|mk|mark|version|v)[ .]?(?P<g1>\d)(?!\d|[.,]\d)\)?|(?P<g2>\d)(?:st|nd|rd|th) gen(?:eration)?\b\)?|(?P<g3>iii|ii|iv)\b)"
-_VALUE = re.compile(rf"(?<![a-z0-9.,])(?:{_RES}|{_PACK}|{_MEASURE}|{_COLOUR}|{_GEN})")
-_CODE = re.compile(r"(?<![a-z0-9])([a-z]{2})[ /-]?(\d{4})([a-z])(?![a-z0-9])")
-_SERIES = re.compile(rf"(?<![a-z0-9])([a-z]{{4,}})[ -]?(\d{{2,3}})(?![a-z0-9.,%]*\d)(?![a-z0-9%])(?![ -]?(?:{_UNIT}|pack(?! of)|pcs|pc|pieces|count|ct)(?![a-z0-9]))(?!,\d)")
-_WRAP = re.compile(r"^(?:comes as|you get|this one is the|this offer is for|it is the|[a-z][a-z ]{1,20}:)\s*|\s+version\.?$|[.;]$")
-_SAID = re.compile(r"(?:this offer is for|it is the|note the)\s+(.{1,40}?)(?:\s+version|: [a-z ]{2,20} as stated by the maker)?(?=[.!?](?:\s|$)|$)")
-_BRAND = re.compile(r"^brand: (?P<a>.+)$|^made by (?P<b>.+)$|^(?P<c>.+?) original part$")
-_BRAND_SAID = re.compile(r"(?:^|[.!?] |\n)(?:brand: ([a-z][a-z-]{3,30})|made by ([a-z][a-z-]{3,30})|([a-z][a-z-]{3,30}) original part)")
-_CODE_SAID = re.compile(r"(?:mpn|maker reference:?|item model) (?:model )?[#(]?([a-z]{2}[ /-]?\d{4}[a-z])(?![a-z0-9])")
+#: Words that count pieces, words before a number of pieces, and words before a generation.
+PIECES = {"pack", "packs", "pcs", "pc", "pieces", "piece", "count", "ct"}
+PACKS = {"pack", "set", "box", "lot"}
+GENERATIONS = {"gen", "generation", "mk", "mark", "version", "v"}
+ROMAN = {"ii": 2, "iii": 3, "iv": 4}
+#: Names of a property that may stand beside its value.
+NAMES = {
+    "power": {"power", "wattage", "output"}, "storage": {"storage", "capacity", "memory"}, "charge": {"charge", "battery", "capacity"}, "volume": {"volume", "capacity"}, "weight": {"weight"}, "length": {"length", "long", "screen", "size", "diagonal"},
+    "sensor": {"sensor"}, "refresh": {"refresh"}, "ports": {"ports"}, "resolution": {"resolution", "display", "screen"}, "colour": {"colour", "color", "finish"}, "pack": {"pack", "quantity"}, "generation": {"generation", "version"},
+}
+#: Words before a number that states a standard and names no model.
+STANDARDS = {"usb", "hdmi", "bluetooth", "wifi", "windows", "android", "ios", "class", "type", "cat", "ddr", "pcie", "level", "grade", "part", "no", "over", "under", "for", "with", "and", "the", "to", "up"}
+NETWORKS = {"2g", "3g", "4g", "5g", "6g"}
+#: Words after a model's number that make it another model, unless they are marketing in a catalogue.
+VARIANTS = {"pro", "max", "plus", "mini", "ultra", "lite", "air", "se", "fe", "xl"}
+#: Words before a maker's code and before a brand.
+CODE_LABELS = {"mpn", "model", "reference", "ref", "sku", "part", "no", "number", "item"}
+BRAND_LABELS = {("brand",), ("made", "by"), ("manufacturer",), ("maker",), ("manufactured", "by")}
+
+#: Other words that a clause which states a value may hold.
+CLAUSE_WORDS = 7
+
 _SUFFIX = re.compile(r"(?:\s+(?:inc|ltd|llc|co|corp|gmbh)\.?)+$")
 
 
@@ -68,47 +74,6 @@ def plain(text: str | None) -> str:
     return " ".join(text.lower().replace("‑", "-").replace("–", "-").replace("—", "-").replace("″", '"').replace("”", '"').split())
 
 
-def _number(s: str) -> float:
-    return NUMBER_WORDS[s] if s in NUMBER_WORDS else float(s.replace(",", ""))
-
-
-def _value(m: re.Match) -> tuple[str, float | str]:
-    g = m.groupdict()
-    if g["r"]:
-        return "resolution", float(RESOLUTIONS[g["r"]])
-    if g["p1"] or g["p2"] or g["p3"]:
-        return "pack", 1.0 if g["p3"] else _number(g["p1"] or g["p2"])
-    if g["c"]:
-        return "colour", COLOURS[g["c"]]
-    if g["g1"] or g["g2"] or g["g3"]:
-        return "generation", float(_ROMAN.get(g["g3"], 0) or int(g["g1"] or g["g2"]))
-    kind, size = UNITS[g["u"]]
-    return kind, round(_number(g["n"]) * size, 3)
-
-
-@dataclass
-class Listing:
-    series: str = ""
-    number: int = 0
-    code: str = ""
-    brand: str = ""
-    words: list[str] = field(default_factory=list)
-    properties: dict[str, list] = field(default_factory=dict)
-
-    def add(self, kind: str, value: float | str) -> None:
-        have = self.properties.setdefault(kind, [])
-        if value not in have:
-            have.append(value)
-
-
-def _code(text: str) -> tuple[str, str]:
-    """The maker's code, without separators, and the text without it."""
-    for m in _CODE.finditer(text):
-        if m.group(2) + m.group(3) not in RESOLUTIONS:
-            return "".join(m.groups()), text[: m.start()] + " " + text[m.end() :]
-    return "", text
-
-
 def letters(text: str) -> str:
     return re.sub(r"[^a-z]+", "", _SUFFIX.sub("", text.strip()))
 
@@ -127,80 +92,339 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
-_LONG_UNITS = [u for u in UNITS if len(u) >= 4 and u.isalpha()]
-_LONG_NUMBERS = [w for w in NUMBER_WORDS if len(w) > 3]
-_LONG_COLOURS = [c for c in COLOURS if len(c) >= 5 and c.isalpha()]
-_MISSPELT = re.compile(rf"(?<![a-z0-9.,])({_NUM})[ -]?([a-z]{{4,9}})(?![a-z0-9-])")
-#: Words of ordinary titles that lie one letter from a colour.
-_NO_COLOUR = {"back", "block", "blank", "slack", "write", "while"}
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)*[^\W_]*|[^\W_]+|''|[^\w\s]")
+_DIGITS = frozenset("0123456789")
+_LED = re.compile(r"(\d+(?:[.,]\d+)*)(.*)", re.S)
+_TRAILED = re.compile(r"([^\W\d_]+)(\d.*)", re.S)
+_CAMEL = re.compile(r"\b((?:[A-Z][a-z]+){2,})[ -]?(\d+[A-Za-z]?)\b")
+
+
+def _number(s: str) -> float:
+    if s in NUMBER_WORDS:
+        return NUMBER_WORDS[s]
+    whole, _, rest = s.rpartition(",")
+    # a comma before three digits parts thousands, else decimals
+    s = s.replace(",", "") if not whole or len(rest.partition(".")[0]) == 3 else s.replace(",", ".")
+    return float(s) if s.count(".") < 2 else 0.0
+
+
+def _phrases() -> dict[str, list[tuple[tuple[str, ...], str, float | str]]]:
+    """First token -> the colours, resolutions and other phrases that begin with it, longest first."""
+    out: dict[str, list] = {}
+    rows = [(k, "colour", v) for k, v in COLOURS.items()] + [(k, "resolution", float(v)) for k, v in RESOLUTIONS.items() if not k[0].isdigit()] + [("single pack", "pack", 1.0)]
+    for text, kind, value in rows:
+        tokens = tuple(_TOKEN.findall(text))
+        out.setdefault(tokens[0], []).append((tokens, kind, value))
+    for rows in out.values():
+        rows.sort(key=lambda r: -len(r[0]))
+    return out
+
+
+_PHRASES = _phrases()
+_HEIGHTS = {float(v) for v in RESOLUTIONS.values()}
+#: Tokens with which a value may begin; all others are passed over at once.
+_BEGINS = NUMBER_WORDS.keys() | _PHRASES.keys() | PACKS | GENERATIONS | ROMAN.keys()
+
+
+def _numbered(tokens: list[str], i: int, digits: str, tail: str) -> tuple[int, str, float | str] | None:
+    """The value that begins with a number at i, as (end, property, value); tail is what is joined to the number."""
+    n, j = _number(digits), i + 1
+    at = lambda k: tokens[k] if k < len(tokens) else ""
+    if not tail:
+        dashed = at(j) == "-"
+        j += dashed
+        tail = at(j)
+        j += 1
+        if not tail or (tail == "in" and not dashed and at(j)[:1].isalpha()):
+            return None
+    else:
+        dashed = True
+        if digits + tail in NETWORKS:
+            return None
+    if tail == "in" and at(j) == "-" and at(j + 1) == "1":
+        return j + 2, "ports", n
+    if tail == "fl":
+        j += at(j) == "."
+        return (j + 1, "volume", round(n * UNITS["fl oz"][1], 3)) if at(j) == "oz" else None
+    if tail == "fluid":
+        return (j + 1, "volume", round(n * UNITS["fl oz"][1], 3)) if at(j).startswith("ounce") else None
+    if tail in UNITS:
+        kind, size = UNITS[tail]
+        return j, kind, round(n * size, 3)
+    if tail in PIECES:
+        return (j, "pack", n) if at(j) != "of" else None
+    if tail == "p" and n in _HEIGHTS:
+        return j, "resolution", n
+    if tail == "k" and n == 4:
+        return j, "resolution", 2160.0
+    if tail[0] == "x":
+        high = tail[1:] or at(j)
+        if high[:1].isdigit() and high.isdigit() and float(high) in _HEIGHTS and n > float(high):
+            return j + (tail == "x"), "resolution", float(high)
+    if tail in ("st", "nd", "rd", "th") and at(j) in ("gen", "generation"):
+        return j + 1, "generation", n
+    return None
+
+
+def _value_at(tokens: list[str], i: int) -> tuple[int, str, float | str] | None:
+    t = tokens[i]
+    if t[0].isdigit():
+        m = _LED.match(t)
+        return _numbered(tokens, i, m.group(1), m.group(2))
+    if t in NUMBER_WORDS:
+        return _numbered(tokens, i, t, "")
+    for phrase, kind, value in _PHRASES.get(t, ()):
+        if tuple(tokens[i : i + len(phrase)]) == phrase:
+            return i + len(phrase), kind, value
+    after = tokens[i + 1] if i + 1 < len(tokens) else ""
+    if t in PACKS and after == "of" and i + 2 < len(tokens):
+        n = tokens[i + 2]
+        return (i + 3, "pack", _number(n)) if n in NUMBER_WORDS or n.isdigit() else None
+    if t in GENERATIONS:
+        j = i + 1 + (after == ".")
+        n = tokens[j] if j < len(tokens) else ""
+        return (j + 1, "generation", float(n)) if len(n) == 1 and n.isdigit() else None
+    if t in ROMAN:
+        return i + 1, "generation", float(ROMAN[t])
+    return None
+
+
+def _values(tokens: list[str]) -> list[tuple[int, int, str, float | str]]:
+    """The values (start, end, property, value), none within another."""
+    out, free = [], 0
+    for i, t in enumerate(tokens):
+        if (t in _BEGINS or t[0] in _DIGITS) and i >= free:
+            found = _value_at(tokens, i)
+        elif t[-1] in _DIGITS and i >= free and (m := _TRAILED.match(t)) and m.group(1) in GENERATIONS and len(m.group(2)) == 1:
+            found = i + 1, "generation", float(m.group(2))
+        else:
+            continue
+        if found:
+            out.append((i, *found))
+            free = found[0]
+    return out
+
+
+def _scan(tokens: list[str]) -> tuple[list[tuple[int, int, str, float | str]], list[str]]:
+    """The values and the tokens with a ; in the place of each value."""
+    values, rest, at = _values(tokens), [], 0
+    for a, z, _, _ in values:
+        rest += [*tokens[at:a], ";"]
+        at = z
+    return values, rest + tokens[at:]
+
+
+@dataclass
+class Listing:
+    anchors: list[tuple[str, str]] = field(default_factory=list)
+    code: str = ""
+    brand: str = ""
+    #: The brand with the word after it, should the name have been torn.
+    longer: str = ""
+    alias: str = ""
+    words: list[str] = field(default_factory=list)
+    properties: dict[str, float | str] = field(default_factory=dict)
+    #: Words of VARIANTS right after a model's number, and all of them.
+    variants: list[str] = field(default_factory=list)
+
+    def add(self, kind: str, value: float | str) -> None:
+        """A listing's first statement of a property counts."""
+        self.properties.setdefault(kind, value)
+
+
+def _code_at(tokens: list[str], i: int, labelled: bool) -> tuple[int, str] | None:
+    """A maker's code at i, (end, code): letters, three digits or more, and letters, joined or parted by a mark; with a label, less will do."""
+    t = tokens[i]
+    if (m := _TRAILED.match(t)) and len(m.group(1)) <= 4 and sum(c in _DIGITS for c in t) >= 3:
+        return i + 1, t
+    if not t.isalpha() or len(t) > 3 or t in STANDARDS or t in COLOURS:
+        return None
+    j = i + 1
+    j += j < len(tokens) and tokens[j] in "-/"
+    n = tokens[j] if j < len(tokens) else ""
+    if n[:1] in _DIGITS and n.isalnum() and sum(c in _DIGITS for c in n) >= 3 and (labelled or n[-1].isalpha() or not n.isdigit()) and not _value_at(tokens, j):
+        return j + 1, t + n
+    return None
+
+
+def _take_code(tokens: list[str]) -> tuple[str, list[str]]:
+    """The maker's code of a title and the tokens without it."""
+    for i, t in enumerate(tokens):
+        if t[0].isalpha() and (len(t) <= 3 or t[-1] in _DIGITS or t[-2:-1] in _DIGITS):
+            labelled = i > 0 and (tokens[i - 1] in ("#", "(") or tokens[i - 1] in CODE_LABELS)
+            if found := _code_at(tokens, i, labelled):
+                return found[1], [*tokens[:i], ";", *tokens[found[0] :]]
+    return "", tokens
+
+
+def _said_code(tokens: list[str]) -> str:
+    for i, t in enumerate(tokens):
+        if t in CODE_LABELS:
+            j = i + 1
+            while j < len(tokens) and (tokens[j] in ":#(." or tokens[j] in CODE_LABELS):
+                j += 1
+            if j < len(tokens) and tokens[j][0].isalpha() and (found := _code_at(tokens, j, True)):
+                return found[1]
+    return ""
+
+
+def _said_brand(tokens: list[str], most: int) -> tuple[str, str]:
+    """The name after a brand's label, of `most` words at most, and with the next word; a dash within joins."""
+    for label in BRAND_LABELS:
+        for i, t in enumerate(tokens):
+            if t == label[0] and tuple(tokens[i : i + len(label)]) == label:
+                j = i + len(label)
+                if len(label) == 1:
+                    if j >= len(tokens) or tokens[j] != ":":
+                        continue
+                    j += 1
+                words: list[str] = []
+                while j < len(tokens) and len(words) <= most and (tokens[j].isalpha() or (tokens[j] == "-" and words)):
+                    if tokens[j] == "-":
+                        pass
+                    elif words and tokens[j - 1] == "-":
+                        words[-1] += tokens[j]
+                    else:
+                        words.append(tokens[j])
+                    j += 1
+                name = letters(" ".join(words[:most]))
+                if len(name) > 3:
+                    return name, letters(" ".join(words)) if len(words) > most else ""
+    return "", ""
+
+
+_ENDS = {".", "!", "?", ";", "\n"}
+
+
+def _states(tokens: list[str], out: "Listing") -> None:
+    """Values that the clauses of a text state: at the end of a few words, or beside a name of the property.
+
+    A bare value may be torn from its sentence, and one beside an x is a side of something; neither states anything.
+    """
+    for a, z, kind, value in _values(tokens):
+        if kind in out.properties:
+            continue
+        left = right = 0
+        k = a - 1
+        while k >= 0 and tokens[k] not in _ENDS and left <= CLAUSE_WORDS:
+            left += tokens[k].isalnum()
+            k -= 1
+        k = z
+        while k < len(tokens) and tokens[k] not in _ENDS and right <= CLAUSE_WORDS:
+            right += tokens[k].isalnum()
+            k += 1
+        before = next((t for t in reversed(tokens[max(0, a - 2) : a]) if t.isalnum()), "")
+        after = next((t for t in tokens[z : z + 2] if t.isalnum()), "")
+        if before == "x" or after == "x":
+            continue
+        # a colon parts a value from what it is the value of
+        parted = ":" in tokens[max(0, a - 2) : a] or ":" in tokens[z : z + 2]
+        named = parted or after == "version" or before in NAMES[kind] or after in NAMES[kind]
+        closing = right == 0 or (right == 1 and (kind != "colour" or after == "version"))
+        if named or (closing and 1 <= left + right <= CLAUSE_WORDS):
+            out.add(kind, value)
+
+
+def _vocabulary() -> dict[str, list[tuple[str, str]]]:
+    """Forms with one letter left out -> (what it is, word) of units, number words and colours of some length."""
+    out: dict[str, list] = {}
+    words = [("unit", u) for u in UNITS if len(u) >= 4 and u.isalpha()] + [("number", w) for w in NUMBER_WORDS if len(w) > 3] + [("colour", c) for c in COLOURS if len(c) >= 5 and c.isalpha()]
+    words += [("phrase", " ".join(p)) for rows in _PHRASES.values() for p, _, _ in rows if len(p) == 2 and all(x.isalpha() for x in p)]
+    for kind, w in words:
+        for form in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
+            out.setdefault(form, []).append((kind, w))
+    return out
+
+
+_NEAR = _vocabulary()
 
 
 @lru_cache(maxsize=100_000)
 def _near(word: str, kind: str) -> str | None:
-    """The unit, number word or colour that the word misspells; titles share most of their words."""
-    known = {"unit": _LONG_UNITS, "number": _LONG_NUMBERS, "colour": _LONG_COLOURS}[kind]
-    return next((k for k in known if one_edit(k, word)), None)
+    """The unit, number word, colour or phrase that the word misspells by one letter; titles share most of their words."""
+    for form in (word, *(word[:k] + word[k + 1 :] for k in range(len(word)))):
+        for what, known in _NEAR.get(form, ()):
+            if what == kind and one_edit(known, word):
+                return known
+    return None
 
 
-def _add_misspelt(out: "Listing", rest: str) -> None:
+#: Words of ordinary titles that lie one letter from a colour.
+_NO_COLOUR = {"back", "block", "blank", "slack", "write", "while"}
+
+
+def _add_misspelt(out: "Listing", rest: list[str]) -> None:
     """Measures, packs and colours of which one letter is wrong, where the property isn't stated otherwise."""
-    for m in _MISSPELT.finditer(rest):
-        if u := _near(m.group(2), "unit"):
-            kind, size = UNITS[u]
-            if kind not in out.properties:
-                out.add(kind, round(_number(m.group(1)) * size, 3))
-    words = re.findall(r"[a-z]+", rest)
+    words = [t for t in rest if t[0].isalnum()]
     for a, b in zip(words, words[1:]):
-        if b == "pack" and len(a) > 4 and "pack" not in out.properties and one_edit(a, "single"):
-            out.add("pack", 1.0)
-        elif len(a) > 2 and len(b) > 2 and (u := _near(b, "unit")) and UNITS[u][0] not in out.properties and (n := _near(a, "number")):
-            out.add(UNITS[u][0], float(NUMBER_WORDS[n] * UNITS[u][1]))
+        m = _LED.match(a) if a[0].isdigit() else None
+        if m and not m.group(2) and len(b) >= 4 and (u := _near(b, "unit")):
+            out.add(UNITS[u][0], round(_number(a) * UNITS[u][1], 3))
+        elif len(a) > 2 and len(b) > 2 and not m and a.isalpha() and b.isalpha():
+            if len(a) + len(b) >= 7 and (p := _near(f"{a} {b}", "phrase")):
+                _, kind, value = next(r for r in _PHRASES[p.split()[0]] if " ".join(r[0]) == p)
+                out.add(kind, value)
+            elif "pack" not in out.properties and b in PIECES and (n := _near(a, "number")):
+                out.add("pack", float(NUMBER_WORDS[n]))
+            elif len(b) >= 4 and (u := _near(b, "unit")) and UNITS[u][0] not in out.properties and (n := _near(a, "number")):
+                out.add(UNITS[u][0], float(NUMBER_WORDS[n] * UNITS[u][1]))
+    for t in words:
+        # number and unit written as one
+        if t[0].isdigit() and (m := _LED.match(t)) and len(m.group(2)) >= 4 and (u := _near(m.group(2), "unit")):
+            out.add(UNITS[u][0], round(_number(m.group(1)) * UNITS[u][1], 3))
     if "colour" not in out.properties:
-        if "jet back" in rest:
-            out.add("colour", "black")
-        else:
-            for w in words:
-                if 4 <= len(w) <= 7 and w not in _NO_COLOUR and (c := _near(w, "colour")):
-                    out.add("colour", COLOURS[c])
-                    break
+        for w in words:
+            if 4 <= len(w) <= 7 and w not in _NO_COLOUR and (c := _near(w, "colour")):
+                out.add("colour", COLOURS[c])
+                break
+
+
+def _anchors(rest: list[str]) -> tuple[list[tuple[str, str]], list[str]]:
+    """(name, number) of every number that isn't a value, with the word before it, and the variant words after one."""
+    out, variants = [], []
+    for i, t in enumerate(rest):
+        name = number = ""
+        if t[0].isdigit():
+            k = i - 1 - (i > 0 and rest[i - 1] == "-")
+            if k >= 0 and rest[k].isalpha():
+                name, number = rest[k], t
+        elif not t.isalpha() and (m := _TRAILED.match(t)):
+            name, number = m.groups()
+            if len(name) < 2:  # S21
+                k = i - 1 - (i > 0 and rest[i - 1] == "-")
+                name, number = (rest[k] if k >= 0 and rest[k].isalpha() else ""), t
+        after = rest[i + 1] if i + 1 < len(rest) else ""
+        if name and name not in STANDARDS and number not in NETWORKS and len(number) <= 12 and after not in ("%", "+") and _near(after, "unit") is None:
+            out.append((name, number.replace(",", "").replace(".", "_")))
+            if after in VARIANTS:
+                variants.append(after)
+    return out, variants
 
 
 def read_listing(title: str | None, features: list | None, description: str | None) -> Listing:
     """Everything the texts state; what they don't state stays empty."""
     out = Listing()
-    t = plain(title)
-    out.code, t_values = _code(t)
-    s = next((m for m in _SERIES.finditer(t_values)), None)
-    if s:
-        out.series, out.number = s.group(1), int(s.group(2))
-        t_values = t_values[: s.start()] + " ; " + t_values[s.end() :]
-    for m in _VALUE.finditer(t_values):
-        out.add(*_value(m))
-    rest = _VALUE.sub(" ", t_values)
-    out.words = re.findall(r"[a-z]+(?:[-'][a-z]+)*", rest)
-    for f in features or []:
-        if f is None or len(f) > 120:
-            continue  # a statement of a property is short; whole paragraphs among the features state none
-        x = plain(f)
+    tokens = _TOKEN.findall(plain(title))
+    out.code, tokens = _take_code(tokens)
+    values, rest = _scan(tokens)
+    for _, _, kind, value in values:
+        out.add(kind, value)
+    out.anchors, out.variants = _anchors(rest)
+    if title and (m := _CAMEL.search(title)):
+        out.alias = "".join(c for c in m.group(1) if c.isupper()).lower() + " " + m.group(2).lower()
+    if not out.anchors and out.code and (m := _TRAILED.match(out.code)):
+        out.anchors = [m.groups()]
+    out.words = [t for t in rest if t.isalpha()]
+    out.words += [name for name, _ in out.anchors if name not in out.words]
+    texts = [(f, 3) for f in features or [] if f] + ([(description, 1)] if description else [])
+    for text, most in texts:
+        t = _TOKEN.findall(plain(text))
+        _states(t, out)
         if not out.code:
-            out.code, _ = _code(x)
-        if m := _BRAND.match(x):
-            out.brand = out.brand or letters(next(g for g in m.groups() if g))
-            continue
-        core = _WRAP.sub("", _WRAP.sub("", x).strip()).strip()
-        head, _, noun = core.rpartition(" ")
-        # a bare measure may be a torn sentence; a statement names what it states
-        if (m := (core != x and _VALUE.fullmatch(core)) or (len(noun) > 2 and _VALUE.fullmatch(head))):
-            out.add(*_value(m))
-    d = plain(description)
-    for m in _SAID.finditer(d):
-        if v := _VALUE.fullmatch(m.group(1).strip()):
-            out.add(*_value(v))
-    if not out.brand and (m := _BRAND_SAID.search(d)):
-        out.brand = letters(next(g for g in m.groups() if g))
+            out.code = _said_code(t)
+        if not out.brand:
+            out.brand, out.longer = _said_brand(t, most)
     _add_misspelt(out, rest)
-    if not out.code and (m := _CODE_SAID.search(d)):
-        out.code, _ = _code(m.group(1))
     return out
 
 

@@ -1,10 +1,12 @@
 """Listings of one product by multi-pass sorted neighbourhood, soft token alignment and correlation clustering.
 
-Series names are sorted under several normalised keys (the name and the name with one letter left out, each with the
-number, and the maker's code), and every name is compared with all names of the same key, so that no pair that aligns
-is missed however large the catalogue is. Names that align softly become one series. Within a series, listings
-repel one another where a stated value differs and attract one another where values agree, and are clustered so that
-no cluster holds a repulsion. Identical statements are one representative throughout, whatever the number of copies.
+A title is brought to a normalised token order: its model (the number that is no measure, with the rarest word before
+one), or, where no number names a model, its words, rarest first by document frequency. Equal orders are one node. Nodes
+are sorted under several keys (the order with each letter of a word left out, the maker's code, initials), and every
+node is compared with all nodes of the same key, so that no pair that aligns is missed however large the catalogue is.
+Tokens align softly, weighted by inverse document frequency; numbers align only when equal. Within what is linked,
+listings repel one another where a stated value differs and attract one another where values agree, and are clustered
+so that no cluster holds a repulsion. Identical statements are one representative throughout, whatever the number of copies.
 """
 
 from __future__ import annotations
@@ -13,81 +15,76 @@ import json
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerloom.llm.listings import letters, one_edit, plain, read_listing, same_value
+from wickerloom.llm.listings import VARIANTS, letters, one_edit, plain, read_listing, same_value
 from wickerloom.session import materialise, spread
 
-#: How much of two series' letters agree, where they share a maker's code; different makers' codes coincide now and then.
+#: How much of two names' letters agree, where they share a maker's code; different makers' codes coincide now and then.
 SAME_CODE_RATIO = 0.75
-#: Letters of the longer of two series that one edit may tell apart.
+#: Letters of the longer of two words that one edit may tell apart.
 LEAST_LETTERS = 6
-#: The most brand names that are learned; it bounds what the driver and each task hold.
-MAX_BRANDS = 200_000
+#: Share of two orders' weight together that must align.
+ALIGNED = 0.8
+#: Share of a word's places right after a model's number from which it is part of the model's name.
+VARIANT_SHARE = 0.8
 
-_READ = T.StructType(
-    [T.StructField(n, t) for n, t in (("item_index", T.IntegerType()), ("series", T.StringType()), ("number", T.IntegerType()), ("brand", T.StringType()), ("words", T.StringType()), ("code", T.StringType()), ("category", T.StringType()), ("stated", T.StringType()))]
-)
+_READ = "item_index int, anchors array<struct<name: string, number: string>>, words array<string>, brand string, longer string, code string, alias string, variants array<string>, category string, stated string"
+_PAIR = pa.list_(pa.struct([("name", pa.string()), ("number", pa.string())]))
+_ARROW = pa.schema([("item_index", pa.int32()), ("anchors", _PAIR), ("words", pa.list_(pa.string())), *((n, pa.string()) for n in ("brand", "longer", "code", "alias")), ("variants", pa.list_(pa.string())), ("category", pa.string()), ("stated", pa.string())])
 
 
 def _statements(catalogue: DataFrame) -> DataFrame:
-    arrow = pa.schema([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in _READ])
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for item, title, features, description, categories in zip(*(c.to_pylist() for c in b.columns)):
                 x = read_listing(title, features, description)
-                # without a series the title's words stand for it, in alphabetical order
-                series = x.series or " ".join(sorted(set(x.words))) or f"#{item}"
                 # the first member is too wide to tell products apart
                 path = [plain(c) for c in categories or [] if c and c.strip()]
                 category = path[-1] if len(path) > 1 else ""
-                # a listing's first statement of a property counts; titles come first
-                stated = {k: v[0] for k, v in sorted(x.properties.items())}
-                rows.append((item, series, x.number, x.brand, " ".join(x.words), x.code, category, json.dumps(stated)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+                anchors = [{"name": n, "number": k} for n, k in x.anchors]
+                rows.append((item, anchors, x.words, x.brand, x.longer, x.code, x.alias, x.variants, category, json.dumps(x.properties, sort_keys=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
 
     rows = catalogue.filter("item_index is not null").select(F.col("item_index").cast("int").alias("item_index"), "title", "features", "description", "categories")
     return spread(rows).mapInArrow(read, _READ)
 
 
 def _with_brands(read: DataFrame, least: int = 2) -> DataFrame:
-    """Brands that several listings state, found in all titles, split, joined or with one letter wrong; others are no evidence."""
-    names = read.filter("brand <> ''").groupBy("brand").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "brand").limit(MAX_BRANDS).collect()
-    known = {r.brand for r in reversed(names)}
-    near: dict[str, str] = {}
-    for r in reversed(names):  # the more frequent name wins a shared misspelling
-        for k in range(len(r.brand)):
-            near[r.brand[:k] + r.brand[k + 1 :]] = r.brand
-        near[r.brand] = r.brand
-    lexicon = read.sparkSession.sparkContext.broadcast((known, near))
-
-    def soft(word: str, known: set[str], near: dict[str, str]) -> str:
-        if word in known or len(word) < 6:
-            return word if word in known else ""
-        for form in (word, *(word[:k] + word[k + 1 :] for k in range(len(word)))):
-            hit = near.get(form)
-            if hit and one_edit(hit, word):
-                return hit
-        return ""
-
-    @F.pandas_udf("string")
-    def find(brand: pd.Series, words: pd.Series) -> pd.Series:
-        known, near = lexicon.value
-        out = []
-        for b, w in zip(brand, words):
-            single = [letters(x) for x in w.split()]
-            forms = [b, *single, *(x + y for x, y in zip(single, single[1:]))]
-            hits = [x for x in forms if x in known] or [h for x in forms if x and (h := soft(x, known, near))]
-            out.append(hits[0] if hits else "")
-        return pd.Series(out, dtype=object)
-
-    return read.withColumn("brand", find("brand", "words")).drop("words")
+    """brand: of the names that several listings state as theirs, the most frequent that the listing states or its title holds, as one word or two joined."""
+    names = read.filter("brand <> ''").groupBy(F.col("brand").alias("form")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    joined = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.concat(F.element_at("words", k), F.element_at("words", k + 1)))
+    forms = F.array_distinct(F.concat(F.array("brand", "longer"), "words", F.when(F.size("words") > 1, joined).otherwise(F.array().cast("array<string>"))))
+    each = read.select("item_index", F.posexplode(forms).alias("place", "form")).filter("form <> ''")
+    found = each.join(names, "form").groupBy("item_index").agg(F.max_by("form", F.struct("n", -F.col("place"))).alias("brand"))
+    return read.drop("brand", "longer").join(found, "item_index", "left").fillna("", ["brand"])
+
+
+def _frequencies(read: DataFrame) -> DataFrame:
+    """(word, n): titles by word, over the whole catalogue."""
+    return read.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _variants(read: DataFrame) -> list[str]:
+    """Words of VARIANTS that stand mostly after a model's number; elsewhere they are marketing."""
+    after = read.select(F.explode("variants").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("after"))
+    everywhere = read.select(F.explode("words").alias("word")).filter(F.col("word").isin(sorted(VARIANTS))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # one row per entry of VARIANTS at most
+    return [r.word for r in after.join(everywhere, "word").filter(F.col("after") >= VARIANT_SHARE * F.col("n")).select("word").collect()]
+
+
+def _ordered(read: DataFrame) -> DataFrame:
+    """read with order and number: the model whose name is the rarest word, or all words in alphabetical order and no number."""
+    several = read.filter("size(anchors) > 1").select("item_index", F.explode("anchors").alias("a"))
+    rarest = several.join(_frequencies(read), F.col("a.name") == F.col("word")).groupBy("item_index").agg(F.min_by("a", F.struct("n", "a.name", "a.number")).alias("rarest"))
+    with_one = read.join(rarest, "item_index", "left").withColumn("a", F.coalesce("rarest", F.try_element_at("anchors", F.lit(1))))
+    words = F.array_join(F.array_sort(F.array_distinct("words")), " ")
+    named = F.when(F.col("a").isNotNull(), F.col("a.name")).when(words != "", words).otherwise(F.concat(F.lit("#"), "item_index"))
+    return with_one.withColumn("order", named).withColumn("number", F.coalesce("a.number", F.lit(""))).drop("anchors", "rarest", "a")
 
 
 def _left_out(word: str) -> str:
@@ -95,29 +92,30 @@ def _left_out(word: str) -> str:
     return f"transform(sequence(0, length({word})), k -> xxhash64(number, concat(left({word}, k - 1), substring({word}, k + 1))))"
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """(node, key, probe): any two nodes that can align share a key, under which one of them probes.
+def _keys(nodes: DataFrame, said: DataFrame) -> DataFrame:
+    """(node, key, coded, probe): any two nodes that can align share a key, under which one of them probes.
 
-    Names one edit apart are equal once the right letter is left out of each, or of the longer one.
+    Words one edit apart are equal once the right letter is left out of each, or of the longer one.
     """
-    spelt = F.expr(f"if(number <> 0 and length(series) >= {LEAST_LETTERS - 1}, {_left_out('series')}, array())")
-    coded = F.expr("if(base <> '', array(xxhash64(number, 'code', base)), array())")
-    keys = nodes.select("node", F.explode(F.array_distinct(F.concat(spelt, coded))).alias("key"), F.lit(True).alias("probe"))
-    words = nodes.filter("number = 0 and size(split(series, ' ')) >= 3").select("node", "number", F.explode(F.split("series", " ")).alias("word"))
-    if words.isEmpty():
-        return keys
-    # at most a fifth of the words stay without a counterpart, so one of the rarest has one
-    w = Window.partitionBy("node")
-    rare = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").withColumn("place", F.row_number().over(w.orderBy("n", "word"))).withColumn("size", F.count(F.lit(1)).over(w))
-    each = rare.select("node", F.expr("place <= size div 5 + 1").alias("probe"), F.explode(F.expr(_left_out("word"))).alias("key"))
-    return keys.unionByName(each.groupBy("node", "key").agg(F.max("probe").alias("probe")))
-
-
-def _run_links(nodes: DataFrame) -> DataFrame:
+    spelt = F.expr(f"if(number <> '' and length(order) >= {LEAST_LETTERS - 1}, {_left_out('order')}, array())")
+    short = F.expr("if(number <> '' and length(order) < 5, array(xxhash64('initials', concat(order, ' ', number))), array())")
+    alias = F.expr("if(alias <> '', array(xxhash64('initials', alias)), array())")
+    keys = nodes.select("node", F.explode(F.array_distinct(F.concat(spelt, short, alias))).alias("key"), F.lit(False).alias("coded"), F.lit(True).alias("probe"))
+    codes = said.filter("code <> '' and number <> ''").select("order", "number", "code").distinct().join(nodes.select("order", "number", "node"), ["order", "number"])
+    keys = keys.unionByName(codes.select("node", F.xxhash64(F.lit("code"), "code").alias("key"), F.lit(True).alias("coded"), F.lit(True).alias("probe")))
+    each = nodes.filter("number = '' and size(tokens) >= 3").select("node", "number", F.posexplode("tokens").alias("place", "word"), F.size("tokens").alias("size"))
+    # tokens stand rarest first; at most a third of a side's weight stays without a counterpart, so one of its rarest has one
+    each = each.select("node", F.expr("place <= size div 3").alias("probe"), F.explode(F.expr(_left_out("word"))).alias("key"))
+    return keys.unionByName(each.groupBy("node", "key").agg(F.lit(False).alias("coded"), F.max("probe").alias("probe")))
+
+
+_SIDE = ("order", "number", "brand", "category", "alias", "tokens", "weights")
+
+
+def _run_links(nodes: DataFrame, said: DataFrame) -> DataFrame:
     """(a, b) of nodes that are one series: sorted by key, each window is the whole run of a key, whatever its length."""
-    keyed = _keys(nodes).join(nodes.select("node", "series", "number", "brand", "base", "category"), "node")
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    runs = shared.select("key", "probe", "node", "series", "number", "brand", "base", "category").sortWithinPartitions("key", F.desc("probe"), "node")
+    keyed = _keys(nodes, said).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").drop("n")
+    runs = keyed.join(nodes.select("node", *_SIDE), "node").repartition("key").select("key", "coded", "probe", "node", *_SIDE).sortWithinPartitions("key", F.desc("probe"), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -127,10 +125,10 @@ def _run_links(nodes: DataFrame) -> DataFrame:
                 if held and held[-1][0] != row[0]:
                     held = []
                 for other in held:
-                    if _aligned(other[3:], row[3:]):
-                        left.append(other[2])
-                        right.append(row[2])
-                if row[1]:
+                    if other[3] != row[3] and _aligned(other[4:], row[4:], row[1]):
+                        left.append(other[3])
+                        right.append(row[3])
+                if row[2]:
                     held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -143,20 +141,38 @@ def _alike(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= SAME_CODE_RATIO and m.quick_ratio() >= SAME_CODE_RATIO and (m.ratio() >= SAME_CODE_RATIO or SequenceMatcher(None, b, a).ratio() >= SAME_CODE_RATIO)
 
 
-def _aligned(x: tuple, y: tuple) -> bool:
-    """Soft alignment of (series, number, brand, code base, category); what is empty doesn't separate."""
-    (series, number, brand, base, category), (series2, number2, brand2, base2, category2) = x, y
-    if number != number2 or (category and category2 and category != category2) or (brand and brand2 and not one_edit(brand, brand2)):
+def aligned_share(u: list[str], wu: list[float], v: list[str], wv: list[float]) -> float:
+    """Share of both sides' weight that aligns; a token aligns with an equal one or, from LEAST_LETTERS on, with one an edit away."""
+    left = dict(zip(v, wv))
+    shared, rest = 0.0, []
+    for t, w in zip(u, wu):
+        if t in left:
+            shared += min(w, left.pop(t))
+        else:
+            rest.append((t, w))
+    for t, w in rest:
+        for o in left:
+            if max(len(t), len(o)) >= LEAST_LETTERS and abs(len(t) - len(o)) <= 1 and one_edit(t, o):
+                # a misspelling is rarer than its word; what both weigh is the word's weight
+                shared += max(w, left.pop(o))
+                break
+    return 2 * shared / max(sum(wu) + sum(wv), 1e-9)
+
+
+def _aligned(x: tuple, y: tuple, coded: bool) -> bool:
+    """Soft alignment of two nodes, which share a maker's code if coded; what is empty doesn't separate."""
+    (order, number, brand, category, alias, tokens, weights), (order2, number2, brand2, category2, alias2, tokens2, weights2) = x, y
+    if (category and category2 and category != category2) or (brand and brand2 and not one_edit(brand, brand2)):
         return False
-    if base and base2 and base != base2:
+    if f"{order} {number}" == alias2 or f"{order2} {number2}" == alias:
+        return True
+    if number != number2:
         return False
-    if base and base == base2 and _alike(series, series2):
+    if coded and _alike(order, order2):
         return True
-    if number == 0:  # no series was read: the titles' words are aligned one by one
-        u, v = series.split(), series2.split()
-        hits = max(sum(any(one_edit(p, q) for q in y) for p in x) for x, y in ((u, v), (v, u)))
-        return min(len(u), len(v)) >= 3 and hits >= 0.8 * max(len(u), len(v))
-    return max(len(series), len(series2)) >= LEAST_LETTERS and one_edit(series, series2)
+    if number:
+        return max(len(order), len(order2)) >= LEAST_LETTERS and one_edit(order, order2)
+    return min(len(tokens), len(tokens2)) >= 3 and aligned_share(tokens, weights, tokens2, weights2) >= ALIGNED
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,17 +190,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def correlate(statements: list[tuple[int, str, str, dict]]) -> dict[int, int]:
-    """Cluster number of each (id, code, brand, properties) of one series.
+def correlate(statements: Iterator[tuple[str, str, dict]]) -> Iterator[int]:
+    """Cluster number of each (code, brand, properties) of one series, as they come: those with a code and those that say most first.
 
     A statement joins the cluster it agrees with in most values among those whose every member it doesn't contradict;
-    a common maker's code outweighs everything, and of equals the one with most members wins. The more a statement
-    says, the earlier it is placed. No generation means the first.
+    a common maker's code outweighs everything, and of equals the one with most members wins. No generation means the
+    first, no variant the plain model. Only the clusters are held.
     """
     clusters: list[dict] = []
-    out = {}
-    full = [(i, code, brand, {"generation": 1.0} | properties) for i, code, brand, properties in statements]
-    for i, code, brand, properties in sorted(full, key=lambda s: (not s[1], -len(s[3]), s[0])):
+    for code, brand, stated in statements:
+        properties = {"generation": 1.0, "variant": ""} | stated
         best, place = None, None
         for n, c in enumerate(clusters):
             same_code = bool(code) and code in c["codes"]
@@ -204,62 +219,61 @@ def correlate(statements: list[tuple[int, str, str, dict]]) -> dict[int, int]:
         c["brand"] = c["brand"] or brand
         c["properties"] = properties | c["properties"]
         c["n"] += 1
-        out[i] = place
-    return out
+        yield place
+
+
+def _nodes(said: DataFrame) -> DataFrame:
+    """One row per order and number, with its tokens, rarest first, and their weights."""
+    names = said.groupBy("order", "number").agg(
+        F.min("item_index").cast("long").alias("node"), F.max("brand").alias("brand"), F.max("category").alias("category"), F.max("alias").alias("alias")
+    )
+    plain_ = names.filter("number = ''").select("node", F.explode(F.split("order", " ")).alias("word"))
+    total = F.lit(float(said.count() or 1))
+    weighed = plain_.join(_frequencies(said), "word").select("node", F.struct(F.col("n"), F.col("word"), F.log1p(total / F.col("n")).alias("w")).alias("t"))
+    # a title's words
+    rare = weighed.groupBy("node").agg(F.array_sort(F.collect_list("t")).alias("t")).select("node", F.transform("t", lambda t: t["word"]).alias("tokens"), F.transform("t", lambda t: t["w"]).alias("weights"))
+    return names.join(rare, "node", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))).withColumn("weights", F.coalesce("weights", F.array().cast("array<double>")))
 
 
 def product_groups(catalogue: DataFrame) -> DataFrame:
     """(item_index, group): one row per listing, with the same group for listings of the same product.
 
-    Same product: same brand, series and number, softly aligned, same generation and no property (colour, pack, power,
+    Same product: same brand and model, softly aligned, same generation and variant and no property (colour, pack, power,
     storage, charge, volume, weight, length, sensor, refresh rate, resolution, ports) stated with different values, in
     whatever wording or unit; a common maker's code is decisive. What a listing leaves out doesn't separate it. group
     is the smallest item_index of the product. A listing of which nothing can be read is a group of its own. Null
     items are left out; null or empty columns state nothing; whole texts are read. An empty catalogue gives no rows.
     """
     read = materialise(_statements(catalogue), "statements")
-    said = materialise(_with_brands(read), "branded")
-    # a node is a spelling of a series with its number; exact equality of spellings needs no comparison
-    base = F.when(F.col("code") != "", F.expr("left(code, length(code) - 1)"))
-    names = said.groupBy("series", "number").agg(F.min("item_index").cast("long").alias("node"), F.max("brand").alias("brand"), F.max("category").alias("category"), F.coalesce(F.max(base), F.lit("")).alias("base"))
-    nodes = materialise(names, "series")
-    roots = components(nodes, materialise(_run_links(nodes).distinct(), "aligned"))
-    series = materialise(nodes.join(roots, "node").select("series", "number", F.col("root").alias("series_root")), "series_roots")
-    placed = said.join(series, ["series", "number"]).select("item_index", "series_root", "code", "brand", "stated")
+    said = materialise(_with_brands(_ordered(read)), "branded")
+    nodes = materialise(_nodes(said), "nodes")
+    roots = components(nodes, materialise(_run_links(nodes, said).distinct(), "aligned"))
+    series = nodes.select("node", "order", "number").join(roots, "node").select("order", "number", F.col("root").alias("series_root"))
+    variants = F.array(*map(F.lit, _variants(read))).cast("array<string>")
+    variant = F.coalesce(F.try_element_at(F.filter("variants", lambda v: F.array_contains(variants, v)), F.lit(1)), F.lit(""))
+    placed = materialise(said.join(series, ["order", "number"]).select("item_index", "series_root", "code", "brand", "stated", variant.alias("variant")), "placed")
     # identical statements are one representative
-    statement = ["series_root", "code", "brand", "stated"]
-    reps = materialise(placed.groupBy(*statement).agg(F.min("item_index").alias("rep")), "representatives")
+    statement = ["series_root", "code", "brand", "stated", "variant"]
+    reps = placed.groupBy(*statement).agg(F.min("item_index").alias("rep"))
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        done: list[tuple] = []
-
-        def close() -> None:
-            got = correlate([(rep, code, brand, json.loads(stated)) for _, code, brand, stated, rep in held])
-            least: dict[int, int] = {}
-            for r in held:
-                least[got[r[4]]] = min(r[4], least.get(got[r[4]], r[4]))
-            done.extend((*r[:4], least[got[r[4]]]) for r in held)
-
-        def batch() -> pa.RecordBatch:
-            columns = [*zip(*done)]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:4]), pa.array(columns[4], pa.int32())], names=[*statement, "group"])
-
+        root, feed, out = None, [], None
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[-1][0] != row[0]:
-                    close()
-                    held = []
-                held.append(row)
-            if done:
-                yield batch()
-                done = []
-        if held:
-            close()
-            yield batch()
-
-    together = reps.select(*statement, "rep").repartition("series_root").sortWithinPartitions("series_root")
-    grouped = together.mapInArrow(cluster, "series_root long, code string, brand string, stated string, group int")
+            numbers = []
+            for series_root, code, brand, stated, var in zip(*(c.to_pylist() for c in b.columns[:5])):
+                if out is None or series_root != root:
+                    root, feed = series_root, []
+                    out = correlate(iter(feed.pop, None))
+                feed.append((code, brand, json.loads(stated) | ({"variant": var} if var else {})))
+                numbers.append(next(out))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(numbers, pa.int32()), b.column(5)], names=[*statement, "cluster", "rep"])
+
+    said_much = [F.col("code") == "", F.desc(F.size(F.split("stated", ": "))), "rep"]
+    together = reps.select(*statement, "rep").repartition("series_root").sortWithinPartitions("series_root", *said_much)
+    clusters = together.mapInArrow(cluster, "series_root long, code string, brand string, stated string, variant string, cluster int, rep int")
+    # partitions are by series, so the least member of a cluster needs no further exchange
+    least = F.min("rep").over(Window.partitionBy("series_root", "cluster")).alias("group")
+    grouped = clusters.select(*statement, least)
     return placed.join(grouped, statement).select("item_index", "group")
 
 
