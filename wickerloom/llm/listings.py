@@ -296,14 +296,13 @@ def _said_brand(tokens: list[str], most: int) -> tuple[str, str]:
 _ENDS = {".", "!", "?", ";", "\n"}
 
 
-def _states(tokens: list[str], out: "Listing") -> None:
-    """Values that the clauses of a text state: at the end of a few words, or beside a name of the property.
+def _states(tokens: list[str]) -> list[tuple[str, float | str]]:
+    """(property, value) of the values that the clauses of a text state: at the end of a few words, or beside a name of the property.
 
     A bare value may be torn from its sentence, and one beside an x is a side of something; neither states anything.
     """
+    out = []
     for a, z, kind, value in _values(tokens):
-        if kind in out.properties:
-            continue
         left = right = 0
         k = a - 1
         while k >= 0 and tokens[k] not in _ENDS and left <= CLAUSE_WORDS:
@@ -322,7 +321,22 @@ def _states(tokens: list[str], out: "Listing") -> None:
         named = parted or after == "version" or before in NAMES[kind] or after in NAMES[kind]
         closing = right == 0 or (right == 1 and (kind != "colour" or after == "version"))
         if named or (closing and 1 <= left + right <= CLAUSE_WORDS):
-            out.add(kind, value)
+            out.append((kind, value))
+    return out
+
+
+_CODE_LABEL = re.compile(r"\b(?:mpn|model|reference|ref|sku|part|no|number|item)\b")
+_BRAND_LABEL = re.compile(r"brand|made by|manufacture|maker")
+_SENTENCE = re.compile(r"(?<! fl\.)(?<=[.!?])\s+")
+
+
+@lru_cache(maxsize=200_000)
+def _read_text(text: str, most: int) -> tuple[tuple, str, tuple[str, str]]:
+    """Statements, maker's code and brand of one sentence; sellers share most of theirs."""
+    tokens = _TOKEN.findall(text)
+    code = _said_code(tokens) if _CODE_LABEL.search(text) else ""
+    brand = _said_brand(tokens, most) if _BRAND_LABEL.search(text) else ("", "")
+    return tuple(_states(tokens)), code, brand
 
 
 def _vocabulary() -> dict[str, list[tuple[str, str]]]:
@@ -339,16 +353,19 @@ def _vocabulary() -> dict[str, list[tuple[str, str]]]:
 _NEAR = _vocabulary()
 
 
-@lru_cache(maxsize=100_000)
-def _near(word: str, kind: str) -> str | None:
-    """The unit, number word, colour or phrase that the word misspells by one letter; titles share most of their words."""
+@lru_cache(maxsize=200_000)
+def _near(word: str) -> dict[str, str] | None:
+    """What the word misspells by one letter: units, number words, colours or phrases; titles share most of their words."""
+    out: dict[str, str] = {}
     for form in (word, *(word[:k] + word[k + 1 :] for k in range(len(word)))):
         for what, known in _NEAR.get(form, ()):
-            if what == kind and one_edit(known, word):
-                return known
-    return None
+            if what not in out and one_edit(known, word):
+                out[what] = known
+    return out or None
 
 
+_TWO = [p for rows in _PHRASES.values() for p, _, _ in rows if len(p) == 2]
+_FIRST, _SECOND = {p[0] for p in _TWO}, {p[1] for p in _TWO}
 #: Words of ordinary titles that lie one letter from a colour.
 _NO_COLOUR = {"back", "block", "blank", "slack", "write", "while"}
 
@@ -356,25 +373,28 @@ _NO_COLOUR = {"back", "block", "blank", "slack", "write", "while"}
 def _add_misspelt(out: "Listing", rest: list[str]) -> None:
     """Measures, packs and colours of which one letter is wrong, where the property isn't stated otherwise."""
     words = [t for t in rest if t[0].isalnum()]
-    for a, b in zip(words, words[1:]):
-        m = _LED.match(a) if a[0].isdigit() else None
-        if m and not m.group(2) and len(b) >= 4 and (u := _near(b, "unit")):
-            out.add(UNITS[u][0], round(_number(a) * UNITS[u][1], 3))
-        elif len(a) > 2 and len(b) > 2 and not m and a.isalpha() and b.isalpha():
-            if len(a) + len(b) >= 7 and (p := _near(f"{a} {b}", "phrase")):
-                _, kind, value = next(r for r in _PHRASES[p.split()[0]] if " ".join(r[0]) == p)
-                out.add(kind, value)
-            elif "pack" not in out.properties and b in PIECES and (n := _near(a, "number")):
+    near = [(_near(t) if len(t) > 2 else None) for t in words]
+    for k, (a, b) in enumerate(zip(words, words[1:])):
+        unit = (near[k + 1] or {}).get("unit") if len(b) >= 4 else None
+        if a[0] in _DIGITS:
+            if unit and (m := _LED.match(a)) and not m.group(2):
+                out.add(UNITS[unit][0], round(_number(a) * UNITS[unit][1], 3))
+            continue
+        if (a in _FIRST or b in _SECOND) and len(a) + len(b) >= 7 and (p := (_near(f"{a} {b}") or {}).get("phrase")):
+            _, kind, value = next(r for r in _PHRASES[p.split()[0]] if " ".join(r[0]) == p)
+            out.add(kind, value)
+        elif near[k] and (n := near[k].get("number")):
+            if b in PIECES:
                 out.add("pack", float(NUMBER_WORDS[n]))
-            elif len(b) >= 4 and (u := _near(b, "unit")) and UNITS[u][0] not in out.properties and (n := _near(a, "number")):
-                out.add(UNITS[u][0], float(NUMBER_WORDS[n] * UNITS[u][1]))
-    for t in words:
+            elif unit:
+                out.add(UNITS[unit][0], float(NUMBER_WORDS[n] * UNITS[unit][1]))
+    for t, n in zip(words, near):
         # number and unit written as one
-        if t[0].isdigit() and (m := _LED.match(t)) and len(m.group(2)) >= 4 and (u := _near(m.group(2), "unit")):
+        if t[0] in _DIGITS and len(t) > 4 and (m := _LED.match(t)) and len(m.group(2)) >= 4 and (u := (_near(m.group(2)) or {}).get("unit")):
             out.add(UNITS[u][0], round(_number(m.group(1)) * UNITS[u][1], 3))
     if "colour" not in out.properties:
-        for w in words:
-            if 4 <= len(w) <= 7 and w not in _NO_COLOUR and (c := _near(w, "colour")):
+        for w, n in zip(words, near):
+            if n and 4 <= len(w) <= 7 and w not in _NO_COLOUR and (c := n.get("colour")):
                 out.add("colour", COLOURS[c])
                 break
 
@@ -394,7 +414,7 @@ def _anchors(rest: list[str]) -> tuple[list[tuple[str, str]], list[str]]:
                 k = i - 1 - (i > 0 and rest[i - 1] == "-")
                 name, number = (rest[k] if k >= 0 and rest[k].isalpha() else ""), t
         after = rest[i + 1] if i + 1 < len(rest) else ""
-        if name and name not in STANDARDS and number not in NETWORKS and len(number) <= 12 and after not in ("%", "+") and _near(after, "unit") is None:
+        if name and name not in STANDARDS and number not in NETWORKS and len(number) <= 12 and after not in ("%", "+") and (len(after) < 4 or "unit" not in (_near(after) or ())):
             out.append((name, number.replace(",", "").replace(".", "_")))
             if after in VARIANTS:
                 variants.append(after)
@@ -416,14 +436,16 @@ def read_listing(title: str | None, features: list | None, description: str | No
         out.anchors = [m.groups()]
     out.words = [t for t in rest if t.isalpha()]
     out.words += [name for name, _ in out.anchors if name not in out.words]
+    # an entry of the features and a sentence of a longer text are read alike
     texts = [(f, 3) for f in features or [] if f] + ([(description, 1)] if description else [])
     for text, most in texts:
-        t = _TOKEN.findall(plain(text))
-        _states(t, out)
-        if not out.code:
-            out.code = _said_code(t)
-        if not out.brand:
-            out.brand, out.longer = _said_brand(t, most)
+        for sentence in _SENTENCE.split(plain(text)):
+            stated, code, brand = _read_text(sentence, most)
+            for kind, value in stated:
+                out.add(kind, value)
+            out.code = out.code or code
+            if not out.brand:
+                out.brand, out.longer = brand
     _add_misspelt(out, rest)
     return out
 
