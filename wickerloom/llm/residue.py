@@ -326,29 +326,24 @@ NO_VALUE_CONTEXT = {
 
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+)*(?:\[\d+\])?"
 _TAG = re.compile(r"</?(?:a|abbr|article|b|blockquote|body|br|center|code|dd|div|dl|dt|em|font|footer|h[1-6]|head|header|hr|html|i|img|input|label|li|link|main|meta|nav|ol|option|p|pre|script|section|select|small|span|strong|style|sub|sup|table|tbody|td|tfoot|th|thead|title|tr|u|ul)(?:\s+[a-zA-Z\-:]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>\"']+))*\s*/?>", re.I)
-#: Syntaxes that stand for a field whatever its name, by their shape; the first group of some is the name.
-_SHAPES = {
-    "{{}}": r"\{\{([^{}\n]*)\}\}", "{%%}": r"\{%([^{}\n]*)%\}", "<%%>": r"<%=?([^%\n]*)%>", "<??>": r"<\?(?:php|=)[^?\n]*\?>", "<!--#-->": r"<!--\s*#[^\n]*?-->", "${}": r"\$\{([^{}\n]*)\}", "#{}": r"#\{([^{}\n]*)\}",
-    "$()": r"\$\(([A-Za-z_][\w.]*)\)", "$[]": r"\$\[([A-Za-z_][\w.\[\]]*)\]", "{!}": r"\{!([A-Za-z_][\w.\[\]]*)\}", "{0}": r"\{\d?\}", "%()s": r"%\(([A-Za-z_][\w.\[\]]*)\)[sdif]", "%s": r"(?<![\w%])%(?:\d\$)?[sdif](?![\w%])",
-    "[[]]": r"\[\[([A-Za-z_][^\[\]\n]*(?:\[\d+\])?)\]\]", "*||*": r"\*\|([A-Za-z_][^|\n]*)\|\*", "@@": r"@@([A-Za-z_][\w.\[\]]*)@@", "@Model": r"(?<!\w)@Model\.\w+", "[insert]": r"\[INSERT [^\n]+? HERE\]|\[INSERT [^\[\]\n]+\]",
-    "[gallery]": r"\[gallery ids=[^\]]*\]", "(your)": r"\(your [A-Za-z_][\w.\[\]]* here\)", "___": r"_{6,}", "[object]": r"\[object \w+\]", "#REF!": r"#(?:REF!|N/A(?!\w)|VALUE!|NAME\?|DIV/0!|NULL!|NUM!)", "insert-image": r"(?<!\w)insert-image-here(?!\w)",
-    ":name": r"(?<![\w:/]):([a-z]+(?:_[a-z0-9]+)+)(?![\w:])", "$name": r"(?<![\w$])\$([a-z]+(?:_[a-z0-9]+)+)(?![\w$])",
-    "none": r"(?<!\w)None(?= (?:USD|EUR|GBP|CHF|JPY|CNY|%)(?!\w))",
-}
-_ANY_FIELD = re.compile("|".join(f"(?P<s{k}>{p})" for k, p in enumerate(_SHAPES.values())), re.I)
-_SHAPE_NAMES = list(_SHAPES)
+#: Syntaxes that stand for a field whatever its name: shape, what a text with one holds in lower case, and pattern; the group of some is the name.
+_SHAPES = [
+    ("{{}}", "{{", r"\{\{([^{}\n]*)\}\}"), ("{%%}", "{%", r"\{%([^{}\n]*)%\}"), ("<%%>", "<%", r"<%=?([^%\n]*)%>"), ("<??>", "<?", r"<\?(?:php|=)[^?\n]*\?>"), ("<!--#-->", "<!--", r"<!--\s*#[^\n]*?-->"), ("${}", "${", r"\$\{([^{}\n]*)\}"),
+    ("#{}", "#{", r"#\{([^{}\n]*)\}"), ("$()", "$(", r"\$\(([A-Za-z_][\w.]*)\)"), ("$[]", "$[", r"\$\[([A-Za-z_][\w.\[\]]*)\]"), ("{!}", "{!", r"\{!([A-Za-z_][\w.\[\]]*)\}"), ("{0}", "{", r"\{\d?\}"), ("%()s", "%(", r"%\(([A-Za-z_][\w.\[\]]*)\)[sdif]"),
+    ("%s", "%", r"%(?<![\w%]%)(?:\d\$)?[sdif](?![\w%])"), ("[[]]", "[[", r"\[\[([A-Za-z_][^\[\]\n]*(?:\[\d+\])?)\]\]"), ("*||*", "*|", r"\*\|([A-Za-z_][^|\n]*)\|\*"), ("@@", "@@", r"@@([A-Za-z_][\w.\[\]]*)@@"), ("@Model", "@model", r"@(?<!\w@)Model\.\w+"),
+    ("[insert]", "[insert", r"\[INSERT [^\n]+? HERE\]|\[INSERT [^\[\]\n]+\]"), ("[gallery]", "[gallery", r"\[gallery ids=[^\]]*\]"), ("(your)", "(your", r"\(your [A-Za-z_][\w.\[\]]* here\)"), ("___", "______", r"_{6,}"), ("[object]", "[object", r"\[object \w+\]"),
+    ("#REF!", "#", r"#(?:REF!|N/A(?!\w)|VALUE!|NAME\?|DIV/0!|NULL!|NUM!)"), ("insert-image", "insert-image", r"(?<!\w)insert-image-here(?!\w)"), (":name", ":", r":(?<![\w:/]:)([a-z]+(?:_[a-z0-9]+)+)(?![\w:])"), ("$name", "$", r"\$(?<![\w$]\$)([a-z]+(?:_[a-z0-9]+)+)(?![\w$])"),
+]
+_SHAPES = [(shape, held, re.compile(p, re.I)) for shape, held, p in _SHAPES] + [("none", "none ", re.compile(r"(?<!\w)None(?= (?:USD|EUR|GBP|CHF|JPY|CNY|%)(?!\w))"))]
 #: Syntaxes that also stand in ordinary text; they are a field's by its name or the name's form.
-_BRACKETS = {"<<>>": ("<<", ">>"), "<>": ("<", ">"), "«»": ("«", "»"), "[]": (r"\[", r"\]"), "{}": (r"\{", r"\}"), "%%": ("%", "%"), "$$": (r"\$", r"\$"), "~~": ("~", "~")}
-_NAMED_FIELD = re.compile("|".join(f"{a}({_NAME}){z}" for a, z in _BRACKETS.values()) + r"|__([A-Za-z][A-Za-z0-9.\[\]]*(?:_[A-Za-z0-9.\[\]]+)*)__")
-_BRACKET_NAMES = [*_BRACKETS, "____"]
+_BRACKETS = [(a + z + ":", a, re.compile(re.escape(a) + f"({_NAME})" + re.escape(z))) for a, z in (("<<", ">>"), ("<", ">"), ("«", "»"), ("[", "]"), ("{", "}"), ("%", "%"), ("$", "$"), ("~", "~"))]
+_BRACKETS.append(("____:", "__", re.compile(r"__([A-Za-z][A-Za-z0-9.\[\]]*(?:_[A-Za-z0-9.\[\]]+)*)__")))
 #: Names in a form that ordinary words don't have: order_id, ORDER_ID, orderId, orderID, OrderId, item.title, item[0]. A short first part is a trade name's (iPhone, eBay).
 _NAME_FORM = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)+(?:\[\d+\])?|[A-Za-z]+\[\d+\]|[a-z]{2,}[a-z0-9]*(?:[A-Z][a-z]+[0-9]*)+(?:ID)?|[A-Za-z][a-z]+(?:[A-Z][a-z]+)*I[dD]")
 _PRINTED = re.compile(r"(?<![\w/.-])(null|undefined|nan|TODO|[Xx]{4,})(?![\w/-])", re.I)
 _SPANISH = re.compile(r"(?<!\w)(?:el|la|los|las|de|del|que|por|para|con|en|es|un|una)(?!\w)", re.I)
-#: Every field's syntax needs one of these.
-_FIELD_MARK = re.compile(r"[{%\[$~«@*]|#[A-Za-z{]|<\S|__|:[a-z]|\(your|insert-image|None ", re.I)
 _INVISIBLE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]")
-_TERM = re.compile(r"n/a(?!\w)|[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\w-]*")
+_TERM = re.compile(r"n0a(?!\w)|[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\w-]*")
 _PASSAGE = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[.!?…]['\")\]])\s+")
 
 LABELS = ("template", "filler", "error", "script")
@@ -381,22 +376,17 @@ def plain_name(name: str) -> str:
 
 def _marks(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, shape, name) of what may be fields; shapes of brackets that also stand in ordinary text end in a colon."""
-    if not _FIELD_MARK.search(text):
-        return []
+    low = text.lower()
     out = []
-    for m in _ANY_FIELD.finditer(text):
-        k = next(k for k, n in enumerate(_SHAPE_NAMES) if m.group(f"s{k}") is not None)
-        name = next((g for i, g in enumerate(m.groups()[_GROUP[k] :], 1) if g is not None), "") if _GROUP[k + 1] - _GROUP[k] > 1 else ""
-        out.append((*m.span(), _SHAPE_NAMES[k], name))
-    for m in _NAMED_FIELD.finditer(text):
-        out.append((*m.span(), _BRACKET_NAMES[m.lastindex - 1] + ":", m.group(m.lastindex)))
+    for shape, held, pattern in _SHAPES:
+        if held in low:
+            out += [(*m.span(), shape, (m.group(1) or "") if pattern.groups else "") for m in pattern.finditer(text)]
+    for shape, held, pattern in _BRACKETS:
+        if held in low:
+            out += [(*m.span(), shape, m.group(1)) for m in pattern.finditer(text)]
     return out
 
 
-#: Place of each shape's first group among the groups.
-_GROUP = [m - 1 for m in sorted(_ANY_FIELD.groupindex.values())] + [_ANY_FIELD.groups]
-
-
 def _shape(text: str, mark: tuple[int, int, str, str], known) -> str:
     """The term of a mark: for brackets of ordinary text with the way in which the name is a field's, if it is one."""
     a, z, shape, name = mark
@@ -415,7 +405,8 @@ def _shape(text: str, mark: tuple[int, int, str, str], known) -> str:
 def _printed(text: str) -> list[tuple[int, int, str]]:
     """(start, end, term) of values that a template printed for want of one."""
     found = []
-    if not _PRINTED.search(text):
+    low = text.lower()
+    if not any(w in low for w in ("null", "undefined", "nan", "todo", "xxxx")) or not _PRINTED.search(text):
         return found
     cased = re.sub(r"[^A-Za-z]", "", text)
     one_case = cased.isupper() or cased.islower()
@@ -466,9 +457,37 @@ def prepare(text: str) -> str:
     return _TAG.sub(lambda m: "\n" if re.match(r"</?(?:p|br|div|li|h\d|tr|ul|ol|table|section)", m.group(), re.I) else " ", t)
 
 
+class _Memo(dict):
+    """A function's values by argument, forgotten when they are many; a lookup costs no call."""
+
+    def __init__(self, f) -> None:
+        self.f = f
+
+    def __missing__(self, x):
+        if len(self) > 500_000:
+            self.clear()
+        self[x] = value = self.f(x)
+        return value
+
+
+def _stem(word: str) -> str:
+    word = word.strip("'")
+    return "n/a" if word == _NA else "#" if word[:1].isdigit() else word[:STEM]
+
+
+_STEMS = _Memo(_stem)
+#: n/a is one word.
+_NA = "n0a"
+_APART = str.maketrans({c: " " for c in map(chr, range(128)) if not (c.isalnum() or c == "'")})
+
+
 def terms(passage: str) -> list[str]:
     """Stems of the words; # stands for any number."""
-    return ["#" if t[0].isdigit() else t[:STEM] for t in _TERM.findall(passage.lower().replace("’", "'"))]
+    low = passage.lower()
+    if "n/a" in low:
+        low = re.sub(r"(?<!\w)n/a(?!\w)", _NA, low)
+    words = low.translate(_APART).split() if low.isascii() else _TERM.findall(low.replace("’", "'"))
+    return [*filter(None, map(_STEMS.__getitem__, words))]
 
 
 class Exemplars:
@@ -481,7 +500,7 @@ class Exemplars:
         for label, block in (("filler", FILLER), ("error", ERROR), ("script", SCRIPT), ("furniture", FURNITURE)):
             for line in block.strip().splitlines():
                 # of a phrase that repeats one term, one is enough
-                self.items.append((label, {t: self.idf(t) for t in terms(line.replace("#", "0"))}))
+                self.items.append((label, {t: self._idf(t) for t in terms(line.replace("#", "0"))}))
         for k, (_, vector) in enumerate(self.items):
             # a window retrieves an exemplar by any of its terms but the light ones
             for t, w in vector.items():
@@ -490,14 +509,13 @@ class Exemplars:
         self.lorem = frozenset(terms(LOREM))
         self.vocabulary = frozenset(t for _, v in self.items for t in v)
         names, self.field_index = _field_exemplars()
+        self.idf, self.is_prose = _Memo(self._idf).__getitem__, _Memo(self._is_prose).__getitem__
         self.known = lambda n: n in names or self.counts.get(SLOTS + slot(n), (0, 0))[0] > 1
 
-    @lru_cache(maxsize=200_000)  # noqa: B019
-    def idf(self, term: str) -> float:
+    def _idf(self, term: str) -> float:
         return 1.0 + math.log((1 + self.documents) / (1 + self.counts.get(slot(term), (0, 0))[0]))
 
-    @lru_cache(maxsize=200_000)  # noqa: B019
-    def is_prose(self, term: str) -> bool:
+    def _is_prose(self, term: str) -> bool:
         """Whether the word is classic filler, or stands mostly in documents that hold it."""
         n, beside = self.counts.get(slot(term), (0, 0))
         return term in self.lorem or (beside > 1 and beside >= BESIDE * n)
@@ -549,8 +567,8 @@ class Exemplars:
 _TITLE = re.compile(r"^(?:title|product|item|page)\s*:", re.I)
 
 
-def judge(text: str | None, exemplars: Exemplars) -> tuple[str | None, float, str | None]:
-    """(label or None, covered share of the body, evidence)."""
+def judge(text: str | None, exemplars: Exemplars) -> tuple[str | None, float | None, str | None]:
+    """(label or None, covered share of the body, evidence); the share is None where a clean text was known before its end."""
     if not text or not text.strip():
         return None, 0.0, None
     raw = html.unescape(text) if "&" in text else text
@@ -559,38 +577,41 @@ def judge(text: str | None, exemplars: Exemplars) -> tuple[str | None, float, st
         if term in exemplars.field_index:
             return "template", 1.0, raw[a:z]
     plain = prepare(text)
-    if not exemplars.may_match(terms(plain)):
+    every = terms(plain)
+    if not exemplars.may_match(every):
         return None, 0.0, None
-    passages = []
+    idf = exemplars.idf
+    # beyond this weight of uncovered body no cover of the rest makes a case
+    most = (1 - COVERED) * sum(map(idf, every))
+    weights: dict[str, float] = defaultdict(float)
+    body, uncovered, evidence, titles = 0.0, 0.0, None, 0
     for line in plain.split("\n"):
         line = line.strip()
         for passage in _PASSAGE.split(line) if line else ():
-            if words := terms(passage):
-                passages.append((line, passage, words, exemplars.cover_passage(words)))
-    if not any(label != "furniture" for p in passages for label in p[3].values()):
-        return None, 0.0, None
-    weights: dict[str, float] = defaultdict(float)
-    body, evidence, titles = 0.0, None, 0
-    for line, passage, words, covered in passages:
-        total = sum(exemplars.idf(w) for w in words)
-        by: dict[str, float] = defaultdict(float)
-        for p, label in covered.items():
-            by[label] += exemplars.idf(words[p])
-        residue = [label for label in by if label != "furniture"]
-        if by["furniture"] >= 0.6 * total:
-            continue
-        if not residue:
-            crumbs = line.count(">") >= 2 and len(words) <= 12
-            # a page's title: a few words without a sentence's end
-            title = _TITLE.match(line) or (len(words) <= 5 and not re.search(r"[.!?,;]", line))
-            if (crumbs or title) and titles < 3:
-                titles += 1
+            words = terms(passage)
+            covered = exemplars.cover_passage(words)
+            total = sum(map(idf, words))
+            by: dict[str, float] = defaultdict(float)
+            for p, label in covered.items():
+                by[label] += idf(words[p])
+            residue = [label for label in by if label != "furniture"]
+            if by["furniture"] >= 0.6 * total:
                 continue
-        body += total
-        for label, w in by.items():
-            weights[label] += w
-        if evidence is None and residue:
-            evidence = passage
+            if not residue:
+                crumbs = line.count(">") >= 2 and len(words) <= 12
+                # a page's title: a few words without a sentence's end
+                title = _TITLE.match(line) or (len(words) <= 5 and not re.search(r"[.!?,;]", line))
+                if (crumbs or title) and titles < 3:
+                    titles += 1
+                    continue
+            body += total
+            for label, w in by.items():
+                weights[label] += w
+            uncovered += total - sum(by[label] for label in residue)
+            if uncovered > most + 1e-9:
+                return None, None, None
+            if evidence is None and residue:
+                evidence = passage
     found = {k: w for k, w in weights.items() if k != "furniture"}
     share = sum(found.values()) / body if body else 0.0
     if share >= COVERED:
@@ -606,7 +627,7 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> tuple[dict[int, t
     seeds = frozenset(terms(SEEDS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = lru_cache(maxsize=500_000)(slot)
+        slots = _Memo(slot)
         n, beside, docs = np.zeros(2 * SLOTS + 1, np.int64), np.zeros(2 * SLOTS + 1, np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -614,7 +635,7 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> tuple[dict[int, t
                 if not t:
                     continue
                 words = set(terms(t))
-                at = [*{slots(w) for w in words}]
+                at = [*{*map(slots.__getitem__, words)}]
                 n[at] += 1
                 if words & seeds:
                     beside[at] += 1
@@ -631,7 +652,7 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> tuple[dict[int, t
 
 
 def find_residue(documents: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
-    """(item, label, coverage, evidence) of every document; label is null for a clean one.
+    """(item, label, coverage, evidence) of every document; label is null for a clean one, coverage where so much of it was uncovered that the rest didn't matter.
 
     label: template (an unfilled field, or a value printed for want of one, anywhere), filler, error or script (the
     body, without page titles and menus, is of that kind). A text that speaks of such things or ends in such a notice
