@@ -1,8 +1,9 @@
 """Mixing sources to target shares of tokens by entropy balancing.
 
-Documents get rates of the form exp(a_s + b_s * size), the ones closest in relative entropy to equal rates that meet
-each source's token target and keep its mean document length. The convex dual is solved by Newton iterations, each one
-distributed sum over the documents' sizes, and rates are then rounded into whole copies that meet the targets again.
+Documents get the rates closest in relative entropy to one use of each that meet every source's token target within its
+cap: min(cap, exp(b_s * size)), tilted to long documents where a source must give more than it has and to short ones
+where less. The convex dual has one parameter a source; safeguarded Newton iterations solve it, each one distributed sum
+over the documents' sizes. Rates are then rounded into whole copies that meet the targets again.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from wickerloom.operators.ranking import top_per_group
 from wickerloom.session import materialise
 
-#: The most sources with targets; one parameter pair each is held by the driver.
+#: The most sources with targets; one parameter each is held by the driver.
 MAX_SOURCES = 1000
 #: Documents of each source that are tried after the threshold.
 NEXT = 200
@@ -28,42 +29,54 @@ def _per_source(name: str, values: dict[str, float]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), F.col(name)), F.lit(0.0)) if pairs else F.lit(0.0)
 
 
-def _solve(hist: DataFrame, goal: dict[str, tuple[float, float, float]], tolerance: float, rounds: int) -> dict[str, tuple[float, float]]:
-    """(a, b) per source with sum(rate) = documents wanted and sum(rate * size) = tokens wanted; sizes in units of the mean.
+def _solve(hist: DataFrame, goal: dict[str, tuple[float, float, float]], tolerance: float) -> dict[str, float]:
+    """b per source with sum(size * min(cap, exp(b * size))) = tokens wanted, sizes in units of the source's mean.
 
-    goal: source -> (documents wanted, tokens wanted, mean size).
+    goal: source -> (tokens wanted, mean size, cap). The sum grows with b, so a bracket around the solution keeps every
+    step; what isn't met within the tolerance after as many halvings as a double has digits fails.
     """
-    at = {s: (0.0, 0.0) for s in goal}
-    for _ in range(rounds):
-        a, b, m = (_per_source("source", {s: v for s, v in x}) for x in (((s, p[0]) for s, p in at.items()), ((s, p[1]) for s, p in at.items()), ((s, g[2]) for s, g in goal.items())))
+    # at b = log(rate) documents of the mean size have the rate that the source needs on the whole
+    sizes = {r.source: (r.low, r.tokens) for r in hist.groupBy("source").agg(F.min("n_tokens").alias("low"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens")).collect()}
+    at, low, high = {}, {}, {}
+    for s, (tokens, mean, cap) in goal.items():
+        at[s] = math.log(tokens / sizes[s][1])
+        low[s], high[s] = -math.inf, max(0.0, math.log(cap)) * mean / sizes[s][0]
+    todo = dict(goal)
+    for _ in range(200):
+        if not todo:
+            return at
+        b, m, cap = (_per_source("source", x) for x in ({s: at[s] for s in todo}, {s: g[1] for s, g in todo.items()}, {s: g[2] for s, g in todo.items()}))
         x = F.col("n_tokens") / m
-        w = F.col("docs") * F.exp(F.least(F.lit(50.0), a + b * x))
-        sums = hist.select("source", w.alias("w"), x.alias("x")).groupBy("source").agg(*(F.sum(F.col("w") * F.pow("x", F.lit(float(k)))).alias(f"m{k}") for k in range(3))).collect()
-        worst = 0.0
+        rate = F.exp(F.least(F.lit(700.0), b * x))
+        mine = hist.filter(F.col("source").isin(list(todo))).select("source", (F.col("docs") * F.col("n_tokens")).alias("t"), x.alias("x"), rate.alias("r"), cap.alias("cap"))
+        sums = mine.groupBy("source").agg(F.sum(F.col("t") * F.least("r", "cap")).alias("g"), F.sum(F.when(F.col("r") < F.col("cap"), F.col("t") * F.col("x") * F.col("r")).otherwise(0.0)).alias("d")).collect()
         for r in sums:
-            docs, tokens, mean = goal[r.source]
-            g0, g1 = docs - r.m0, tokens / mean - r.m1
-            worst = max(worst, abs(g0) / docs, abs(g1) * mean / tokens)
-            det = r.m0 * r.m2 - r.m1 * r.m1
-            if det > 1e-12 * r.m0 * r.m2:
-                d0, d1 = (g0 * r.m2 - g1 * r.m1) / det, (g1 * r.m0 - g0 * r.m1) / det
-            else:  # all documents of the source have one size
-                d0, d1 = g0 / r.m0, 0.0
-            step = min(1.0, 2.0 / max(abs(d0 + d1), 2.0))
-            p = at[r.source]
-            at[r.source] = (p[0] + step * d0, p[1] + step * d1)
-        if worst < tolerance:
-            break
-    return at
+            s, wanted = r.source, todo[r.source][0]
+            if abs(r.g - wanted) <= tolerance * wanted:
+                del todo[s]
+                continue
+            if r.g < wanted:
+                low[s] = at[s]
+            else:
+                high[s] = at[s]
+            # Newton on the logarithm of the sum, which is close to linear
+            step = at[s] - math.log(r.g / wanted) * r.g / r.d if r.d > 0 and r.g > 0 else math.inf
+            if not low[s] < step < high[s]:
+                step = (low[s] + high[s]) / 2 if low[s] > -math.inf else high[s] - 2 * max(1.0, abs(high[s]))
+            if step in (low[s], high[s]):  # no number between them is closer
+                del todo[s]
+            at[s] = step
+    raise ArithmeticError(f"token targets not met: {sorted(todo)}")
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, source: str = "source", item: str = "doc_id", size: str = "n_tokens", tolerance: float = 1e-9, rounds: int = 60, refinements: int = 3
+    documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, source: str = "source", item: str = "doc_id", size: str = "n_tokens", tolerance: float = 1e-9, refinements: int = 3
 ) -> tuple[DataFrame, DataFrame]:
     """(copies, shares).
 
     copies: item, source, size, copies of every document that is used, each at most max_repeats times. shares: per
-    source with a target its target_share, max_repeats, documents, tokens, copies, mixed_tokens and actual_share.
+    source with a target its target_share, max_repeats, documents, tokens, tilt (b of the rates exp(b * size / mean size),
+    null where every document is at its cap or the source is absent), copies, mixed_tokens and actual_share.
 
     Sources match targets without regard to case and outer blanks; others have no target and aren't used, nor are null
     sources and documents of size 0 or null. Without total_tokens the mix is as large as the caps allow with every share
@@ -73,9 +86,9 @@ def mix(
     source add up, with the larger cap. No documents or no targets: no copies.
     """
     norm = F.lower(F.trim(F.col(source)))
-    t = targets.filter(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).limit(MAX_SOURCES).collect()
-    if len(t) >= MAX_SOURCES:
-        raise ValueError(f"{MAX_SOURCES} targets or more")
+    t = targets.filter(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).limit(MAX_SOURCES + 1).collect()
+    if len(t) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} targets")
     spark = documents.sparkSession
     wanted = {r.source: (float(r.share), int(r.cap)) for r in t}
     rows = documents.select(F.col(item), norm.alias("source"), F.col(size).cast("long").alias("n_tokens")).filter(F.col("n_tokens") > 0)
@@ -88,17 +101,21 @@ def mix(
     share = {s: wanted[s][0] / present for s in have}
     feasible = min((wanted[s][1] * have[s][1] / share[s] for s in have), default=0.0)
     total = feasible if total_tokens is None else float(total_tokens)
-    goal = {}
+    goal, whole = {}, {}
     for s, (docs, tokens) in have.items():
-        rate = min(float(wanted[s][1]), share[s] * total / tokens)
-        if rate > 0:
-            goal[s] = (rate * docs, rate * tokens, tokens / docs)
-    tilt = _solve(hist, goal, tolerance, rounds)
-
-    a, b = _per_source("source", {s: p[0] for s, p in tilt.items()}), _per_source("source", {s: p[1] / goal[s][2] for s, p in tilt.items()})
-    cap = _per_source("source", {s: float(wanted[s][1]) for s in goal})
+        want = min(float(wanted[s][1] * tokens), share[s] * total)
+        if want >= wanted[s][1] * tokens * (1 - 1e-12):
+            whole[s] = (float(wanted[s][1] * tokens), tokens / docs, float(wanted[s][1]))  # every document at its cap
+        elif want > 0:
+            goal[s] = (want, tokens / docs, float(wanted[s][1]))
+    tilt = _solve(hist, goal, tolerance)
+    goal |= whole
+
+    b = _per_source("source", {s: p / goal[s][1] for s, p in tilt.items()})
+    cap = _per_source("source", {s: g[2] for s, g in goal.items()})
+    exponent = F.when(F.col("source").isin(list(whole)), F.lit(math.inf)).otherwise(b * F.col("n_tokens"))
     # rounding: floor, and one more where the document's hash, spread evenly, is below the fraction moved by its source's shift
-    rate = F.least(cap, F.round(F.exp(a + b * F.col("n_tokens")), 9))
+    rate = F.least(cap, F.round(F.exp(exponent), 9))
     even = (F.pmod(F.xxhash64(item), F.lit(1 << 53)) / F.lit(float(1 << 53)))
     # largest shift at which the document still gets its extra copy; without a fraction or at the cap there's none to get
     rated = rows.withColumn("__floor", F.floor(rate).cast("int")).withColumn("__need", F.when(rate < cap, even - (rate - F.floor(rate))))
@@ -114,7 +131,7 @@ def mix(
             sum_ = sum(r.base for r in got if r.source == s)
             left, step = low[s], (high[s] - low[s]) / bins
             for j, extra in own:
-                if sum_ + extra > goal[s][1] or j >= bins:
+                if sum_ + extra > goal[s][0] or j >= bins:
                     low[s], high[s] = (left + j * step, left + (j + 1) * step) if 0 <= j < bins else (left, high[s]) if j < 0 else (high[s], high[s])
                     break
                 sum_ += extra
@@ -129,7 +146,7 @@ def mix(
     following = given.filter(F.col("__need") >= limit).select(item, "source", "n_tokens", "__need")
     extra = []
     for r in top_per_group(following, ["source"], [F.col("__need"), F.col(item)], NEXT).orderBy("source", "rank").collect():
-        if sums[r.source] + r.n_tokens <= goal[r.source][1]:
+        if sums[r.source] + r.n_tokens <= goal[r.source][0]:
             sums[r.source] += r.n_tokens
             extra.append((r[item], 1))
     more = spark.createDataFrame(extra, T.StructType([T.StructField("__id", rows.schema[item].dataType), T.StructField("__one", T.IntegerType())]))
@@ -137,7 +154,7 @@ def mix(
     copies = given.filter("copies > 0").select(item, "source", "n_tokens", F.col("copies").cast("int").alias("copies"))
     copies = materialise(copies, "copies")
     used = copies.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
-    head = spark.createDataFrame([(s, x, c, *have.get(s, (0, 0))) for s, (x, c) in wanted.items()], "source string, target_share double, max_repeats int, documents long, tokens long")
+    head = spark.createDataFrame([(s, x, c, *have.get(s, (0, 0)), tilt.get(s)) for s, (x, c) in wanted.items()], "source string, target_share double, max_repeats int, documents long, tokens long, tilt double")
     shares = head.join(F.broadcast(used), "source", "left").fillna(0, ["copies", "mixed_tokens"])
     everything = copies.agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0] or 0
     return copies, shares.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(everything or 1)))
