@@ -125,9 +125,13 @@ def cooccurrence(df: DataFrame, record: str, item: str, min_count: int = 1, wide
         # the item block is part of the key, so a record with a third of all rows spreads over its blocks
         parts = kept.join(broad, "r", "left_semi").groupBy("r", F.pmod(F.xxhash64("i"), F.lit(n_blocks)).alias("b")).agg(F.sort_array(F.collect_list("i")).alias("x"))
         parts = materialise(parts, "blocks")
-        left, right = parts.select("r", F.col("b").alias("bi"), F.col("x").alias("xi")), parts.select("r", F.col("b").alias("bj"), F.col("x").alias("xj"))
-        same = left.select("bi", F.col("bi").alias("bj"), F.col("xi").alias("left"), F.array().cast("array<bigint>").alias("right"))
-        other = left.join(right, "r").filter("bi < bj").select("bi", "bj", F.col("xi").alias("left"), F.col("xj").alias("right"))
+        same = parts.select(F.col("b").alias("bi"), F.col("b").alias("bj"), F.col("x").alias("left"), F.array().cast("array<bigint>").alias("right"))
+        # each block goes to the pairs with every other block of its record, so a record's pairs are apart before they are made
+        last = F.lit(n_blocks - 1)
+        each = parts.select("r", "b", "x", F.explode(F.sequence(F.lit(0), last)).alias("o")).filter("o <> b")
+        left = each.filter("b < o").select("r", F.col("b").alias("bi"), F.col("o").alias("bj"), F.col("x").alias("left"))
+        right = each.filter("o < b").select("r", F.col("o").alias("bi"), F.col("b").alias("bj"), F.col("x").alias("right"))
+        other = left.join(right, ["r", "bi", "bj"]).select("bi", "bj", "left", "right")
         products = same.unionByName(other).repartition("bi", "bj").select("left", "right").mapInArrow(_block_products, PAIRS)
         partial = partial.unionByName(products)
     pairs = partial.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab")).filter(F.col("n_ab") >= min_count)
