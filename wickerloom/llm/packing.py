@@ -72,20 +72,28 @@ def _pack_groups(items: DataFrame, capacity: int, group_items: int, salt: int, n
     schema = T.StructType([T.StructField("unit", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("container", T.LongType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        group, unit, size = (np.asarray(t.column(c)) for c in ("g", "unit", "size"))
-        for g in np.unique(group):
-            at = np.flatnonzero(group == g)
-            at = at[np.lexsort((unit[at], -size[at]))]
-            c = best_fit_decreasing(size[at], capacity)
-            yield from pa.table({"unit": unit[at], "size": size[at], "container": (int(g) << 32) | c}, pa.schema([("unit", pa.int64()), ("size", pa.int32()), ("container", pa.int64())])).to_batches()
-
-    # one partition a group; the hash mixes sizes and sources evenly over the groups
-    keyed = items.select("unit", "size", F.pmod(F.xxhash64("unit", F.lit(salt)), F.lit(groups)).alias("g"))
-    return keyed.repartition(groups, "g").mapInArrow(pack, schema)
+        g, held = -1, []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            if held:
+                unit, size = (np.concatenate(x) for x in zip(*held))
+                # rows come by size and unit
+                c = best_fit_decreasing(size, capacity)
+                yield from pa.table({"unit": unit, "size": size, "container": (g << 32) | c}, pa.schema([("unit", pa.int64()), ("size", pa.int32()), ("container", pa.int64())])).to_batches()
+
+        for b in batches:
+            group, unit, size = (np.asarray(c) for c in b.columns)
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []
+            for a, z in zip(starts, [*starts[1:], len(group)]):
+                if int(group[a]) != g:
+                    yield from packed()
+                    g, held = int(group[a]), []
+                held.append((unit[a:z], size[a:z]))
+        yield from packed()
+
+    # the hash mixes sizes and sources evenly over the groups; a task packs its groups one after the other and holds one at a time
+    keyed = items.select(F.pmod(F.xxhash64("unit", F.lit(salt)), F.lit(groups)).alias("g"), "unit", "size")
+    return keyed.repartition("g").sortWithinPartitions("g", F.desc("size"), "unit").mapInArrow(pack, schema)
 
 
 def fill_containers(sizes: DataFrame, item: str, size: str, capacity: int, group_items: int = 25_000, loose: float = 0.98) -> DataFrame:
