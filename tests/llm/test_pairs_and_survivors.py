@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wickerloom.llm.cooccurrence import associated, cooccurrence
 from wickerloom.llm.queries import QUERIES
@@ -135,3 +136,59 @@ def test_sources_are_bounded(spark):
     many = spark.createDataFrame([(f"f{k}", k) for k in range(100)], "feed string, trust int")
     with pytest.raises(ValueError):
         interaction_survivors(spark.createDataFrame([], ROW), many)
+
+
+def test_consensus_against_a_plain_iteration(spark):
+    import math
+    import random
+    from collections import defaultdict
+
+    from wickerloom.llm.survivors import Field, truth_discovery
+
+    dice = random.Random(11)
+    rows = []
+    for e in range(300):
+        truth = dice.randrange(5)
+        for s, good in (("good", 0.9), ("middling", 0.6), ("bad", 0.3)):
+            for _ in range(dice.randrange(3)):
+                rows.append((e, s, len(rows), truth if dice.random() < good else dice.randrange(5)))
+    df = spark.createDataFrame(rows, "e int, s string, at int, v int")
+    trust = spark.createDataFrame([("bad", 1), ("good", 3), ("middling", 2)], "s string, t int")
+    got, report = truth_discovery(df, ["e"], "s", ["at"], [Field("v", F.col("v"), F.col("v") >= 0)], trust, "s", "t", strict=False)
+
+    number = {"bad": 1, "middling": 2, "good": 3}
+    claims = defaultdict(dict)
+    for e, s, at, v in rows:
+        claims[e][number[s]] = max((at, v), claims[e].get(number[s], (-1, 0)))
+    r = dict.fromkeys(number.values(), 0.8)
+
+    def best(of):
+        w = {s: math.log(r[s] / (1 - r[s])) for s in r}
+        support = defaultdict(float)
+        for s, (_, v) in sorted(of.items()):
+            support[v] += w[s]
+        return max((support[v], w[s], s, v) for s, (_, v) in of.items())[3]
+
+    while True:
+        new = {}
+        for s in r:
+            shared = [c for c in claims.values() if s in c and len(c) > 1]
+            new[s] = min(0.99, max(0.51, (sum(c[s][1] == best(c) for c in shared) + 1) / (len(shared) + 2)))
+        moved = max(abs(new[s] - r[s]) for s in r)
+        r = new
+        if moved <= 1e-6:
+            break
+    assert {x.source: round(x.reliability, 9) for x in report.collect() if x.claims} == {n: round(r[k], 9) for n, k in number.items()}
+    assert {x.e: x.v for x in got.collect()} == {e: best(c) for e, c in claims.items()}
+    assert r[3] > r[2] > r[1]
+
+
+def test_as_many_sources_as_held(spark):
+    from wickerloom.llm.survivors import MAX_SOURCES, Field, truth_discovery
+
+    df = spark.createDataFrame([(1, "s0", 1, 5)], "e int, s string, at int, v int")
+    trust = spark.createDataFrame([(f"s{k}", k) for k in range(MAX_SOURCES)], "s string, t int")
+    run = lambda t: truth_discovery(df, ["e"], "s", ["at"], [Field("v", F.col("v"), F.col("v") >= 0)], t, "s", "t")[0].first().v
+    assert run(trust) == 5
+    with pytest.raises(ValueError):
+        run(trust.unionByName(spark.createDataFrame([("one more", 1)], trust.schema)))

@@ -34,9 +34,9 @@ def _sources(trust: DataFrame, name: str, level: str, pooled: bool) -> list[tupl
     pooled: sources of one trust level are one source.
     """
     n = F.lower(F.trim(F.col(name)))
-    listed = trust.filter(n.isNotNull() & F.col(level).isNotNull()).groupBy(n.alias("s")).agg(F.max(level).alias("t")).limit(MAX_SOURCES).collect()
-    if len(listed) >= MAX_SOURCES:
-        raise ValueError(f"{MAX_SOURCES} sources or more; claims of an entity would not stay bounded")
+    listed = trust.filter(n.isNotNull() & F.col(level).isNotNull()).groupBy(n.alias("s")).agg(F.max(level).alias("t")).limit(MAX_SOURCES + 1).collect()
+    if len(listed) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; claims of an entity would not stay bounded")
     levels = {t: k + 1 for k, t in enumerate(sorted({r.t for r in listed}))}
     rows = sorted((levels[r.t], r.s) for r in listed)
     return [(s, k if pooled else i + 1, k) for i, (k, s) in enumerate(rows)]
@@ -78,7 +78,7 @@ def _vote(claims_: Column, weights: Sequence[float]) -> Column:
 
 
 def truth_discovery(
-    df: DataFrame, keys: Sequence[str], source: str, order: Sequence[str], fields: Sequence[Field], trust: DataFrame, trust_source: str, trust_level: str, strict: bool = True, least_rows: int = 1, tolerance: float = 1e-6, max_rounds: int = 20
+    df: DataFrame, keys: Sequence[str], source: str, order: Sequence[str], fields: Sequence[Field], trust: DataFrame, trust_source: str, trust_level: str, strict: bool = True, least_rows: int = 1, tolerance: float = 1e-6, max_rounds: int = 200
 ) -> tuple[DataFrame, DataFrame]:
     """(survivors, reliability).
 
@@ -91,7 +91,7 @@ def truth_discovery(
 
     Rows with a null key are left out. A source that is null or not listed in trust ranks below all and all such vote
     as one. An entity none of whose rows has a usable value gets null. Repeated rows don't change a claim. Ties in
-    support go to the more trusted claimant. Empty inputs give empty results. Columns of df that aren't named are not read.
+    support go to the more trusted claimant. Reliability that doesn't come to stand in max_rounds fails. Empty inputs give empty results. Columns of df that aren't named are not read.
     """
     listed = _sources(trust, trust_source, trust_level, strict)
     rank = {0: 0} | {k: r for _, k, r in listed}
@@ -122,7 +122,9 @@ def truth_discovery(
         w = F.array(*(F.lit(x) for x in weights(f)))
         return F.aggregate(f, F.lit(0.0), lambda a, c: a + F.element_at(w, c["src"] + 1))
 
-    for _ in range(max_rounds):
+    for k in range(max_rounds + 1):
+        if k == max_rounds:
+            raise ArithmeticError(f"reliability still moves by {moved} after {max_rounds} rounds")
         # only shared claims tell about a source; the sums have one row per field and source
         each = F.explode(F.flatten(F.array(*(outcomes(f.name) for f in fields)))).alias("c")
         rows = voted().select(each).filter("c.shared").groupBy("c.f", "c.s").agg(F.count(F.lit(1)).alias("n"), F.sum("c.won").alias("won")).collect()
