@@ -79,7 +79,7 @@ def p3_all_pairs(spark, sf_dir):
 
 _SURVIVORS_SQL = """
 WITH r AS (
-  SELECT e.user_indices, e.item_indices, e.interaction_id, coalesce(f.trust, -1) AS trust, e.ingested_at,
+  SELECT e.user_indices, e.item_indices, e.interaction_id, e.ratings, e.timestamps, coalesce(f.trust, -1) AS trust, e.ingested_at,
          e.ratings BETWEEN 1 AND 5 AS rating_ok,
          e.timestamps >= 946684800000 AND e.timestamps * 1000 <= epoch_us(e.ingested_at) AS time_ok
   FROM enriched_interactions e LEFT JOIN feeds f ON lower(trim(e.feed)) = lower(trim(f.feed))
@@ -100,9 +100,10 @@ def p4_found(spark, sf_dir):
     return _survivors(spark, sf_dir)[0].select("user_indices", "item_indices", "rating_from", "timestamp_from")
 
 
-@query("p4_records")
+@query("p4_records", _SURVIVORS_SQL.replace("SELECT user_indices, item_indices,\n", "SELECT user_indices, item_indices, count(*) AS n_rows,\n       arg_max(ratings, {'a': trust, 'b': ingested_at, 'c': interaction_id}) FILTER (WHERE rating_ok) AS rating,\n       arg_max(timestamps, {'a': trust, 'b': ingested_at, 'c': interaction_id}) FILTER (WHERE time_ok) AS timestamp,\n").replace(" HAVING count(*) >= 2", ""))
 def p4_records(spark, sf_dir):
-    return _survivors(spark, sf_dir, least_rows=1)[0]
+    """One record for every user and item, those with a single row too."""
+    return _survivors(spark, sf_dir, least_rows=1)[0].select("user_indices", "item_indices", "n_rows", "rating", "timestamp", "rating_from", "timestamp_from")
 
 
 @query("p4_consensus")
@@ -115,7 +116,13 @@ def p4_reliability(spark, sf_dir):
     return _survivors(spark, sf_dir, strict=False)[1]
 
 
-@query("p5_found")
+_SPACE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
+
+
+@query("p5_found", f"""
+WITH t AS (SELECT item_index, 'description' AS chunk_type, description AS t FROM product_catalog
+  UNION ALL SELECT item_index, 'features', array_to_string(list_filter(features, lambda x: x IS NOT NULL), chr(10)) FROM product_catalog)
+SELECT item_index, chunk_type FROM t WHERE length(trim(regexp_replace(t, '{_SPACE}', ' ', 'g'))) > 1600""")
 def p5_found(spark, sf_dir):
     # a text over the limit is one that has a second piece
     return catalogue_chunks(_read(spark, sf_dir, "product_catalog")).filter("part_index = 1").select("item_index", "chunk_type")
