@@ -14,12 +14,17 @@ def positives(reviews: DataFrame, least: float = 4) -> DataFrame:
 
 
 def temporal_split(events: DataFrame) -> DataFrame:
-    """events with split: of a user's events by (ts, item), the last is test, the one before valid, from three events on."""
-    w = Window.partitionBy("user")
-    back = F.row_number().over(w.orderBy(F.desc("ts"), F.desc("item")))
-    marked = events.select("*", back.alias("__back"), F.count(F.lit(1)).over(w).alias("__n"))
-    split = F.when(F.col("__n") < 3, "train").when(F.col("__back") == 1, "test").when(F.col("__back") == 2, "valid").otherwise("train")
-    return marked.select(*events.columns, split.alias("split"))
+    """events with split: of a user's events by (ts, item), the last is test, the one before valid, from three events on.
+
+    events: distinct (user, item). Tasks send two events and a count of each user at most; the events themselves are
+    matched with the chosen ones by user and item, so no user's history is one task's.
+    """
+    w = Window.partitionBy("user").orderBy(F.desc("ts"), F.desc("item"))
+    # Spark keeps two a user before the shuffle
+    last = events.select("user", "item", "ts").withColumn("__back", F.row_number().over(w)).filter("__back <= 2").drop("ts")
+    sizes = events.groupBy("user").agg(F.count(F.lit(1)).alias("__n")).filter("__n >= 3")
+    chosen = last.join(sizes, "user").select("user", "item", F.when(F.col("__back") == 1, "test").otherwise("valid").alias("split"))
+    return events.join(chosen, ["user", "item"], "left").select(*events.columns, F.coalesce("split", F.lit("train")).alias("split"))
 
 
 def kcore(df: DataFrame, k: int, user: str = "user", item: str = "item") -> DataFrame:

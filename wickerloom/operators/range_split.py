@@ -237,9 +237,12 @@ def range_split_aggregate(df: DataFrame, keys: Sequence[str], measures: Sequence
 def heavy_keys(df: DataFrame, columns: Sequence[str], share: float) -> DataFrame:
     """(key_field, key_value, n_rows) of the values, neither null nor negative, that stand in at least share of all rows.
 
-    Every row counts in the total, those without a value too. An empty table has no heavy keys.
+    Every row counts in the total, those without a value too. key_value has the columns' type, long where they differ. An
+    empty table has no heavy keys.
     """
-    names = ", ".join(f"'{c}', cast(`{c}` as int)" for c in columns)
+    kinds = {df.schema[c].dataType.simpleString() for c in columns}
+    kind = kinds.pop() if len(kinds) == 1 else "bigint"
+    names = ", ".join(f"'{c}', cast(`{c}` as {kind})" for c in columns)
     long = df.select(F.expr(f"stack({len(columns)}, {names}) as (key_field, key_value)")).filter("key_value >= 0")
     counts = range_split_aggregate(long, ["key_field", "key_value"], [Measure("n_rows", "rows")])
     # in decimals, so that a key with exactly the share is in

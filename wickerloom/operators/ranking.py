@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerloom.operators.interactions import global_rank
+from wickerloom.session import materialise
 
 
 def popularity(train: DataFrame) -> DataFrame:
@@ -16,18 +17,29 @@ def popularity(train: DataFrame) -> DataFrame:
     return global_rank(counts, F.desc("n"), "item", name="pop_rank")
 
 
+#: Ranks that are looked up in a broadcast table; the few beyond them by a join.
+NEAR_RANKS = 65_536
+
+
 def popularity_topk(train: DataFrame, users: DataFrame, pop: DataFrame, k: int) -> DataFrame:
     """(user, rank, item): each user's k most popular items without the ones in train.
 
-    A user with s items seen needs the first k + s of the order at most, so work is in the size of train plus k per user.
+    A user with s items seen needs the first k + s of the order at most, so only seen ranks up to there are kept and work
+    is in the size of train plus k per user. The first ranks, which every user needs, are looked up in a table of bounded size.
     """
     n_items = pop.count()
-    seen = train.select("user", "item").distinct().join(pop.select("item", "pop_rank"), "item").select("user", "pop_rank")
-    room = users.join(seen.groupBy("user").agg(F.count(F.lit(1)).alias("s")), "user", "left")
-    last = F.least(F.lit(n_items), F.lit(k) + F.coalesce("s", F.lit(0)))
-    open_ = room.select("user", F.explode(F.sequence(F.lit(1), last.cast("long"))).alias("pop_rank")).join(seen, ["user", "pop_rank"], "left_anti")
-    top = open_.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy("pop_rank"))).filter(F.col("rank") <= k)
-    return top.join(pop.select("pop_rank", "item"), "pop_rank").select("user", F.col("rank").cast("long").alias("rank"), "item")
+    ranked = materialise(train.select("user", "item").distinct().join(pop.select("item", "pop_rank"), "item").select("user", "pop_rank"), "seen")
+    sizes = ranked.groupBy("user").agg(F.count(F.lit(1)).alias("s"))
+    near = ranked.join(sizes, "user").filter(F.col("pop_rank") <= k + F.col("s")).groupBy("user").agg(F.first("s").alias("s"), F.collect_list("pop_rank").alias("seen"))
+    room = users.join(near, "user", "left").withColumn("last", F.least(F.lit(n_items), k + F.coalesce("s", F.lit(0))).cast("long"))
+    ranks = F.when(F.col("last") > 0, F.sequence(F.lit(1).cast("long"), F.col("last"))).otherwise(F.array().cast("array<bigint>"))
+    # array_except keeps the order
+    first = F.slice(F.array_except(ranks, F.coalesce("seen", F.array().cast("array<bigint>"))), 1, k)
+    top = room.select("user", F.posexplode(first).alias("place", "pop_rank"))
+    names = pop.select("pop_rank", "item")
+    head = top.filter(F.col("pop_rank") <= NEAR_RANKS).join(F.broadcast(names.filter(F.col("pop_rank") <= NEAR_RANKS)), "pop_rank")
+    far = top.filter(F.col("pop_rank") > NEAR_RANKS).join(names.filter(F.col("pop_rank") > NEAR_RANKS), "pop_rank")
+    return head.unionByName(far).select("user", (F.col("place") + 1).cast("long").alias("rank"), "item")
 
 
 def popularity_target_ranks(train: DataFrame, targets: DataFrame, pop: DataFrame) -> DataFrame:
@@ -93,7 +105,10 @@ def min_max(value: Column, group: Sequence[str], constant: float) -> Column:
     return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(constant))
 
 
-def z_score(value: Column, group: Sequence[str], epsilon: float = 1e-6) -> Column:
-    """Over the whole group, with the population's deviation; filter afterwards, not before."""
-    w = Window.partitionBy(*group)
-    return (value - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + epsilon)
+def z_scores(df: DataFrame, group: Sequence[str], value: str, name: str = "z", epsilon: float = 1e-6) -> DataFrame:
+    """df with the value's z-score over the whole group, with the population's deviation; filter afterwards, not before.
+
+    Moments are combined before the shuffle and joined, which Spark may split for a hot group.
+    """
+    moments = df.groupBy(*group).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__deviation"))
+    return df.join(moments, list(group)).select(*df.columns, ((F.col(value) - F.col("__mean")) / (F.col("__deviation") + epsilon)).alias(name))

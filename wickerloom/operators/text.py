@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,14 +90,32 @@ def context_blocks(ranked: DataFrame, group: str, text: str, budget: int) -> Dat
     return ranked.withColumn("used", F.sum(F.length(text)).over(before)).filter(F.col("used") <= budget)
 
 
-def evidence(text: Column, alias: str) -> tuple[Column, Column]:
-    """(supports, contradicts): whether a text affirms or denies the feature, occurrence by occurrence."""
-    bare = rf"(?<![a-z0-9]){alias}(?![a-z0-9])"
-    denied = rf"(?:does not support|doesn't support|not compatible with|without|no|lacks|not include)\s+(?:any\s+)?{bare}"
-    lower = F.lower(text)
-    rest = F.regexp_replace(lower, denied, " ")
-    affirmed = rf"(?:supports?|with|includes?|features?|compatible with|has)\s+(?:[a-z0-9-]+\s+){{0,3}}{bare}|{bare}\s+(?:port|output|input|support|compatible|delivery|jack)|^\s*{bare}\s*$"
-    return rest.rlike(affirmed), lower.rlike(denied)
+#: What stands right before a feature that is denied, and before or after one that is affirmed.
+DENYING = r"(?:does\s+not\s+support|doesn['’]t\s+support|not\s+compatible\s+with|without|no|lacks?|lack\s+of)\s+"
+AFFIRMING = r"(?:supports?|compatible\s+with|includes?|has|with|equipped\s+with)\s+"
+AFTER = r"\s+(?:output|input|ports?|connectors?|interfaces?|hub|support|supported|compatible)"
+
+
+def alias_pattern(aliases: Sequence[str]) -> str:
+    """The aliases as one pattern, literally but for blanks and dashes, which stand for one another."""
+    forms = ["[\\s-]+".join(re.escape(p) for p in re.split(r"[\s-]+", a.lower()) if p) for a in aliases]
+    return f"(?:{'|'.join(forms)})"
+
+
+def evidence(text: Column, aliases: Sequence[str]) -> tuple[Column, Column]:
+    """(supports, contradicts): whether a text affirms or denies the feature, occurrence by occurrence.
+
+    An occurrence right after a denying phrase contradicts; any other supports if an affirming phrase stands right before
+    it, a word such as port right after it, or nothing else in the text. Null texts tell nothing.
+    """
+    alias = alias_pattern(aliases)
+    lower = collapse(F.translate(F.lower(text), "‐‑‒–—―−", "-------"))
+    denied = f"{DENYING}{alias}([^a-z0-9]|$)"
+    # a mark in the place of what is denied keeps its neighbours apart
+    rest = F.regexp_replace(lower, denied, "\u0001$1")
+    affirmed = f"{AFFIRMING}{alias}(?:[^a-z0-9]|$)|(?:^|[^a-z0-9]){alias}{AFTER}(?:[^a-z0-9_]|$)|^{alias}$"
+    tells = lambda c: F.coalesce(c, F.lit(False))
+    return tells(rest.rlike(affirmed)), tells(lower.rlike(denied))
 
 
 LABELS = ("Title", "Category", "Features", "Description")
@@ -133,7 +154,7 @@ def without_prefix(text: Column, prefixes: list[str]) -> Column:
     out = text
     for p in sorted(prefixes, key=len):
         whole = p + " " if p[-1].isascii() and p[-1].isalnum() else p
-        out = F.when(F.startswith(text, F.lit(whole)), F.trim(F.substring(text, len(whole) + 1, 1_000_000))).otherwise(out)
+        out = F.when(F.startswith(text, F.lit(whole)), F.trim(F.substring(text, F.lit(len(whole) + 1), F.length(text)))).otherwise(out)
     return out
 
 

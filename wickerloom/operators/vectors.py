@@ -8,13 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wickerloom.operators.ranking import top_per_group
 
-#: Query vectors that one block holds; a block travels to every partition of the other side.
-QUERY_BLOCK = 1024
-#: Rows of the searched side that one product takes.
+#: Bytes of the query vectors that one block holds; a block travels to every partition of the other side.
+BLOCK_BYTES = 64 << 20
+#: Rows of the searched side that one product takes, and scores that it makes.
 ROW_BLOCK = 4096
+SCORES = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,14 +61,16 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, candidates: Data
     """(query_id, rank, vec_id, score): exact inner-product top k per query, ties by vec_id.
 
     queries: (query_id, embedding); vectors: (vec_id, embedding), of which candidates (vec_id) are left over before
-    anything is scored; no candidates, no result. Queries are taken in blocks of QUERY_BLOCK: a block is broadcast as one
-    matrix of bounded size, each task keeps its k best per query, and only those are shuffled.
+    anything is scored; no candidates, no result. Queries are taken in blocks of BLOCK_BYTES: a block is broadcast as one
+    matrix of bounded size, each task keeps its k best per query, and only those are shuffled. Vectors are read once a block.
     """
     if candidates is not None:
         vectors = vectors.join(candidates.select("vec_id").distinct(), "vec_id", "left_semi")
     spark, out = queries.sparkSession, None
     rows = queries.select("query_id", "embedding").filter("embedding is not null")
-    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    # a block is the rows of a hash, so it may exceed its share a little
+    blocks = max(1, -(-size.n * (size.d or 0) * 8 // BLOCK_BYTES))
     for b in range(blocks):
         block = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         found = _block_topk(spark, block.toArrow(), vectors, k)
@@ -76,32 +80,38 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, candidates: Data
     return best.select("query_id", "rank", "vec_id", "score")
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column of one length as doubles, without a Python list between."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
 def _block_topk(spark, block: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
-    ids = block.column("query_id").to_pylist()
-    matrix = np.asarray(block.column("embedding").to_pylist(), np.float64) if ids else np.empty((0, 0))
-    shared = spark.sparkContext.broadcast((np.asarray(ids, np.int64), matrix))
+    shared = spark.sparkContext.broadcast((np.asarray(block.column("query_id"), np.int64), _matrix(block.column("embedding"))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
-        best_score, best_id = np.empty((len(qid), 0)), np.empty((len(qid), 0), np.int64)
+        if not len(qid):
+            return
+        best_score, best_id = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
         for batch in batches:
-            if not len(qid):
-                continue
             for a in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(a, ROW_BLOCK)
-                v = part.column(1)
                 own = np.asarray(part.column(0))
                 by_id = np.argsort(own, kind="stable")  # ties go to the smaller id, so columns are put in that order first
-                x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)[by_id]
-                score = q @ x.T
-                order = best_columns(score, k)
-                score = np.hstack([best_score, np.take_along_axis(score, order, 1)])
-                vec = np.hstack([best_id, own[by_id][order]])
-                order = np.lexsort((vec, -score))[:, :k]  # twice k columns at most
-                best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
-        n = best_score.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "vec_id", "score"])
+                x, own = _matrix(part.column(1))[by_id], own[by_id]
+                step = max(1, SCORES // len(own))
+                for f in range(0, len(qid), step):
+                    score = q[f : f + step] @ x.T
+                    order = best_columns(score, k)
+                    score = np.hstack([best_score[f : f + step], np.take_along_axis(score, order, 1)])
+                    vec = np.hstack([best_id[f : f + step], own[order]])
+                    order = np.lexsort((vec, -score))[:, :k]  # twice k columns at most
+                    best_score[f : f + step], best_id[f : f + step] = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
+        for f in range(0, len(qid), 10_000):
+            s, v = best_score[f : f + 10_000], best_id[f : f + 10_000]
+            some = np.isfinite(s).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[f : f + 10_000], k)[some]), pa.array(v.ravel()[some]), pa.array(s.ravel()[some])], ["query_id", "vec_id", "score"])
 
     rows = vectors.filter("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     return rows.mapInArrow(search, "query_id long, vec_id long, score double")
@@ -117,12 +127,58 @@ def topk_per_candidate(queries: DataFrame, candidates: DataFrame, vectors: DataF
     return top_per_group(scored, ["query_id", group], [F.desc("score"), F.col("vec_id")], k).select("query_id", group, "rank", "vec_id", "score")
 
 
+#: Rows whose sums a task holds before it sends them.
+SUM_ROWS = 100_000
+
+
 def mean_vectors(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """(key, profile, n): the element-wise mean of each key's vectors at length 1; partial sums are made before the shuffle."""
-    sums = rows.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    # a key's array has one entry per dimension
-    whole = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("m")))), lambda e: e["m"]).alias("mean"), F.max("n").alias("n"))
-    return whole.select(key, normalised(F.col("mean")).alias("profile"), "n")
+    """(key, profile, n): the element-wise mean of each key's vectors at length 1; null keys and vectors don't count.
+
+    Tasks sum the rows of a key that they hold together, so what is shuffled is one vector a key and task at most, and a
+    key with many rows is no task's alone.
+    """
+    kind = T.StructType([rows.schema[key], T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+
+    def summed(table: pa.Table) -> pa.RecordBatch:
+        code = table.column(0).combine_chunks().dictionary_encode()
+        at = np.asarray(code.indices)
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+        x = _matrix(table.column(1))[order]
+        s, n = np.add.reduceat(x, starts, 0), np.add.reduceat(np.asarray(table.column(2))[order], starts)
+        return pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(at[order][starts])), pa.array([*s]), pa.array(n)], [key, "s", "n"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= SUM_ROWS:
+                yield summed(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield summed(pa.Table.from_batches(held))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one = summed(pa.Table.from_batches([b] if carry is None else [carry.cast(b.schema), b]))
+            # rows come by key, so only the last one may go on
+            last = pa.scalar(b.column(0)[-1].as_py(), one.schema.field(0).type)
+            at = one.column(0).index(last).as_py() if hasattr(one.column(0), "index") else one.num_rows - 1
+            keep = np.arange(one.num_rows) != at
+            yield one.filter(pa.array(keep))
+            carry = one.slice(at, 1)
+        if carry is not None:
+            yield carry
+
+    valid = rows.select(key, F.col(vector).cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n")).filter(F.col(key).isNotNull() & F.col("s").isNotNull())
+    sums = valid.mapInArrow(partial, kind).repartition(key).sortWithinPartitions(key).mapInArrow(whole, kind)
+    mean = F.transform("s", lambda x: x / F.col("n"))
+    return sums.select(key, normalised(mean).alias("profile"), "n")
 
 
 def label_neighbours(found: DataFrame, vectors: DataFrame) -> DataFrame:

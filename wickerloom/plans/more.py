@@ -42,12 +42,19 @@ def publish(spark, sf_dir):
 
 def _fingerprint_sql(name: str, columns: list[str]) -> str:
     line = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in columns)
-    return f"SELECT '{name}' AS name, count(*) AS n_rows, bit_xor(h) AS hash_xor, max(h) AS hash_max, '{','.join(columns)}' AS columns FROM (SELECT CAST('0x' || substr(md5(concat_ws(chr(9), {line})), 1, 15) AS BIGINT) AS h FROM {name})"
+    return f"SELECT '{name}' AS name, count(*) AS n_rows, CAST(coalesce(sum(a), 0) AS VARCHAR) AS hash_a, CAST(coalesce(sum(b), 0) AS VARCHAR) AS hash_b, '{','.join(columns)}' AS columns FROM (SELECT CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b FROM (SELECT md5(concat_ws(chr(9), {line})) AS h FROM {name}))"
 
 
-@query("snk_06_manifest", _fingerprint_sql("train", ["user_indices", "item_indices"]) + " UNION ALL " + _fingerprint_sql("feeds", ["feed", "trust"]))
+#: Tables of the manifest with the columns whose text form both engines share.
+_MANIFEST = {
+    "train": ["user_indices", "item_indices"], "feeds": ["feed", "trust"], "chunks": ["chunk_id", "chunk_index", "item_index", "parent_asin", "chunk_type", "part_index", "text"], "documents": ["doc_id", "text", "lang", "source", "n_chars", "item_index"],
+    "product_catalog": ["item_index", "parent_asin", "title", "rating_number", "description", "store"], "enriched_interactions": ["interaction_id", "user_indices", "item_indices", "timestamps", "feed"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
+
+
+@query("snk_06_manifest", " UNION ALL ".join(_fingerprint_sql(n, c) for n, c in _MANIFEST.items()))
 def manifest(spark, sf_dir):
-    return io.manifest({n: table(spark, sf_dir, n) for n in ("train", "feeds")})
+    return io.manifest({n: table(spark, sf_dir, n).select(*c) for n, c in _MANIFEST.items()})
 
 
 @query("snk_05_resumable_encoding", "SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL")
@@ -103,7 +110,7 @@ def target_in_list(spark, sf_dir):
 SELECT "user", item, round((s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-6), 5) AS z FROM d WINDOW w AS (PARTITION BY "user")""")
 def z_scores(spark, sf_dir):
     scores = reviews(spark, sf_dir).groupBy("user", "item").agg(F.avg("rating").alias("s"))
-    return scores.select("user", "item", F.round(R.z_score(F.col("s"), ["user"]), 5).alias("z"))
+    return R.z_scores(scores, ["user"], "s").select("user", "item", F.round("z", 5).alias("z"))
 
 
 @query("agg_15_user_moments", f"""WITH {REVIEWS_SQL} SELECT "user", round(avg(rating), 6) AS mean, round(stddev_pop(rating), 6) AS deviation FROM reviews GROUP BY "user" """)

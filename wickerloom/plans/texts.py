@@ -135,19 +135,45 @@ def context_budget(spark, sf_dir):
     return X.context_blocks(ranked, "source", "text", 12_000).select("source", "doc_id", F.col("rank").cast("long").alias("rank"), "used")
 
 
-@query("ver_01_evidence_sentences")
+#: Required features with their aliases.
+FEATURES = {"HDMI": ["hdmi"], "USB-C": ["usb-c", "type-c"]}
+
+
+def _evidence_sql(aliases: list[str]) -> str:
+    alias = X.alias_pattern(aliases).replace("'", "''")
+    denied, lower = (X.DENYING + alias + "([^a-z0-9]|$)").replace("doesn['", "doesn[''"), sql_collapse("translate(lower(text), '‐‑‒–—―−', '-------')")
+    rest = f"regexp_replace({lower}, '{denied}', chr(1) || '\\1', 'g')"
+    affirmed = f"{X.AFFIRMING}{alias}(?:[^a-z0-9]|$)|(?:^|[^a-z0-9]){alias}{X.AFTER}(?:[^a-z0-9_]|$)|^{alias}$"
+    return f"coalesce(regexp_matches({rest}, '{affirmed}'), false) AS supports, coalesce(regexp_matches({lower}, '{denied}'), false) AS contradicts"
+
+
+_EVIDENCE = " UNION ALL ".join(f"SELECT doc_id, item_index, '{name}' AS feature, {_evidence_sql(a)} FROM documents" for name, a in FEATURES.items())
+
+
+def _evidence(spark, sf_dir):
+    """(doc_id, item_index, feature, supports, contradicts) of every text and feature, in one scan."""
+    each = [F.struct(F.lit(name).alias("feature"), *(c.alias(n) for n, c in zip(("supports", "contradicts"), X.evidence(F.col("text"), a)))) for name, a in FEATURES.items()]
+    return table(spark, sf_dir, "documents").select("doc_id", "item_index", F.explode(F.array(*each)).alias("e")).select("doc_id", "item_index", "e.*")
+
+
+@query("ver_01_evidence_sentences", f"SELECT doc_id, feature, supports, contradicts FROM ({_EVIDENCE}) WHERE supports OR contradicts")
 def evidence_sentences(spark, sf_dir):
-    for_, against = X.evidence(F.col("text"), "hdmi")
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", for_.alias("supports"), against.alias("contradicts")).filter("supports or contradicts")
+    return _evidence(spark, sf_dir).filter("supports or contradicts").select("doc_id", "feature", "supports", "contradicts")
 
 
-@query("ver_02_item_evidence")
+@query("ver_02_item_evidence", f"""
+WITH s AS (SELECT item_index, feature, count(*) FILTER (WHERE supports) AS n_support, count(*) FILTER (WHERE contradicts) AS n_contradict FROM ({_EVIDENCE}) WHERE item_index IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, CASE WHEN n_support > 0 AND n_contradict = 0 THEN 'supported' WHEN n_support = 0 AND n_contradict > 0 THEN 'contradicted' ELSE 'unknown' END AS state FROM s)
+SELECT item_index, sum(n_support) AS n_support, sum(n_contradict) AS n_contradict,
+  CASE WHEN count(*) FILTER (WHERE state = 'contradicted') > 0 THEN 'ineligible' WHEN count(*) FILTER (WHERE state = 'supported') = count(*) THEN 'eligible' ELSE 'unverified' END AS status FROM c GROUP BY item_index""")
 def item_evidence(spark, sf_dir):
-    for_, against = X.evidence(F.col("text"), "hdmi")
-    texts = table(spark, sf_dir, "documents").filter("text is not null and item_index is not null").select("item_index", for_.alias("s"), against.alias("c"))
-    states = texts.groupBy("item_index").agg(F.count_if("s").alias("n_support"), F.count_if("c").alias("n_contradict"))
-    status = F.when((F.col("n_support") > 0) & (F.col("n_contradict") == 0), "supported").when((F.col("n_support") == 0) & (F.col("n_contradict") > 0), "contradicted").otherwise("unknown")
-    return states.withColumn("status", status)
+    """Each item's status over all required features: one contradicted makes it ineligible, all supported eligible."""
+    states = _evidence(spark, sf_dir).filter("item_index is not null").groupBy("item_index", "feature").agg(F.count_if("supports").alias("n_support"), F.count_if("contradicts").alias("n_contradict"))
+    support, contradict = F.col("n_support") > 0, F.col("n_contradict") > 0
+    return states.groupBy("item_index").agg(
+        F.sum("n_support").alias("n_support"), F.sum("n_contradict").alias("n_contradict"),
+        F.when(F.count_if(contradict & ~support) > 0, "ineligible").when(F.count_if(support & ~contradict) == F.count(F.lit(1)), "eligible").otherwise("unverified").alias("status"),
+    )
 
 
 @query("dq_02_duplicate_chunk_ids", "SELECT chunk_id, count(*) AS n FROM chunks GROUP BY chunk_id HAVING count(*) > 1")

@@ -39,16 +39,18 @@ def read_json_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
-def row_hash(df: DataFrame) -> Column:
-    """60 bits of each row's MD5 over its columns in order, with null apart from empty."""
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two times 60 bits of each row's MD5 over its columns in order, with null apart from empty."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("\t", *parts)), 1, 15), 16, 10).cast("long")
+    whole = F.md5(F.concat_ws("\t", *parts))
+    return tuple(F.conv(F.substring(whole, at, 15), 16, 10).cast("decimal(20,0)") for at in (1, 16))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: n_rows and a fingerprint that doesn't depend on the rows' order. Repeated rows change n_rows."""
-    h = df.select(row_hash(df).alias("h"))
-    return h.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"), F.coalesce(F.max("h"), F.lit(0)).alias("hash_max"))
+    """One row: n_rows and sums of two hashes, which don't depend on the rows' order; every repetition of a row counts."""
+    a, b = row_hashes(df)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("string")
+    return df.select(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("n_rows"), total("a").alias("hash_a"), total("b").alias("hash_b"))
 
 
 def publish(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -65,17 +67,22 @@ def publish(df: DataFrame, path: str, overwrite: bool = False) -> None:
         want, got = fingerprint(df).first(), fingerprint(back).first()
         if want != got:
             raise OSError(f"{path} read back as {got}, not {want}")
-        if fs.exists(target):
-            fs.delete(target, True)
+        # the old table stays until the new one is in its place
+        old = jvm_path(f"{path}.{uuid.uuid4().hex}.old")
+        had = fs.exists(target) and fs.rename(target, old)
         if not fs.rename(beside, target):
+            if had:
+                fs.rename(old, target)
             raise OSError(f"{path} couldn't be put in place")
+        if had:
+            fs.delete(old, True)
     finally:
         if fs.exists(beside):
             fs.delete(beside, True)
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(name, n_rows, hash_xor, hash_max, columns) of each table."""
+    """(name, n_rows, hash_a, hash_b, columns) of each table."""
     out = None
     for name, df in tables.items():
         one = fingerprint(df).select(F.lit(name).alias("name"), "*", F.lit(",".join(df.columns)).alias("columns"))
