@@ -7,11 +7,12 @@ from wickerloom.plans.heavy import HEAVY
 from wickerloom.plans.more import MORE
 from wickerloom.plans.profiles import PROFILES
 from wickerloom.plans.registry import Query
+from wickerloom.plans.serving import SERVING
 from wickerloom.plans.splits import SPLITS
 from wickerloom.plans.texts import TEXTS
 from wickerloom.plans.vectors import VECTORS
 
-REGISTRIES = [HEAVY, PROFILES, SPLITS, TEXTS, VECTORS, MORE, DOCUMENTS]
+REGISTRIES = [HEAVY, PROFILES, SPLITS, TEXTS, VECTORS, MORE, DOCUMENTS, SERVING]
 
 
 def all_queries() -> dict[str, Query]:

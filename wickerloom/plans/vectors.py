@@ -9,7 +9,7 @@ from wickerloom.operators import interactions as I
 from wickerloom.operators import ranking as R
 from wickerloom.operators import vectors as V
 from wickerloom.plans.registry import Registry
-from wickerloom.plans.splits import POP
+from wickerloom.plans.splits import POP, SPLIT
 from wickerloom.session import materialise
 from wickerloom.sources.tables import REVIEWS_SQL, reviews, table
 
@@ -92,16 +92,34 @@ def _semantic(spark, sf_dir, alpha):
     return profiles, e, train.distinct(), counts, alpha
 
 
-@query("rec_02_semantic_topk")
+#: Users' z-scores over all vectors: zs of the semantic scores, zp of popularity in train.
+SEMANTIC = f"""{SPLIT}, size AS (SELECT count(*) AS n FROM embeddings), tr AS (SELECT "user", item % n AS vec_id FROM split, size WHERE split = 'train'),
+ex AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+mv AS (SELECT "user", pos, avg(CAST(x AS DOUBLE)) AS x FROM tr JOIN ex USING (vec_id) GROUP BY ALL),
+pf AS (SELECT "user", list(x ORDER BY pos) AS p, sqrt(sum(x * x)) AS l FROM mv GROUP BY "user"),
+pc AS (SELECT vec_id, count(*) AS n FROM tr GROUP BY vec_id),
+ct AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, coalesce(n, 0) AS n, (coalesce(n, 0) - avg(coalesce(n, 0)) OVER ()) / (stddev_pop(coalesce(n, 0)) OVER () + 1e-6) AS zp FROM embeddings LEFT JOIN pc USING (vec_id)),
+sc AS (SELECT "user", vec_id, n, zp, list_dot_product(p, e) / l AS s FROM pf, ct),
+zs AS (SELECT "user", vec_id, n, zp, (s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-6) AS z FROM sc WINDOW w AS (PARTITION BY "user")),
+sn AS (SELECT DISTINCT "user", vec_id FROM tr)"""
+
+
+def _best_sql(alpha: float) -> str:
+    return SEMANTIC + f""", rk AS (SELECT "user", vec_id, round({1 - alpha:.1f} * zp + {alpha} * z, 9) AS score FROM zs ANTI JOIN sn USING ("user", vec_id)),
+nb AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, vec_id) AS rank FROM rk)
+SELECT "user", rank, vec_id, round(score, 6) AS score FROM nb WHERE rank <= {K}"""
+
+
+@query("rec_02_semantic_topk", _best_sql(1.0))
 def semantic_topk(spark, sf_dir):
     profiles, e, seen, _, _ = _semantic(spark, sf_dir, 1.0)
-    return H.profile_scores(profiles, e, K, seen=seen)
+    return H.profile_scores(profiles, e, K, seen=seen).withColumn("score", F.round("score", 6))
 
 
-@query("rec_05_hybrid_topk")
+@query("rec_05_hybrid_topk", _best_sql(0.7))
 def hybrid_topk(spark, sf_dir):
     profiles, e, seen, counts, alpha = _semantic(spark, sf_dir, 0.7)
-    return H.profile_scores(profiles, e, K, counts, alpha, seen)
+    return H.profile_scores(profiles, e, K, counts, alpha, seen).withColumn("score", F.round("score", 6))
 
 
 @query("rec_09_rerank", TOPK.format("") + f"""
@@ -141,7 +159,8 @@ def propagation(spark, sf_dir):
     return H.propagate(graph, start, 2).select("node", F.round("x", 6).alias("x"))
 
 
-@query("sort_02_cold_items", POP + "SELECT p_partkey AS item FROM part ANTI JOIN pop ON item = p_partkey")
-def cold_items(spark, sf_dir):
+@query("sort_02_top_items", POP + "SELECT item, n FROM pop ORDER BY n DESC, item LIMIT 50")
+def top_items(spark, sf_dir):
     train = I.temporal_split(I.positives(reviews(spark, sf_dir))).filter("split = 'train'")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")).join(train.select("item"), "item", "left_anti")
+    # Spark keeps 50 a task
+    return train.groupBy("item").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "item").limit(50)
