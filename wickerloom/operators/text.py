@@ -178,3 +178,32 @@ def knowledge_chunks(catalogue: DataFrame, limit: int = 1600) -> DataFrame:
     texts = catalogue.select("item_index", "parent_asin", F.explode(kinds).alias("x")).select("item_index", "parent_asin", "x.chunk_type", "x.t").filter("t is not null")
     parts = texts.select("item_index", "parent_asin", "chunk_type", F.posexplode(pack_words(F.col("t"), limit)).alias("part_index", "text"))
     return parts.select(F.concat_ws(":", "item_index", "chunk_type", "part_index").alias("chunk_id"), "*")
+
+
+def without_identifier(text: Column, identifier: Column) -> Column:
+    """text with a space in the place of every occurrence of the identifier, taken literally and in any case; an empty or null one changes nothing."""
+    literal = F.regexp_replace(identifier, r"([.*+?^$()|\[\]{}\\])", r"\\$1")
+    return F.when(F.coalesce(identifier, F.lit("")) == "", text).otherwise(F.regexp_replace(text, F.concat(F.lit("(?iu)"), literal), F.lit(" ")))
+
+
+def feature_query(features: Column, parts: int = 3, words: int = 36) -> Column:
+    """A search request from the first distinct features, bounded in words; null where there are none."""
+    bare = F.transform(F.filter(features, lambda f: f.isNotNull()), lambda f: F.regexp_replace(clean_text(f), r"^[ ,;:-]+|[ ,;:-]+$", ""))
+    kept = F.filter(bare, lambda f: f != "")
+    none = F.array().cast("array<string>")
+    distinct = F.aggregate(kept, none, lambda a, f: F.when(F.exists(a, lambda o: F.lower(o) == F.lower(f)), a).otherwise(F.array_append(a, f)))
+    text = F.array_join(F.slice(F.split(F.array_join(F.slice(distinct, 1, parts), " ; "), " "), 1, words), " ")
+    return F.when(F.size(distinct) > 0, F.concat(F.lit("Looking for a product with these features: "), text))
+
+
+def product_block(rank: Column, features: int = 5, description: int = 500) -> Column:
+    """The facts of a product as labelled lines for a prompt; what is missing or invalid has no line, long parts are cut."""
+    line = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(label), c))
+    finite = lambda c: ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    listed = F.slice(clean_list(F.col("features")), 1, features)
+    return F.concat_ws(
+        "\n", F.concat(F.lit("[Product "), rank.cast("string"), F.lit("]")), F.concat(F.lit("Product ID: "), "parent_asin"), line("Title: ", clean_text(F.col("title"))),
+        F.when(finite("price") & (F.col("price") > 0), F.concat(F.lit("Price: $"), F.format_string("%.2f", "price"))), F.when(finite("average_rating"), F.concat(F.lit("Average Rating: "), F.format_string("%.1f", "average_rating"), F.lit(" / 5"))),
+        F.when(F.col("rating_number") >= 0, F.concat(F.lit("Rating Count: "), F.col("rating_number").cast("string"))), line("Store: ", clean_text(F.col("store"))), line("Categories: ", F.array_join(clean_list(F.col("categories")), " > ")),
+        F.when(F.size(listed) > 0, F.concat(F.lit("Features:\n"), F.array_join(F.transform(listed, lambda f: F.concat(F.lit("- "), f)), "\n"))), line("Description: ", truncate_words(clean_text(F.col("description")), description)),
+    )

@@ -10,7 +10,7 @@ from wickerloom.operators import ranking as R
 from wickerloom.operators import text as X
 from wickerloom.operators import vectors as V
 from wickerloom.plans.registry import Registry
-from wickerloom.plans.splits import POP, SPLIT
+from wickerloom.plans.splits import POP
 from wickerloom.plans.texts import _list, sql_clean
 from wickerloom.plans.vectors import DOT, EVERY, TOPK
 from wickerloom.session import materialise
@@ -28,11 +28,11 @@ def knowledge_chunks(spark, sf_dir):
 
 
 @query("str_06_parsed_text", f"""
-SELECT item_index, nullif({sql_clean('title')}, '') AS title, coalesce(len({_list('categories')}), 0) AS n_categories, coalesce(len({_list('features')}), 0) AS n_features, nullif({sql_clean('description')}, '') AS description
-FROM product_catalog WHERE NOT contains(coalesce(array_to_string(features, ' '), ''), '|')""")
+SELECT item_index, nullif({sql_clean('title')}, '') AS title, coalesce(len({_list('categories')}), 0) AS n_categories, len(list_filter(list_transform(flatten(list_transform(coalesce({_list('features')}, []), lambda f: string_split(f, '|'))), lambda f: trim(f)), lambda f: f <> '')) AS n_features, nullif({sql_clean('description')}, '') AS description
+FROM product_catalog""")
 def parsed_text(spark, sf_dir):
-    c = table(spark, sf_dir, "product_catalog").filter("not contains(coalesce(array_join(features, ' '), ''), '|')")
-    parsed = X.parse_product_text(X.product_text(c))
+    # a feature that holds the mark between features is read as several
+    parsed = X.parse_product_text(X.product_text(table(spark, sf_dir, "product_catalog")))
     return parsed.select("item_index", "title", F.size("categories").cast("long").alias("n_categories"), F.size("features").cast("long").alias("n_features"), "description")
 
 
@@ -106,12 +106,18 @@ def factorised_topk(spark, sf_dir):
     return model.recommendForAllUsers(K).select("user_indices", F.posexplode("recommendations").alias("pos", "r")).select("user_indices", (F.col("pos") + 1).alias("rank"), "r.item_indices", "r.rating")
 
 
-@query("met_06_metric_records", SPLIT + """
-, m AS (SELECT split, count(*) FILTER (WHERE item % 2 = 0) AS numerator, count(*) AS denominator FROM split GROUP BY split)
-SELECT split, numerator, denominator, round(numerator / denominator, 8) AS value, denominator > 0 AND numerator <= denominator AS valid FROM m""")
+@query("met_06_metric_records", POP + """
+, m AS (SELECT k, count(*) FILTER (WHERE rank BETWEEN 1 AND k) AS numerator, count(*) AS denominator FROM ranked, (VALUES (10), (20), (50)) v(k) GROUP BY k)
+SELECT 'recall' AS metric, k, numerator, denominator, round(numerator / denominator, 8) AS value, denominator > 0 AND numerator BETWEEN 0 AND denominator AS valid FROM m""")
 def metric_records(spark, sf_dir):
-    m = I.temporal_split(I.positives(reviews(spark, sf_dir))).groupBy("split").agg(F.count_if(F.col("item") % 2 == 0).alias("numerator"), F.count(F.lit(1)).alias("denominator"))
-    return m.select("*", F.round(F.col("numerator") / F.col("denominator"), 8).alias("value"), ((F.col("denominator") > 0) & (F.col("numerator") <= F.col("denominator"))).alias("valid"))
+    """Recall as records of a numerator, a denominator and their checked ratio."""
+    split = materialise(I.temporal_split(I.positives(reviews(spark, sf_dir))), "split")
+    train = split.filter("split = 'train'")
+    ranks = R.popularity_target_ranks(train, split.filter("split = 'test'").select("user", "item"), R.popularity(train))
+    each = ranks.select("rank", F.explode(F.array(*map(F.lit, (10, 20, 50)))).alias("k"))
+    m = each.groupBy("k").agg(F.count_if((F.col("rank") > 0) & (F.col("rank") <= F.col("k"))).alias("numerator"), F.count(F.lit(1)).alias("denominator"))
+    valid = (F.col("denominator") > 0) & F.col("numerator").between(0, F.col("denominator"))
+    return m.select(F.lit("recall").alias("metric"), "k", "numerator", "denominator", F.round(F.col("numerator") / F.col("denominator"), 8).alias("value"), valid.alias("valid"))
 
 
 @query("dq_01_catalogue_errors", """

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wickerloom.functions import scalar as S
 from wickerloom.operators import interactions as I
@@ -14,12 +15,12 @@ from wickerloom.operators import text as X
 from wickerloom.operators.sampling import hash_sample, negative_samples
 from wickerloom.plans.registry import Registry
 from wickerloom.plans.splits import POP, SPLIT
-from wickerloom.plans.texts import sql_clean
+from wickerloom.plans.texts import _list, sql_clean
 from wickerloom.plans.vectors import EVERY, TOPK
 from wickerloom.session import materialise, shared_dir
 from wickerloom.sources import io
 from wickerloom.sources.tables import REVIEWS_SQL, reviews, table
-from wickerloom.streaming.events import windowed_counts
+from wickerloom.streaming.events import read_table_stream, run_once, windowed_counts
 
 MORE = Registry()
 query = MORE.query
@@ -67,15 +68,22 @@ def resumable_encoding(spark, sf_dir):
     return io.encode_resumably(texts, "doc_id", sizes, path)
 
 
-@query("prj_05_comparison", """
-WITH q AS (SELECT user_indices AS request, min(item_indices) AS a, max(item_indices) AS b FROM train WHERE user_indices >= 0 GROUP BY user_indices HAVING min(item_indices) < max(item_indices))
-SELECT request, f.unnest AS field, CASE f.unnest WHEN 'title' THEN x.title WHEN 'store' THEN x.store ELSE CAST(x.rating_number AS VARCHAR) END AS first, CASE f.unnest WHEN 'title' THEN y.title WHEN 'store' THEN y.store ELSE CAST(y.rating_number AS VARCHAR) END AS second
-FROM q JOIN product_catalog x ON x.item_index = a JOIN product_catalog y ON y.item_index = b, unnest(['title', 'store', 'rating_number']) f""")
+#: Fields of a comparison: name and SQL, which both engines share.
+COMPARED = {"title": "title", "store": "store", "rating_number": "CAST(rating_number AS STRING)", "parent_asin": "parent_asin", "n_categories": "CAST(len(categories) AS STRING)"}
+
+
+@query("prj_05_comparison", f"""
+WITH q AS (SELECT DISTINCT user_indices AS request, item_indices AS item_index FROM train WHERE user_indices >= 0 AND item_indices IS NOT NULL),
+f AS (SELECT item_index, unnest([{", ".join(f"'{n}'" for n in COMPARED)}]) AS field, unnest([{", ".join(COMPARED.values())}]) AS value FROM product_catalog)
+SELECT request, field, string_agg(coalesce(value, '-'), ' | ' ORDER BY item_index) AS products FROM q JOIN f USING (item_index) GROUP BY request, field""")
 def comparison(spark, sf_dir):
-    pair = table(spark, sf_dir, "train").filter("user_indices >= 0").groupBy(F.col("user_indices").alias("request")).agg(F.min("item_indices").alias("a"), F.max("item_indices").alias("b")).filter("a < b")
-    c = table(spark, sf_dir, "product_catalog").select("item_index", "title", "store", F.col("rating_number").cast("string").alias("rating_number"))
-    both = pair.join(c.select(*(F.col(n).alias(f"x_{n}") for n in c.columns)), F.col("a") == F.col("x_item_index")).join(c.select(*(F.col(n).alias(f"y_{n}") for n in c.columns)), F.col("b") == F.col("y_item_index"))
-    return both.select("request", F.expr("stack(3, 'title', x_title, y_title, 'store', x_store, y_store, 'rating_number', x_rating_number, y_rating_number) as (field, first, second)"))
+    """A row per request and field with the values of all its products, in item order."""
+    asked = table(spark, sf_dir, "train").filter("user_indices >= 0 and item_indices is not null").select(F.col("user_indices").alias("request"), F.col("item_indices").alias("item_index")).distinct()
+    values = F.array(*(F.struct(F.lit(n).alias("field"), F.expr(e.replace("len(", "size(")).alias("value")) for n, e in COMPARED.items()))
+    products = asked.join(table(spark, sf_dir, "product_catalog").select("item_index", values.alias("f")), "item_index").select("request", "item_index", F.explode("f").alias("f"))
+    # a request's products are as many as its basket holds
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("item_index", F.coalesce("f.value", F.lit("-")).alias("v")))), lambda x: x["v"])
+    return products.groupBy("request", "f.field").agg(F.array_join(listed, " | ").alias("products"))
 
 
 @query("prj_06_finite_numbers", "SELECT item_index, CASE WHEN isfinite(price) AND price > 0 THEN price END AS price FROM product_catalog")
@@ -144,14 +152,6 @@ def new_candidates(spark, sf_dir):
     return ten.join(ten.filter("rank <= 5").select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti").select("query_id", "rank", "vec_id")
 
 
-@query("sort_08_best_setting", SPLIT + """
-, c AS (SELECT split, item, count(*) AS n FROM split GROUP BY split, item)
-SELECT split, item, n FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, item) AS p FROM c) WHERE p = 1""")
-def best_setting(spark, sf_dir):
-    counts = I.temporal_split(I.positives(reviews(spark, sf_dir))).groupBy("split", "item").agg(F.count(F.lit(1)).alias("n"))
-    return R.top_per_group(counts, ["split"], [F.desc("n"), F.col("item")], 1).select("split", "item", "n")
-
-
 @query("sort_09_first_occurrences", """
 WITH x AS (SELECT item_index, unnest(features) AS f, generate_subscripts(features, 1) AS p FROM product_catalog), y AS (SELECT item_index, trim(f) AS f, p FROM x WHERE f IS NOT NULL AND trim(f) <> ''),
 z AS (SELECT *, row_number() OVER (PARTITION BY item_index, lower(f) ORDER BY p) AS k FROM y)
@@ -181,30 +181,48 @@ def negatives(spark, sf_dir):
     return negative_samples(pos, items, 2, 7)
 
 
-@query("str_12_normal_form", "SELECT item_index, lower(regexp_replace(nfc_normalize(store), '\\s+', ' ', 'g')) AS store FROM product_catalog WHERE store IS NOT NULL AND regexp_full_match(store, '[A-Za-z ]+')")
+@query("str_12_normal_form")
 def normal_form(spark, sf_dir):
-    rows = table(spark, sf_dir, "product_catalog").filter(F.col("store").rlike("^[A-Za-z ]+$"))
-    return rows.select("item_index", S.normal_form("store").alias("store"))
+    """Titles, stores and features in normal form; DuckDB has neither NFKC nor case folding."""
+    c = table(spark, sf_dir, "product_catalog")
+    texts = F.concat(F.array("title", "store"), F.coalesce("features", F.array().cast("array<string>")))
+    each = c.select(F.explode(texts).alias("text")).filter("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    return each.select("text", S.normal_form("text").alias("normal"), "n")
+
+
+def _plain_sql(c: str) -> str:
+    return f"regexp_replace({c}, '([.*+?^$()|\\[\\]{{}}\\\\])', '\\\\\\1', 'g')"
 
 
-@query("str_08_without_store", f"SELECT item_index, {sql_clean('title')} LIKE '%' || store || '%' AS names_store FROM product_catalog WHERE store IS NOT NULL AND title IS NOT NULL")
-def names_store(spark, sf_dir):
-    return table(spark, sf_dir, "product_catalog").filter("store is not null and title is not null").select("item_index", F.contains(X.clean_text(F.col("title")), F.col("store")).alias("names_store"))
+@query("str_08_without_store", f"SELECT item_index, CASE WHEN coalesce(store, '') = '' THEN title ELSE regexp_replace(title, {_plain_sql('store')}, ' ', 'gi') END AS title FROM product_catalog")
+def without_store(spark, sf_dir):
+    """Titles without the seller's name, in any case."""
+    return table(spark, sf_dir, "product_catalog").select("item_index", X.without_identifier(F.col("title"), F.col("store")).alias("title"))
 
 
-@query("str_09_feature_query", """
-WITH x AS (SELECT item_index, list_distinct(list_filter(list_transform(features, lambda f: trim(f)), lambda f: f IS NOT NULL AND f <> '')) AS f FROM product_catalog)
-SELECT item_index, len(f) AS n FROM x WHERE len(f) > 0""")
+@query("str_09_feature_query", f"""
+WITH x AS (SELECT item_index, unnest(features) AS f, generate_subscripts(features, 1) AS p FROM product_catalog), y AS (SELECT item_index, p, trim({sql_clean('f')}, ' ,;:-') AS f FROM x WHERE f IS NOT NULL),
+z AS (SELECT *, row_number() OVER (PARTITION BY item_index, lower(f) ORDER BY p) AS k FROM y WHERE f <> ''), w AS (SELECT item_index, f, row_number() OVER (PARTITION BY item_index ORDER BY p) AS place FROM z WHERE k = 1),
+q AS (SELECT item_index, string_split(string_agg(f, ' ; ' ORDER BY place), ' ') AS words FROM w WHERE place <= 3 GROUP BY item_index)
+SELECT item_index, 'Looking for a product with these features: ' || array_to_string(words[1:36], ' ') AS query FROM q""")
 def feature_query(spark, sf_dir):
-    f = F.array_distinct(F.filter(F.transform("features", lambda x: F.trim(x)), lambda x: x != ""))
-    return table(spark, sf_dir, "product_catalog").select("item_index", F.size(f).cast("long").alias("n")).filter("n > 0")
+    return table(spark, sf_dir, "product_catalog").select("item_index", X.feature_query(F.col("features")).alias("query")).filter("query is not null")
 
 
-@query("str_18_product_block", """
-SELECT item_index, 'Title: ' || title || chr(10) || 'Rating: ' || printf('%.1f', average_rating) || ' / 5' || chr(10) || 'Store: ' || coalesce(store, 'unknown') AS block FROM product_catalog WHERE title IS NOT NULL AND average_rating IS NOT NULL""")
+_CUT = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} ELSE regexp_replace(({c})[1:{n - 3}], '\\s\\S*$', '') || '...' END"
+
+
+@query("str_18_product_block", f"""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY rating_number DESC NULLS LAST, item_index) AS rank FROM product_catalog)
+SELECT item_index, concat_ws(chr(10), '[Product ' || rank || ']', 'Product ID: ' || parent_asin, CASE WHEN {sql_clean('title')} <> '' THEN 'Title: ' || {sql_clean('title')} END,
+  CASE WHEN isfinite(price) AND price > 0 THEN 'Price: $' || printf('%.2f', price) END, CASE WHEN isfinite(average_rating) THEN 'Average Rating: ' || printf('%.1f', average_rating) || ' / 5' END,
+  CASE WHEN rating_number >= 0 THEN 'Rating Count: ' || rating_number END, CASE WHEN {sql_clean('store')} <> '' THEN 'Store: ' || {sql_clean('store')} END,
+  CASE WHEN len({_list('categories')}) > 0 THEN 'Categories: ' || array_to_string({_list('categories')}, ' > ') END,
+  CASE WHEN len({_list('features')}) > 0 THEN 'Features:' || chr(10) || array_to_string(list_transform(({_list('features')})[1:5], lambda f: '- ' || f), chr(10)) END,
+  CASE WHEN {sql_clean('description')} <> '' THEN 'Description: ' || {_CUT(sql_clean('description'), 500)} END) AS block FROM r""")
 def product_block(spark, sf_dir):
-    rows = table(spark, sf_dir, "product_catalog").filter("title is not null and average_rating is not null")
-    return rows.select("item_index", F.concat_ws("\n", F.concat(F.lit("Title: "), "title"), F.format_string("Rating: %.1f / 5", "average_rating"), F.concat(F.lit("Store: "), F.coalesce("store", F.lit("unknown")))).alias("block"))
+    ranked = I.global_rank(table(spark, sf_dir, "product_catalog"), F.desc_nulls_last("rating_number"), "item_index")
+    return ranked.select("item_index", X.product_block(F.col("rank")).alias("block"))
 
 
 @query("math_01_scores", "SELECT item_index, round(greatest(0, least(1, coalesce(CASE WHEN isfinite(average_rating) THEN average_rating END, 0) / 5)), 6) AS rating_score, round(ln(1 + greatest(0, coalesce(rating_number, 0))), 6) AS count_score FROM product_catalog")
@@ -212,16 +230,38 @@ def scores(spark, sf_dir):
     return table(spark, sf_dir, "product_catalog").select("item_index", F.round(S.rating_score(F.col("average_rating")), 6).alias("rating_score"), F.round(S.count_score(F.col("rating_number")), 6).alias("count_score"))
 
 
-@query("math_11_pairwise_loss", "SELECT vec_id, round(ln(1 + exp(-(embedding[1]::DOUBLE - embedding[2]::DOUBLE))), 6) AS loss FROM embeddings")
+@query("math_11_pairwise_loss", """
+WITH p AS (SELECT u.vec_id, list_dot_product(u.embedding::DOUBLE[], a.embedding::DOUBLE[]) - list_dot_product(u.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
+  list_dot_product(u.embedding::DOUBLE[], u.embedding::DOUBLE[]) + list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) + list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS w
+  FROM embeddings u JOIN embeddings a ON a.vec_id = u.vec_id + 1 JOIN embeddings b ON b.vec_id = u.vec_id + 2)
+SELECT count(*) AS n, round(avg(ln(1 + exp(-d))), 6) AS ranking, round(1e-4 * 0.5 * sum(w) / count(*), 8) AS regularisation, round(avg(ln(1 + exp(-d))) + 1e-4 * 0.5 * sum(w) / count(*), 6) AS loss FROM p""")
 def pairwise_loss(spark, sf_dir):
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.pairwise_loss(e[0].cast("double"), e[1].cast("double")), 6).alias("loss"))
+    """The loss of one batch: a user's vector with a positive's and a negative's, over all dimensions, and the weights' norm."""
+    from wickerloom.operators.vectors import dot
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("u"))
+    after = lambda k, n: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("u").alias(n))
+    u, a, b = (F.col(c) for c in "uab")
+    rows = e.join(after(1, "a"), "vec_id").join(after(2, "b"), "vec_id").select(S.pairwise_loss(dot(u, a), dot(u, b)).alias("l"), (dot(u, u) + dot(a, a) + dot(b, b)).alias("w"))
+    ranking, weights = F.avg("l"), 1e-4 * 0.5 * F.sum("w") / F.count(F.lit(1))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(ranking, 6).alias("ranking"), F.round(weights, 8).alias("regularisation"), F.round(ranking + weights, 6).alias("loss"))
 
 
-@query("json_01_malformed", "SELECT count(*) AS n FROM events WHERE NOT json_valid(props)")
+@query("json_01_malformed", "SELECT event_id, props AS line FROM events WHERE props IS NOT NULL AND (NOT json_valid(props) OR json_type(CASE WHEN json_valid(props) THEN props END) <> 'OBJECT')")
 def malformed(spark, sf_dir):
-    bad = F.col("props").isNotNull() & F.from_json("props", "map<string,string>").isNull()
-    return table(spark, sf_dir, "events").agg(F.count_if(bad).alias("n"))
+    """Lines that aren't JSON objects, with their event."""
+    bad = F.from_json("props", "map<string,string>", {"mode": "PERMISSIVE"}).isNull()
+    return table(spark, sf_dir, "events").filter(F.col("props").isNotNull() & bad).select("event_id", F.col("props").alias("line"))
+
+
+@query("json_01_malformed_lines", "SELECT CASE WHEN interaction_id % 3 = 0 THEN '{\"user\": ' || interaction_id ELSE '[' || interaction_id || ',' END AS line FROM enriched_interactions WHERE interaction_id % 3 < 2")
+def malformed_lines(spark, sf_dir):
+    """A file with a line per interaction, two of three broken, read back line by line."""
+    i = F.col("interaction_id").cast("string")
+    line = F.when(F.col("interaction_id") % 3 == 0, F.concat(F.lit('{"user": '), i)).when(F.col("interaction_id") % 3 == 1, F.concat(F.lit("["), i, F.lit(","))).otherwise(F.concat(F.lit('{"user": '), i, F.lit("}")))
+    path = f"{shared_dir(spark)}/wickerloom/lines-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "enriched_interactions").select(line.alias("value")).write.text(path)
+    return io.malformed_lines(spark, path, T.StructType([T.StructField("user", T.LongType())])).select("line")
 
 
 @query("join_15_retention", TOPK.format("") + """
@@ -239,5 +279,8 @@ def retention(spark, sf_dir):
 
 @query("stream_event_windows", "SELECT epoch_ms(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed_counts(rows).select(F.unix_millis("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    """The windows as a stream leaves them once it has read all files there are."""
+    rows = read_table_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a watermark as wide as this leaves no row out, however late it comes
+    counted = run_once(windowed_counts(rows, late="36500 days"), f"{shared_dir(spark)}/wickerloom/stream-{uuid.uuid4().hex}")
+    return counted.select(F.unix_millis("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

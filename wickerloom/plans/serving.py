@@ -114,7 +114,7 @@ def sorted_lookup(spark, sf_dir):
     return V.sorted_lookup(table(spark, sf_dir, "product_catalog"), "parent_asin", "item_index")
 
 
-@query("dq_08_lookup_checks", "SELECT count(*) AS n, 0 AS n_not_ascending, true AS positions_whole, count(DISTINCT item_index) = count(*) AND min(item_index) = 0 AND max(item_index) = count(*) - 1 AS values_whole FROM product_catalog")
+@query("dq_08_lookup_checks", "WITH l AS (SELECT item_index, parent_asin, lag(parent_asin) OVER (ORDER BY encode(parent_asin)) AS before, row_number() OVER (ORDER BY encode(parent_asin)) - 1 AS p FROM product_catalog) SELECT count(*) AS n, count(*) FILTER (WHERE parent_asin <= before) AS n_not_ascending, count(DISTINCT p) = count(*) AND min(p) = 0 AND max(p) = count(*) - 1 AS positions_whole, count(DISTINCT item_index) = count(*) AND min(item_index) = 0 AND max(item_index) = count(*) - 1 AS values_whole FROM l")
 def lookup_checks(spark, sf_dir):
     lookup = materialise(V.sorted_lookup(table(spark, sf_dir, "product_catalog"), "parent_asin", "item_index"), "lookup")
     return V.lookup_checks(lookup, "parent_asin", "item_index")
@@ -177,8 +177,8 @@ tg AS (SELECT split, "user", item % size.n AS vec_id FROM split, size WHERE spli
 fu AS (SELECT variant, alpha, "user", vec_id, round(CASE WHEN variant = 'cold_aware' AND n = 0 THEN z ELSE (1 - alpha) * zp + alpha * z END, 9) AS t FROM zs, al, va),
 mk AS (SELECT split, variant, alpha, "user", tg.vec_id, t AS mark, EXISTS (SELECT 1 FROM sn WHERE sn."user" = tg."user" AND sn.vec_id = tg.vec_id) AS gone FROM tg JOIN fu USING ("user", vec_id)),
 un AS (SELECT fu.* FROM fu ANTI JOIN sn USING ("user", vec_id)),
-rk AS (SELECT split, variant, alpha, mk."user", CASE WHEN any_value(gone) THEN 0 ELSE 1 + count(un.vec_id) END AS rank FROM mk LEFT JOIN un
-  ON un.variant = mk.variant AND un.alpha = mk.alpha AND un."user" = mk."user" AND un.vec_id <> mk.vec_id AND (un.t > mk.mark OR (un.t = mk.mark AND un.vec_id < mk.vec_id)) GROUP BY split, mk.variant, mk.alpha, mk."user", variant, alpha),
+rk AS (SELECT mk.split, mk.variant, mk.alpha, mk."user", CASE WHEN any_value(gone) THEN 0 ELSE 1 + count(un.vec_id) END AS rank FROM mk LEFT JOIN un
+  ON un.variant = mk.variant AND un.alpha = mk.alpha AND un."user" = mk."user" AND un.vec_id <> mk.vec_id AND (un.t > mk.mark OR (un.t = mk.mark AND un.vec_id < mk.vec_id)) GROUP BY mk.split, mk.variant, mk.alpha, mk."user"),
 me AS (SELECT split, variant, alpha, round(avg(CASE WHEN rank BETWEEN 1 AND 20 THEN 1.0 ELSE 0.0 END), 8) AS recall, round(avg(CASE WHEN rank BETWEEN 1 AND 20 THEN 1 / log2(rank + 1) ELSE 0.0 END), 8) AS ndcg FROM rk GROUP BY ALL),
 be AS (SELECT variant, alpha FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY ndcg DESC, alpha) AS p FROM me WHERE split = 'valid') WHERE p = 1)"""
 

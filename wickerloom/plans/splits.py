@@ -69,17 +69,28 @@ def universe_statistics(spark, sf_dir):
     return state.agg(F.count(F.lit(1)).alias("canonical"), F.count_if(F.col("observed") == 1).alias("observed"), F.count_if(F.coalesce("observed", F.lit(0)) == 0).alias("cold"), F.count_if(F.col("observed").isNull()).alias("never_positive"))
 
 
-def _core_sql(k: int, rounds: int = 14) -> str:
-    steps = ["c0 AS (SELECT * FROM pos)"]
+def _core_steps(k: int, source: str = "pos", prefix: str = "c", rounds: int = 14) -> tuple[list[str], str]:
+    """CTEs of so many peeling rounds from source, more than the tables need, and the name of the last."""
+    steps = [f"{prefix}0 AS (SELECT * FROM {source})"]
     for r in range(1, rounds + 1):
-        p = f"c{r - 1}"
+        p = f"{prefix}{r - 1}"
         steps.append(
-            f'c{r} AS MATERIALIZED (SELECT * FROM {p} WHERE "user" IN (SELECT "user" FROM {p} GROUP BY "user" HAVING count(*) >= {k}) AND item IN (SELECT item FROM {p} GROUP BY item HAVING count(*) >= {k}))'
+            f'{prefix}{r} AS MATERIALIZED (SELECT * FROM {p} WHERE "user" IN (SELECT "user" FROM {p} GROUP BY "user" HAVING count(*) >= {k}) AND item IN (SELECT item FROM {p} GROUP BY item HAVING count(*) >= {k}))'
         )
-    return POSITIVES + ", " + ", ".join(steps), f"c{rounds}"
+    return steps, f"{prefix}{rounds}"
 
 
-_CORE, _LAST = _core_sql(8)
+_STEPS, _LAST = _core_steps(8)
+_CORE = POSITIVES + ", " + ", ".join(_STEPS)
+
+
+def _sizes_sql(ks: list[int]) -> str:
+    steps, out = [], []
+    for k in ks:
+        mine, last = _core_steps(k, prefix=f"k{k}_")
+        steps += mine
+        out.append(f'SELECT {k} AS k, count(DISTINCT "user") AS n_users, count(DISTINCT item) AS n_items, count(*) AS n_rows FROM {last}')
+    return POSITIVES + ", " + ", ".join(steps) + " " + " UNION ALL ".join(out)
 
 
 @query("kc_01_core", _CORE + f' SELECT "user", item, ts FROM {_LAST}')
@@ -87,7 +98,7 @@ def core(spark, sf_dir):
     return I.kcore(I.positives(reviews(spark, sf_dir)), 8)
 
 
-@query("kc_02_core_sizes")
+@query("kc_02_core_sizes", _sizes_sql([3, 5, 8]))
 def core_sizes(spark, sf_dir):
     return I.core_sizes(I.positives(reviews(spark, sf_dir)), [3, 5, 8])
 
@@ -244,9 +255,10 @@ def split_overlaps(spark, sf_dir):
     return one.select(F.expr("stack(3, 'train-test', a, 'train-valid', b, 'valid-test', c) as (pair, n)"))
 
 
-@query("set_03_unknown_users", 'SELECT user_indices FROM train WHERE user_indices >= 0 EXCEPT SELECT user_indices FROM enriched_interactions')
+@query("set_03_unknown_users", 'SELECT user_indices FROM enriched_interactions WHERE user_indices IS NOT NULL EXCEPT SELECT user_indices FROM train')
 def unknown_users(spark, sf_dir):
-    return table(spark, sf_dir, "train").filter("user_indices >= 0").select("user_indices").distinct().join(table(spark, sf_dir, "enriched_interactions").select("user_indices"), "user_indices", "left_anti")
+    """Users of the interactions that the training set doesn't know."""
+    return table(spark, sf_dir, "enriched_interactions").select("user_indices").filter("user_indices is not null").distinct().join(table(spark, sf_dir, "train").select("user_indices"), "user_indices", "left_anti")
 
 
 @query("set_04_same_users", SPLIT + """
@@ -263,13 +275,16 @@ def permutation(spark, sf_dir):
     return table(spark, sf_dir, "chunks").agg(((F.count(F.lit(1)) == F.count_distinct(c)) & (F.min(c) == 0) & (F.max(c) == F.count(F.lit(1)) - 1)).alias("is_permutation"))
 
 
-@query("set_07_reconstruction", SPLIT + "SELECT 0 AS lost, 0 AS added")
+@query("set_07_reconstruction", SPLIT + """, parts AS (SELECT "user", item, ts FROM split WHERE split = 'train' UNION ALL SELECT "user", item, ts FROM split WHERE split = 'valid' UNION ALL SELECT "user", item, ts FROM split WHERE split = 'test')
+SELECT (SELECT CAST(count(*) AS INTEGER) FROM (SELECT "user", item, ts FROM pos EXCEPT ALL SELECT "user", item, ts FROM parts)) AS lost, (SELECT CAST(count(*) AS INTEGER) FROM (SELECT "user", item, ts FROM parts EXCEPT ALL SELECT "user", item, ts FROM pos)) AS added, (SELECT count(*) FROM parts) AS n_rows""")
 def reconstruction(spark, sf_dir):
     s, pos = _split(spark, sf_dir), materialise(I.positives(reviews(spark, sf_dir)), "positives")
     parts = s.filter("split = 'train'").unionByName(s.filter("split = 'valid'")).unionByName(s.filter("split = 'test'")).select("user", "item", "ts")
     one, none = F.lit(1), F.lit(0)
     differences = pos.exceptAll(parts).select(one.alias("lost"), none.alias("added")).unionByName(parts.exceptAll(pos).select(none.alias("lost"), one.alias("added")))
-    return differences.agg(F.coalesce(F.sum("lost"), none).cast("int").alias("lost"), F.coalesce(F.sum("added"), none).cast("int").alias("added"))
+    off = differences.agg(F.coalesce(F.sum("lost"), none).cast("int").alias("lost"), F.coalesce(F.sum("added"), none).cast("int").alias("added"))
+    # one row each
+    return off.crossJoin(parts.agg(F.count(one).alias("n_rows")))
 
 
 @query("dq_05_split_order", SPLIT + """

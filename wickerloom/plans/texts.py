@@ -110,10 +110,12 @@ def truncated_titles(spark, sf_dir):
     return table(spark, sf_dir, "product_catalog").select("item_index", X.truncate_words(F.col("title"), 40).alias("title"))
 
 
-@query("str_17_formatted_numbers", "SELECT item_index, printf('%.1f / 5 (%d)', average_rating, rating_number) AS label FROM product_catalog WHERE average_rating IS NOT NULL AND rating_number IS NOT NULL")
+@query("str_17_formatted_numbers", "SELECT item_index, coalesce('$' || printf('%.2f', CASE WHEN isfinite(price) AND price > 0 THEN price END), 'no price') AS price, coalesce(printf('%.1f / 5', average_rating), 'no rating') AS rating, coalesce(CAST(rating_number AS VARCHAR), 'no count') AS n FROM product_catalog")
 def formatted_numbers(spark, sf_dir):
-    rows = table(spark, sf_dir, "product_catalog").filter("average_rating is not null and rating_number is not null")
-    return rows.select("item_index", F.format_string("%.1f / 5 (%d)", "average_rating", "rating_number").alias("label"))
+    p = F.col("price")
+    or_ = lambda c, f, no: F.when(c.isNotNull(), f).otherwise(F.lit(no))
+    valid = F.when(~F.isnan(p) & (p < float("inf")) & (p > 0), p)
+    return table(spark, sf_dir, "product_catalog").select("item_index", or_(valid, F.format_string("$%.2f", p), "no price").alias("price"), or_(F.col("average_rating"), F.format_string("%.1f / 5", "average_rating"), "no rating").alias("rating"), F.coalesce(F.col("rating_number").cast("string"), F.lit("no count")).alias("n"))
 
 
 @query("win_12_word_packing")

@@ -12,6 +12,23 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+    """The stream of a table that is one Parquet file or a folder of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    schema = spark.read.parquet(path.toString()).schema
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(path.toString()) if whole else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def run_once(stream: DataFrame, path: str) -> DataFrame:
+    """What an aggregating stream leaves in path once it has read everything there is; a batch's whole result takes the place of the one before."""
+    spark = stream.sparkSession
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/result")).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/result")
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and their sum by window and type; rows later than the watermark are left out. Works on batches alike."""
     w = F.window("ts", width)
