@@ -11,7 +11,7 @@ from wickerloom.operators import text as X
 from wickerloom.operators import vectors as V
 from wickerloom.plans.registry import Registry
 from wickerloom.plans.splits import POP
-from wickerloom.plans.texts import _list, sql_clean
+from wickerloom.plans.texts import _list, packed_sql, sql_clean, sql_collapse
 from wickerloom.plans.vectors import DOT, EVERY, TOPK
 from wickerloom.session import materialise
 from wickerloom.sources.tables import reviews, table
@@ -22,9 +22,18 @@ K = 10
 WRAPPERS = ["supports", "includes", "comes as", "version:", "you get", "this one is the"]
 
 
-@query("str_20_knowledge_chunks")
+_NUMBER = "regexp_replace(printf('%.6f', {}), '\\.?0+$', '')".format
+
+
+@query("str_20_knowledge_chunks", f"""
+WITH s AS (SELECT item_index, parent_asin, 'summary' AS chunk_type, coalesce(nullif(concat_ws(chr(10), CASE WHEN title <> '' THEN 'Title: ' || title END, CASE WHEN len({_list('categories')}) > 0 THEN 'Categories: ' || array_to_string({_list('categories')}, ' | ') END,
+    CASE WHEN NOT isnan(price) THEN 'Price: ' || {_NUMBER('price')} END, CASE WHEN NOT isnan(average_rating) THEN 'Average rating: ' || {_NUMBER('average_rating')} || CASE WHEN rating_number IS NOT NULL THEN ' (' || rating_number || ' ratings)' ELSE '' END END), ''), 'Parent ASIN: ' || parent_asin) AS t FROM product_catalog
+  UNION ALL SELECT item_index, parent_asin, 'features', array_to_string(list_filter(features, lambda f: f IS NOT NULL), chr(10)) FROM product_catalog UNION ALL SELECT item_index, parent_asin, 'description', description FROM product_catalog),
+w AS (SELECT item_index, parent_asin, chunk_type, list_filter(string_split({sql_collapse('t')}, ' '), lambda x: x <> '') AS ws FROM s), p AS (SELECT item_index, parent_asin, chunk_type, {packed_sql('ws', 1600)} AS parts FROM w WHERE len(ws) > 0),
+e AS (SELECT item_index, parent_asin, chunk_type, generate_subscripts(parts, 1) - 1 AS part_index, unnest(parts) AS text FROM p)
+SELECT item_index || ':' || chunk_type || ':' || part_index AS chunk_id, * FROM e""")
 def knowledge_chunks(spark, sf_dir):
-    return X.knowledge_chunks(table(spark, sf_dir, "product_catalog"))
+    return X.knowledge_chunks(table(spark, sf_dir, "product_catalog")).withColumn("part_index", F.col("part_index").cast("long"))
 
 
 @query("str_06_parsed_text", f"""

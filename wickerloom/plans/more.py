@@ -247,13 +247,6 @@ def pairwise_loss(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(ranking, 6).alias("ranking"), F.round(weights, 8).alias("regularisation"), F.round(ranking + weights, 6).alias("loss"))
 
 
-@query("json_01_malformed", "SELECT event_id, props AS line FROM events WHERE props IS NOT NULL AND (NOT json_valid(props) OR json_type(CASE WHEN json_valid(props) THEN props END) <> 'OBJECT')")
-def malformed(spark, sf_dir):
-    """Lines that aren't JSON objects, with their event."""
-    bad = F.from_json("props", "map<string,string>", {"mode": "PERMISSIVE"}).isNull()
-    return table(spark, sf_dir, "events").filter(F.col("props").isNotNull() & bad).select("event_id", F.col("props").alias("line"))
-
-
 @query("json_01_malformed_lines", "SELECT CASE WHEN interaction_id % 3 = 0 THEN '{\"user\": ' || interaction_id ELSE '[' || interaction_id || ',' END AS line FROM enriched_interactions WHERE interaction_id % 3 < 2")
 def malformed_lines(spark, sf_dir):
     """A file with a line per interaction, two of three broken, read back line by line."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wickerloom.functions import tokens
 from wickerloom.operators import catalogue as C
 from wickerloom.operators import text as X
 from wickerloom.plans.registry import Registry
@@ -118,10 +119,27 @@ def formatted_numbers(spark, sf_dir):
     return table(spark, sf_dir, "product_catalog").select("item_index", or_(valid, F.format_string("$%.2f", p), "no price").alias("price"), or_(F.col("average_rating"), F.format_string("%.1f / 5", "average_rating"), "no rating").alias("rating"), F.coalesce(F.col("rating_number").cast("string"), F.lit("no count")).alias("n"))
 
 
-@query("win_12_word_packing")
+def packed_sql(words: str, limit: int) -> str:
+    """The parts of a list of words, as pack_words fills them; a part ends at chr(31)."""
+    return f"string_split(list_reduce({words}, lambda a, w: CASE WHEN length(string_split(a, chr(31))[-1]) + 1 + length(w) <= {limit} THEN a || ' ' || w ELSE a || chr(31) || w END), chr(31))"
+
+
+@query("win_12_word_packing", f"""
+WITH w AS (SELECT doc_id, list_filter(string_split({sql_collapse('text')}, ' '), lambda x: x <> '') AS ws FROM documents), p AS (SELECT doc_id, {packed_sql('ws', 400)} AS parts FROM w WHERE len(ws) > 0)
+SELECT doc_id, generate_subscripts(parts, 1) - 1 AS part, unnest(parts) AS text FROM p""")
 def word_packing(spark, sf_dir):
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.pack_words(F.col("text"), 400)).alias("part", "text"))
-    return parts
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.pack_words(F.col("text"), 400)).alias("part", "text")).withColumn("part", F.col("part").cast("long"))
+
+
+@query("str_05_within_budget")
+def within_budget(spark, sf_dir):
+    """Product documents of 2,048 tokens at most; there's no tokenizer in SQL."""
+    lines = lambda label, c: F.when(c != "", F.concat(F.lit(f"{label}: "), c))
+    c = table(spark, sf_dir, "product_catalog").select(
+        "item_index", lines("Title", X.clean_text(F.col("title"))).alias("a"), lines("Category", F.array_join(X.clean_list(F.col("categories")), " > ")).alias("b"), lines("Features", F.array_join(X.clean_list(F.col("features")), " | ")).alias("c"),
+        lines("Description", X.clean_text(F.col("description"))).alias("d"),
+    )
+    return tokens.within_budget(c, ["item_index"], ["a", "b", "c", "d"], 2048)
 
 
 @query("win_11_context_budget", """
