@@ -59,6 +59,20 @@ def test_fingerprint_sees_changes_but_no_order(spark):
     assert io.fingerprint(a.filter("false")).first().n_rows == 0
 
 
+def test_fingerprint_sees_which_row_is_repeated(spark):
+    one = lambda rows: io.fingerprint(spark.createDataFrame(rows, "i int, s string")).first()
+    assert one([(1, "x")] * 2 + [(2, "y")] * 2 + [(9, "z")]) != one([(1, "x")] * 4 + [(9, "z")])
+    assert one([(1, "x"), (1, "x"), (2, "y")]) != one([(1, "x"), (2, "y"), (2, "y")])
+
+
+def test_publish_refuses_rows_that_change_on_the_way(spark, tmp_path):
+    df = spark.range(6).select((F.col("id") % 2).alias("k"), F.udf(lambda: __import__("random").random(), "double").asNondeterministic()().alias("u"))
+    io.publish(spark.range(3), str(tmp_path / "t"))
+    with pytest.raises(OSError):
+        io.publish(df, str(tmp_path / "t"), overwrite=True)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_encoding_resumes(spark, tmp_path):
     df, path = spark.range(20), str(tmp_path / "e")
     square = lambda d: d.select("id", (F.col("id") * F.col("id")).alias("x"))

@@ -130,14 +130,22 @@ def test_word_packing(spark):
     [
         ("supports HDMI output", (True, False)), ("4K HDMI port", (True, False)), ("does not support HDMI", (False, True)), ("doesn't support HDMI", (False, True)), ("not compatible with HDMI", (False, True)),
         ("without HDMI", (False, True)), ("no HDMI port", (False, True)), ("lacks HDMI", (False, True)), ("High quality video output", (False, False)), ("Supports DisplayPort", (False, False)), ("superhdmi port", (False, False)),
-        ("supports HDMI but the second model has no HDMI", (True, True)), ("HDMI", (True, False)),
+        ("supports HDMI but the second model has no HDMI", (True, True)), ("HDMI", (True, False)), ("HDMI output is supported. Power adapter is not included.", (True, False)), ("with a usb hdmi adapter", (False, False)),
+        ("lack of HDMI", (False, True)), ("equipped with HDMI", (True, False)), ("supports no HDMI HDMI", (False, True)), (None, (False, False)),
     ],
 )
 def test_evidence(spark, text, want):
-    s, c = X.evidence(F.col("t"), "hdmi")
+    s, c = X.evidence(F.col("t"), ["HDMI"])
     assert tuple(spark.createDataFrame([(text,)], "t string").select(s, c).first()) == want
 
 
+@pytest.mark.parametrize("text", ["USB-C", "USB C", "Type-C", "Type C", "supports usb‑c"])
+def test_evidence_of_any_alias(spark, text):
+    s, c = X.evidence(F.col("t"), ["usb-c", "type-c"])
+    assert tuple(spark.createDataFrame([(text,), ("Thunderbolt 3",), ("c++ (a.b)",)], "t string").select(s, c).collect()[0]) == (True, False)
+    assert spark.createDataFrame([("c++ port",), ("cc port",)], "t string").select(X.evidence(F.col("t"), ["c++"])[0].alias("s")).collect() == [(True,), (False,)]
+
+
 def test_rerank_keeps_to_the_pool(spark):
     rows = [(1, r, 100 + r, 1 - r / 10, 5.0 if r == 3 else 1.0, float(r)) for r in range(1, 6)]
     df = spark.createDataFrame(rows, "query_id long, retrieval_rank int, vec_id long, score double, rating double, popularity double")

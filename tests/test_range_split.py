@@ -72,3 +72,10 @@ def test_heavy_keys_count_every_row_in_the_total(spark):
     got = {tuple(r) for r in heavy_keys(df, ["a", "b"], 0.01).collect()}
     assert got == {("a", 1, 10), ("b", 5, 10), ("b", 6, 985)}
     assert heavy_keys(df.filter("false"), ["a", "b"], 0.01).collect() == []
+
+
+def test_heavy_keys_keep_the_type_of_their_column(spark):
+    df = spark.createDataFrame([(1 << 40, 1)] * 3 + [(2, 2)], "a long, b int")
+    assert sorted(map(tuple, heavy_keys(df, ["a"], 0.5).collect())) == [("a", 1 << 40, 3)]
+    assert sorted(map(tuple, heavy_keys(df, ["a", "b"], 0.5).collect())) == [("a", 1 << 40, 3), ("b", 1, 3)]
+    assert heavy_keys(df, ["b"], 0.5).schema["key_value"].dataType.simpleString() == "int"
