@@ -1,46 +1,5 @@
-"""Sizes of texts in tokens of a public tokenizer, whose vocabulary file is a parameter."""
+"""Sizes of texts in tokens; the tokenizer is the core's."""
 
-from __future__ import annotations
+from wickerloom.functions.tokens import RANKS, count_tokens, encoding
 
-import base64
-import os
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-from wickerloom.session import spread
-
-#: Where the ranks lie unless a caller names another file.
-RANKS = os.environ.get("WICKERLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-
-# Fixed value: the published splitting pattern of this vocabulary.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@lru_cache(maxsize=4)
-def encoding(path: str, pattern: str = PATTERN):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str = RANKS) -> DataFrame:
-    """The keep columns and n_tokens, the size of the whole text; null and empty texts have size 0.
-
-    Texts stay in their input split; nothing is shuffled and only the named columns are read.
-    """
-    fields = {f.name: f for f in df.schema}
-    schema = T.StructType([*(fields[k] for k in keep), T.StructField("n_tokens", T.IntegerType())])
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
-        for b in batches:
-            n = [len(encode(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int32())], [*keep, "n_tokens"])
-
-    return spread(df.select(*keep, df[text].alias("__text"))).mapInArrow(sizes, schema)
+__all__ = ["RANKS", "count_tokens", "encoding"]
