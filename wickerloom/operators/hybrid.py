@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerloom.operators.ranking import min_max, top_per_group
-from wickerloom.operators.vectors import best_columns
+from wickerloom.operators.vectors import as_matrix, best_columns
 from wickerloom.session import materialise
 
 #: Vectors of a catalogue that one block holds, about, and entries of a block of users' scores.
@@ -59,7 +59,7 @@ def _moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         held = None
         for b in batches:
             if b.num_rows:
-                x = np.asarray(b.column(0).to_pylist(), np.float64)
+                x = as_matrix(b.column(0))
                 mean = x.mean(0)
                 one = (len(x), mean, (x - mean).T @ (x - mean))
                 held = one if held is None else joined(held, one)
@@ -142,7 +142,7 @@ def target_ranks(profiles: DataFrame, vectors: DataFrame, popularity: DataFrame,
 def _block_ranks(block: DataFrame, alphas: Sequence[float], epsilon: float, mean: np.ndarray, covariance: np.ndarray, of_pop):
     """The function that counts, for batches of targets, what of a block of the catalogue scores higher; -1 for a seen target."""
     t = block.orderBy("vec_id").toArrow()
-    matrix = np.asarray(t.column("embedding").to_pylist(), np.float64).reshape(-1, len(mean))
+    matrix = as_matrix(t.column("embedding")).reshape(-1, len(mean))
     shared = block.sparkSession.sparkContext.broadcast((np.asarray(t.column("vec_id"), np.int64), matrix, np.asarray(t.column("pop"), np.float64), mean, covariance))
     of_mean, of_deviation = of_pop.mean, of_pop.deviation
 
@@ -153,7 +153,7 @@ def _block_ranks(block: DataFrame, alphas: Sequence[float], epsilon: float, mean
         for whole in batches:
             for a in range(0, whole.num_rows, step):
                 b = whole.slice(a, step)
-                p, own = (np.asarray(b.column(c).to_pylist(), np.float64) for c in (1, 4))
+                p, own = as_matrix(b.column(1)), as_matrix(b.column(4))
                 target, own_pop = np.asarray(b.column(3), np.int64), np.asarray(b.column(5), np.float64)
                 deviation = np.sqrt(np.maximum(((p @ covariance) * p).sum(1), 0.0)) + epsilon
                 centre = p @ mean
@@ -182,7 +182,7 @@ def _block_ranks(block: DataFrame, alphas: Sequence[float], epsilon: float, mean
 def _block_scores(block: DataFrame, k: int, alpha: float, epsilon: float, mean: np.ndarray, covariance: np.ndarray, of_pop):
     """The function that gives batches of (user, profile, seen) their k best of one block of the catalogue."""
     t = block.orderBy("vec_id").toArrow()
-    ids, matrix = np.asarray(t.column("vec_id"), np.int64), np.asarray(t.column("embedding").to_pylist(), np.float64).reshape(-1, len(mean))
+    ids, matrix = np.asarray(t.column("vec_id"), np.int64), as_matrix(t.column("embedding")).reshape(-1, len(mean))
     zpop = (np.asarray(t.column("pop"), np.float64) - of_pop.mean) / (of_pop.deviation + epsilon)
     may = np.asarray(t.column("may").to_pylist(), bool)
     shared = block.sparkSession.sparkContext.broadcast((ids, matrix, zpop, may, mean, covariance))
@@ -196,7 +196,7 @@ def _block_scores(block: DataFrame, k: int, alpha: float, epsilon: float, mean:
         for whole in batches:
             for a in range(0, whole.num_rows, step):
                 b = whole.slice(a, step)
-                p = np.asarray(b.column(1).to_pylist(), np.float64)
+                p = as_matrix(b.column(1))
                 deviation = np.sqrt(np.maximum(((p @ covariance) * p).sum(1, keepdims=True), 0.0))
                 z = (p @ matrix.T - (p @ mean)[:, None]) / (deviation + epsilon)
                 total = np.round((1 - alpha) * zpop[None, :] + alpha * z, 9)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerloom.operators.ranking import top_per_group
@@ -20,6 +20,11 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str] =
     return marked.orderBy("__o", key).limit(n).drop("__o")
 
 
+def _drawn(*parts) -> Column:
+    """60 bits of the parts' MD5, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))), 1, 15), 16, 10).cast("long")
+
+
 def negative_samples(positives: DataFrame, items: DataFrame, per_positive: int, seed: int, rounds: int = 100) -> DataFrame:
     """(user, item, draw, negative): items drawn evenly among those the user has no positive with, per_positive for each.
 
@@ -31,7 +36,7 @@ def negative_samples(positives: DataFrame, items: DataFrame, per_positive: int,
     todo = positives.select("user", "item", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))).alias("draw"))
     done = None
     for r in range(rounds):
-        drawn = todo.withColumn("item_id", F.pmod(F.xxhash64("user", "item", "draw", F.lit(seed), F.lit(r)), F.lit(n)))
+        drawn = todo.withColumn("item_id", F.pmod(_drawn(F.lit(seed), "user", "item", "draw", F.lit(r)), F.lit(n)))
         named = materialise(drawn.join(items.select(F.col("item").alias("negative"), "item_id"), "item_id").select("user", "item", "draw", "negative"), "draws")
         good = named.join(known, ["user", "negative"], "left_anti").select("user", "item", "draw", "negative")
         done = good if done is None else done.unionByName(good)

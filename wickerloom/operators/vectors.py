@@ -80,14 +80,14 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, candidates: Data
     return best.select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column of one length as doubles, without a Python list between."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
 def _block_topk(spark, block: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast((np.asarray(block.column("query_id"), np.int64), _matrix(block.column("embedding"))))
+    shared = spark.sparkContext.broadcast((np.asarray(block.column("query_id"), np.int64), as_matrix(block.column("embedding"))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
@@ -99,7 +99,7 @@ def _block_topk(spark, block: pa.Table, vectors: DataFrame, k: int) -> DataFrame
                 part = batch.slice(a, ROW_BLOCK)
                 own = np.asarray(part.column(0))
                 by_id = np.argsort(own, kind="stable")  # ties go to the smaller id, so columns are put in that order first
-                x, own = _matrix(part.column(1))[by_id], own[by_id]
+                x, own = as_matrix(part.column(1))[by_id], own[by_id]
                 step = max(1, SCORES // len(own))
                 for f in range(0, len(qid), step):
                     score = q[f : f + step] @ x.T
@@ -144,7 +144,7 @@ def mean_vectors(rows: DataFrame, key: str, vector: str = "embedding") -> DataFr
         at = np.asarray(code.indices)
         order = np.argsort(at, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
-        x = _matrix(table.column(1))[order]
+        x = as_matrix(table.column(1))[order]
         s, n = np.add.reduceat(x, starts, 0), np.add.reduceat(np.asarray(table.column(2))[order], starts)
         return pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(at[order][starts])), pa.array([*s]), pa.array(n)], [key, "s", "n"])
 

@@ -174,7 +174,11 @@ def grouped_sample(spark, sf_dir):
     return hash_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), "doc_id", 5, 42, ["source"])
 
 
-@query("smp_02_negative_samples")
+@query("smp_02_negative_samples", """
+WITH pos AS (SELECT DISTINCT user_indices AS "user", item_indices AS item FROM train WHERE user_indices >= 0), it AS (SELECT item_index AS item, row_number() OVER (ORDER BY item_index) - 1 AS item_id FROM product_catalog),
+d AS (SELECT "user", pos.item, draw, r, CAST('0x' || substr(md5('7:' || "user" || ':' || pos.item || ':' || draw || ':' || r), 1, 15) AS BIGINT) % (SELECT count(*) FROM it) AS item_id FROM pos, (VALUES (0), (1)) a(draw), range(30) b(r)),
+n AS (SELECT "user", d.item, draw, r, it.item AS negative FROM d JOIN it USING (item_id)), g AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos."user" = n."user" AND pos.item = n.negative))
+SELECT "user", item, draw, arg_min(negative, r) AS negative FROM g GROUP BY ALL""")
 def negatives(spark, sf_dir):
     pos = table(spark, sf_dir, "train").filter("user_indices >= 0").select(F.col("user_indices").alias("user"), F.col("item_indices").alias("item")).distinct()
     items = materialise(I.dense_ids(table(spark, sf_dir, "product_catalog").select(F.col("item_index").alias("item"), F.col("item_index").alias("o")), "item", "o").withColumnRenamed("dense_id", "item_id"), "items")
