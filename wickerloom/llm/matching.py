@@ -56,7 +56,8 @@ def _statements(catalogue: DataFrame) -> DataFrame:
 
 def _with_brands(read: DataFrame, least: int = 2) -> DataFrame:
     """brand: of the names that several listings state as theirs, the most frequent that the listing states or its title holds, as one word or two joined."""
-    names = read.filter("brand <> ''").groupBy(F.col("brand").alias("form")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    # a table whose size Spark knows, so that it is broadcast where it is small
+    names = materialise(read.filter("brand <> ''").groupBy(F.col("brand").alias("form")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "brands")
     joined = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.concat(F.element_at("words", k), F.element_at("words", k + 1)))
     forms = F.array_distinct(F.concat(F.array("brand", "longer"), "words", F.when(F.size("words") > 1, joined).otherwise(F.array().cast("array<string>"))))
     each = read.select("item_index", F.posexplode(forms).alias("place", "form")).filter("form <> ''")
@@ -64,9 +65,10 @@ def _with_brands(read: DataFrame, least: int = 2) -> DataFrame:
     return read.drop("brand", "longer").join(found, "item_index", "left").fillna("", ["brand"])
 
 
-def _frequencies(read: DataFrame) -> DataFrame:
-    """(word, n): titles by word, over the whole catalogue."""
-    return read.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def _frequencies(read: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, n): titles of the whole catalogue by word, of the asked words (word)."""
+    asked = materialise(asked.select("word").distinct(), "asked")
+    return read.select(F.explode(F.array_distinct("words")).alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _variants(read: DataFrame) -> list[str]:
@@ -80,7 +82,7 @@ def _variants(read: DataFrame) -> list[str]:
 def _ordered(read: DataFrame) -> DataFrame:
     """read with order and number: the model whose name is the rarest word, or all words in alphabetical order and no number."""
     several = read.filter("size(anchors) > 1").select("item_index", F.explode("anchors").alias("a"))
-    rarest = several.join(_frequencies(read), F.col("a.name") == F.col("word")).groupBy("item_index").agg(F.min_by("a", F.struct("n", "a.name", "a.number")).alias("rarest"))
+    rarest = several.join(_frequencies(read, several.select(F.col("a.name").alias("word"))), F.col("a.name") == F.col("word")).groupBy("item_index").agg(F.min_by("a", F.struct("n", "a.name", "a.number")).alias("rarest"))
     with_one = read.join(rarest, "item_index", "left").withColumn("a", F.coalesce("rarest", F.try_element_at("anchors", F.lit(1))))
     words = F.array_join(F.array_sort(F.array_distinct("words")), " ")
     named = F.when(F.col("a").isNotNull(), F.col("a.name")).when(words != "", words).otherwise(F.concat(F.lit("#"), "item_index"))
@@ -229,7 +231,7 @@ def _nodes(said: DataFrame) -> DataFrame:
     )
     plain_ = names.filter("number = ''").select("node", F.explode(F.split("order", " ")).alias("word"))
     total = F.lit(float(said.count() or 1))
-    weighed = plain_.join(_frequencies(said), "word").select("node", F.struct(F.col("n"), F.col("word"), F.log1p(total / F.col("n")).alias("w")).alias("t"))
+    weighed = plain_.join(_frequencies(said, plain_), "word").select("node", F.struct(F.col("n"), F.col("word"), F.log1p(total / F.col("n")).alias("w")).alias("t"))
     # a title's words
     rare = weighed.groupBy("node").agg(F.array_sort(F.collect_list("t")).alias("t")).select("node", F.transform("t", lambda t: t["word"]).alias("tokens"), F.transform("t", lambda t: t["w"]).alias("weights"))
     return names.join(rare, "node", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))).withColumn("weights", F.coalesce("weights", F.array().cast("array<double>")))
