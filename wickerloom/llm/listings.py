@@ -60,6 +60,18 @@ _SUFFIX = re.compile(r"(?:\s+(?:inc|ltd|llc|co|corp|gmbh)\.?)+$")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
 
 
+class _Kept(dict):
+    """Code points to themselves, and to nothing those that leave no mark of their own; filled as they come."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = kept = code if c.isascii() or unicodedata.category(c) not in ("Cf", "Mn", "Cc") else None
+        return kept
+
+
+_KEPT = _Kept()
+
+
 def plain(text: str | None) -> str:
     """Lower case with entities, compatibility forms, marks without width and runs of white space resolved."""
     if not text:
@@ -69,8 +81,7 @@ def plain(text: str | None) -> str:
     if text.isascii():
         return " ".join(_CONTROL.sub("", text).lower().split())
     text = unicodedata.normalize("NFKC", text.replace("™", "").replace("®", ""))
-    text = "".join(c for c in text if c.isascii() or unicodedata.category(c) not in ("Cf", "Mn", "Cc"))
-    text = _CONTROL.sub("", text)
+    text = _CONTROL.sub("", text.translate(_KEPT))
     return " ".join(text.lower().replace("‑", "-").replace("–", "-").replace("—", "-").replace("″", '"').replace("”", '"').split())
 
 
@@ -339,6 +350,19 @@ def _read_text(text: str, most: int) -> tuple[tuple, str, tuple[str, str]]:
     return tuple(_states(tokens)), code, brand
 
 
+#: Characters of a text that is kept whole with what was read from it; longer ones are kept by sentence.
+SHORT = 100
+
+
+def _read_sentences(text: str, most: int) -> tuple:
+    read = (_read_text(s, most) for s in _SENTENCE.split(plain(text)))
+    return tuple(r for r in read if r != _NOTHING)
+
+
+_NOTHING = ((), "", ("", ""))
+_read_entry = lru_cache(maxsize=200_000)(_read_sentences)
+
+
 def _vocabulary() -> dict[str, list[tuple[str, str]]]:
     """Forms with one letter left out -> (what it is, word) of units, number words and colours of some length."""
     out: dict[str, list] = {}
@@ -439,8 +463,7 @@ def read_listing(title: str | None, features: list | None, description: str | No
     # an entry of the features and a sentence of a longer text are read alike
     texts = [(f, 3) for f in features or [] if f] + ([(description, 1)] if description else [])
     for text, most in texts:
-        for sentence in _SENTENCE.split(plain(text)):
-            stated, code, brand = _read_text(sentence, most)
+        for stated, code, brand in _read_entry(text, most) if len(text) <= SHORT else _read_sentences(text, most):
             for kind, value in stated:
                 out.add(kind, value)
             out.code = out.code or code
