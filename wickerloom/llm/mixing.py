@@ -14,13 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerloom.operators.ranking import top_per_group
 from wickerloom.session import materialise
 
 #: The most sources with targets; one parameter each is held by the driver.
 MAX_SOURCES = 1000
-#: Documents of each source that are tried after the threshold.
-NEXT = 200
 
 
 def _per_source(name: str, values: dict[str, float]) -> Column:
@@ -70,7 +67,7 @@ def _solve(hist: DataFrame, goal: dict[str, tuple[float, float, float]], toleran
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, source: str = "source", item: str = "doc_id", size: str = "n_tokens", tolerance: float = 1e-9, refinements: int = 3
+    documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, source: str = "source", item: str = "doc_id", size: str = "n_tokens", tolerance: float = 1e-7, refinements: int = 3
 ) -> tuple[DataFrame, DataFrame]:
     """(copies, shares).
 
@@ -120,35 +117,39 @@ def mix(
     # largest shift at which the document still gets its extra copy; without a fraction or at the cap there's none to get
     rated = rows.withColumn("__floor", F.floor(rate).cast("int")).withColumn("__need", F.when(rate < cap, even - (rate - F.floor(rate))))
     low, high = {s: -1.0 for s in goal}, {s: 1.0 for s in goal}
-    bins = 1024
+    bins, reached = 1024, dict.fromkeys(goal, 0)
     for _ in range(refinements if goal else 0):
+        crowd = 0
         lo, wide = _per_source("source", low), _per_source("source", {s: high[s] - low[s] for s in goal})
         k = F.floor((F.col("__need") - lo) / wide * bins)
         k = F.when(k < 0, -1).when(k >= bins, bins).otherwise(k)
-        got = rated.groupBy("source", k.alias("k")).agg(F.sum(F.col("n_tokens") * F.col("__floor")).alias("base"), F.sum("n_tokens").alias("extra")).collect()
+        got = rated.groupBy("source", k.alias("k")).agg(F.sum(F.col("n_tokens") * F.col("__floor")).alias("base"), F.sum("n_tokens").alias("extra"), F.count(F.lit(1)).alias("n")).collect()
         for s in goal:
-            own = sorted((r.k, r.extra) for r in got if r.source == s and r.k is not None)
+            own = sorted((r.k, r.extra, r.n) for r in got if r.source == s and r.k is not None)
             sum_ = sum(r.base for r in got if r.source == s)
             left, step = low[s], (high[s] - low[s]) / bins
-            for j, extra in own:
+            for j, extra, n in own:
                 if sum_ + extra > goal[s][0] or j >= bins:
                     low[s], high[s] = (left + j * step, left + (j + 1) * step) if 0 <= j < bins else (left, high[s]) if j < 0 else (high[s], high[s])
+                    crowd = max(crowd, n if 0 <= j < bins else 0)
                     break
                 sum_ += extra
             else:
                 low[s] = high[s]
+            reached[s] = sum_
             if high[s] - low[s] < 1e-15:
                 high[s] = low[s] + 1e-15
+        if crowd < 2:  # every threshold parts single documents
+            break
     limit = _per_source("source", low)
     given = rated.withColumn("copies", F.col("__floor") + F.when(F.col("__need") < limit, 1).otherwise(0))
-    # what the threshold leaves open is less than one document; the next ones in order that fit close it
-    sums = {r.source: r.n for r in given.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n")).collect()}
-    following = given.filter(F.col("__need") >= limit).select(item, "source", "n_tokens", "__need")
-    extra = []
-    for r in top_per_group(following, ["source"], [F.col("__need"), F.col(item)], NEXT).orderBy("source", "rank").collect():
-        if sums[r.source] + r.n_tokens <= goal[r.source][0]:
-            sums[r.source] += r.n_tokens
-            extra.append((r[item], 1))
+    # what the threshold leaves open is less than one document; of those that fit the largest closes most of it, until none fits
+    extra, open_ = [], {s: goal[s][0] - n for s, n in reached.items() if goal[s][0] - n >= 1}
+    while open_:
+        fits = given.filter((F.col("__need") >= limit) & (F.col("n_tokens") <= _per_source("source", {s: float(g) for s, g in open_.items()})) & ~F.col(item).isin([i for i, _ in extra]))
+        found = fits.groupBy("source").agg(F.max_by(F.struct(F.col(item).alias("i"), F.col("n_tokens").alias("n")), F.struct("n_tokens", -F.col("__need"), F.col(item))).alias("d")).collect()
+        extra += [(r.d.i, 1) for r in found]
+        open_ = {r.source: open_[r.source] - r.d.n for r in found if open_[r.source] - r.d.n >= 1}
     more = spark.createDataFrame(extra, T.StructType([T.StructField("__id", rows.schema[item].dataType), T.StructField("__one", T.IntegerType())]))
     given = given.join(F.broadcast(more), F.col(item) == F.col("__id"), "left").withColumn("copies", F.col("copies") + F.coalesce("__one", F.lit(0)))
     copies = given.filter("copies > 0").select(item, "source", "n_tokens", F.col("copies").cast("int").alias("copies"))
