@@ -311,6 +311,7 @@ FIELDS = """
 {{name}} {{ first_name }} {{last_name}} {{full name}} {{email}} {{phone}} {{address}} {{city}} {{country}} {{company}} {{customer}} {{recipient}} {{sender}} {{user}} {{username}}
 {{date}} {{time}} {{year}} {{month}} {{order}} {{invoice}} {{amount}} {{price}} {{total}} {{quantity}} {{currency}} {{product}} {{item}} {{title}} {{subject}} {{link}} {{url}} {{id}}
 {{sku}} {{brand}} {{category}} {{model}} {{size}} {{color}} {{description}} {{feature}} {{rating}}
+{{vorname}} {{nachname}} {{datum}} {{tage}} {{preis}} {{betrag}} {{kunde}} {{bestellung}} {{prénom}} {{nom}} {{prix}} {{montant}} {{jours}} {{client}} {{nombre}} {{apellido}} {{fecha}} {{precio}} {{días}} {{cliente}} {{pedido}} {{nome}} {{preço}} {{prezzo}}
 {% if item %} <%= price %> <?php echo $title; ?> <!--#echo var=date --> ${total} #{user} $(product.name) $[price] {!amount} {0} {} %(name)s %s %1$s [[title]] *|NAME|* @@name@@ @Model.Title
 [INSERT TITLE HERE] [gallery ids=] (your text here) [Your headline] ________ [object Object] #REF! #N/A insert-image-here
 <<name>> <name> «name» [name] {name} %name% $name$ ~name~ __name__ [order_id] {order_id} %order_id% $order_id$ ~order_id~ __order_id__ <order_id> «order_id» <<order_id>> :order_id $order_id
