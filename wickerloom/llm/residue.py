@@ -550,9 +550,9 @@ class Exemplars:
                 if sum(self.idf(t) for t in there & union) >= TOGETHER * whole:
                     for place in range(len(window)):
                         out.setdefault(place, label)
-        prose = [p for p, t in enumerate(window) if self.is_prose(t)]
-        if len(prose) >= max(3, MATCH * len(window)):
-            out |= {p: "filler" for p in prose}
+        prose = sum(map(self.is_prose, window))
+        if prose >= max(3, MATCH * len(window)):
+            out = dict.fromkeys(range(len(window)), "filler")
         return out
 
     def cover_passage(self, words: list[str]) -> dict[int, str]:
