@@ -305,6 +305,12 @@ def _said_brand(tokens: list[str], most: int) -> tuple[str, str]:
 
 
 _ENDS = {".", "!", "?", ";", "\n"}
+_CODED = re.compile(r"\d{3,}[a-z]{1,2}$|^[a-z]+\d{3,}")
+
+
+def _ends(token: str) -> bool:
+    """Whether a clause ends: at a mark, or at a maker's code, after which another begins."""
+    return token in _ENDS or (token[-1] not in _DIGITS and token[0] in _DIGITS and bool(_CODED.search(token)) and _LED.match(token).group(2) not in UNITS)
 
 
 def _states(tokens: list[str]) -> list[tuple[str, float | str]]:
@@ -316,7 +322,7 @@ def _states(tokens: list[str]) -> list[tuple[str, float | str]]:
     for a, z, kind, value in _values(tokens):
         left = right = 0
         k = a - 1
-        while k >= 0 and tokens[k] not in _ENDS and left <= CLAUSE_WORDS:
+        while k >= 0 and not _ends(tokens[k]) and left <= CLAUSE_WORDS:
             left += tokens[k].isalnum()
             k -= 1
         k = z
