@@ -18,9 +18,8 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wickerloom.llm.listings import VARIANTS, letters, one_edit, plain, read_listing, same_value
+from wickerloom.llm.listings import VARIANTS, one_edit, plain, read_listing, same_value
 from wickerloom.session import materialise, spread
 
 #: How much of two names' letters agree, where they share a maker's code; different makers' codes coincide now and then.
