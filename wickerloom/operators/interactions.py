@@ -70,6 +70,18 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     return placed.withColumn("__p", part).join(F.broadcast(offsets), "__p").select(*df.columns, (F.col("__o") + place + 1).alias(name))
 
 
+def history_offsets(df: DataFrame, user: str, item: str) -> DataFrame:
+    """(user, n, start): distinct items of each user, and how many those before it in ascending order have together.
+
+    Running sums are within partitions of the range-sorted users; one row per partition gives their starts.
+    """
+    counts = df.groupBy(user).agg(F.count_distinct(item).alias("n"))
+    placed = materialise(counts.orderBy(user).withColumn("__p", F.spark_partition_id()), "offsets")
+    within = F.sum("n").over(Window.partitionBy("__p").orderBy(user)) - F.col("n")
+    starts = placed.groupBy("__p").agg(F.sum("n").alias("s")).select("__p", F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    return placed.withColumn("__w", within).join(F.broadcast(starts), "__p").select(user, "n", (F.col("__w") + F.col("__o")).alias("start"))
+
+
 def dense_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     """(key, dense_id): ids from 0 by the first place of each key; ties by key."""
     first = df.groupBy(key).agg(F.min(order).alias("__first"))

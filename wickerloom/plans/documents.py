@@ -154,13 +154,19 @@ def embedding_set(spark, sf_dir):
 
 
 @query("dq_07_bundle", POP + """
+, h AS (SELECT "user", count(DISTINCT item) AS n FROM train GROUP BY "user"), o AS (SELECT n, sum(n) OVER (ORDER BY "user") - n AS start, row_number() OVER (ORDER BY "user") AS row FROM h)
 SELECT (SELECT count(*) FROM pop ANTI JOIN (SELECT DISTINCT item FROM train) t USING (item)) AS unobserved_in_popularity, (SELECT count(*) FROM (SELECT DISTINCT item FROM train) t ANTI JOIN pop USING (item)) AS missing_in_popularity,
-       (SELECT count(*) FROM pop) - (SELECT max(pop_rank) FROM pop) AS rank_gaps""")
+       (SELECT count(*) FROM pop) - (SELECT max(pop_rank) FROM pop) AS rank_gaps, (SELECT count(*) FROM o) AS n_rows, (SELECT CAST(max(start + n) AS BIGINT) FROM o) AS n_entries, (SELECT count(*) FROM o WHERE n = 0) AS empty_rows""")
 def bundle(spark, sf_dir):
+    """Popularity against the training items, and the offsets of the users' histories against their entries."""
     train = materialise(I.temporal_split(I.positives(reviews(spark, sf_dir))).filter("split = 'train'"), "train")
     pop = R.popularity(train)
     both = train.select("item").distinct().withColumn("o", F.lit(1)).join(pop.select("item", "pop_rank"), "item", "full_outer")
-    return both.agg(F.count_if(F.col("o").isNull()).alias("unobserved_in_popularity"), F.count_if(F.col("pop_rank").isNull()).alias("missing_in_popularity"), (F.count("pop_rank") - F.max("pop_rank")).alias("rank_gaps"))
+    items = both.agg(F.count_if(F.col("o").isNull()).alias("unobserved_in_popularity"), F.count_if(F.col("pop_rank").isNull()).alias("missing_in_popularity"), (F.count("pop_rank") - F.max("pop_rank")).alias("rank_gaps"))
+    offsets = I.history_offsets(train, "user", "item")
+    rows = offsets.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.col("start") + F.col("n")).alias("n_entries"), F.count_if(F.col("n") == 0).alias("empty_rows"))
+    # one row each
+    return items.crossJoin(rows)
 
 
 @query("dq_10_candidate_lists", TOPK.format("") + f"""

@@ -14,7 +14,7 @@ from wickerloom.operators import ranking as R
 from wickerloom.operators import text as X
 from wickerloom.operators.sampling import hash_sample, negative_samples
 from wickerloom.plans.registry import Registry
-from wickerloom.plans.splits import POP, SPLIT
+from wickerloom.plans.splits import POP
 from wickerloom.plans.texts import _list, sql_clean
 from wickerloom.plans.vectors import EVERY, TOPK
 from wickerloom.session import materialise, shared_dir
@@ -216,14 +216,17 @@ def feature_query(spark, sf_dir):
 _CUT = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} ELSE regexp_replace(({c})[1:{n - 3}], '\\s\\S*$', '') || '...' END"
 
 
-@query("str_18_product_block", f"""
+BLOCK_SQL = f"""
 WITH r AS (SELECT *, row_number() OVER (ORDER BY rating_number DESC NULLS LAST, item_index) AS rank FROM product_catalog)
 SELECT item_index, concat_ws(chr(10), '[Product ' || rank || ']', 'Product ID: ' || parent_asin, CASE WHEN {sql_clean('title')} <> '' THEN 'Title: ' || {sql_clean('title')} END,
   CASE WHEN isfinite(price) AND price > 0 THEN 'Price: $' || printf('%.2f', price) END, CASE WHEN isfinite(average_rating) THEN 'Average Rating: ' || printf('%.1f', average_rating) || ' / 5' END,
   CASE WHEN rating_number >= 0 THEN 'Rating Count: ' || rating_number END, CASE WHEN {sql_clean('store')} <> '' THEN 'Store: ' || {sql_clean('store')} END,
   CASE WHEN len({_list('categories')}) > 0 THEN 'Categories: ' || array_to_string({_list('categories')}, ' > ') END,
   CASE WHEN len({_list('features')}) > 0 THEN 'Features:' || chr(10) || array_to_string(list_transform(({_list('features')})[1:5], lambda f: '- ' || f), chr(10)) END,
-  CASE WHEN {sql_clean('description')} <> '' THEN 'Description: ' || {_CUT(sql_clean('description'), 500)} END) AS block FROM r""")
+  CASE WHEN {sql_clean('description')} <> '' THEN 'Description: ' || {_CUT(sql_clean('description'), 500)} END) AS block FROM r"""
+
+
+@query("str_18_product_block", BLOCK_SQL)
 def product_block(spark, sf_dir):
     ranked = I.global_rank(table(spark, sf_dir, "product_catalog"), F.desc_nulls_last("rating_number"), "item_index")
     return ranked.select("item_index", X.product_block(F.col("rank")).alias("block"))

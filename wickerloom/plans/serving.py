@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickerloom.operators import catalogue as C
 from wickerloom.operators import hybrid as H
 from wickerloom.operators import interactions as I
 from wickerloom.operators import ranking as R
@@ -12,8 +14,9 @@ from wickerloom.operators import serving as V
 from wickerloom.operators import text as X
 from wickerloom.operators import vectors as N
 from wickerloom.operators.sampling import hash_sample
+from wickerloom.plans.more import BLOCK_SQL
 from wickerloom.plans.registry import Registry
-from wickerloom.plans.splits import METRICS, POP, SPLIT
+from wickerloom.plans.splits import METRICS, POP
 from wickerloom.plans.texts import _list, sql_clean
 from wickerloom.plans.vectors import SEMANTIC, TOPK, _queries, _semantic
 from wickerloom.session import materialise
@@ -249,3 +252,46 @@ def identity_aware(spark, sf_dir):
     others = marked.filter("status <> 'personalized'").crossJoin(F.broadcast(listed))
     rows = marked.filter("status = 'personalized'").join(mine, "request").select("request", "status", "rank", "vec_id", "score").unionByName(others.select("request", "status", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
     return rows.withColumn("score", F.round("score", 6))
+
+
+@query("flt_04_hard_constraints", "SELECT item_index FROM product_catalog WHERE isfinite(average_rating) AND average_rating >= 4.2 AND rating_number >= 50 AND average_rating <= 4.8")
+def hard_constraints(spark, sf_dir):
+    """Inclusive bounds on both sides of a rating and below a count; what is unknown is out."""
+    ok = C.within("average_rating", 4.2, 4.8) & F.coalesce(F.col("rating_number") >= 50, F.lit(False))
+    return table(spark, sf_dir, "product_catalog").filter(ok).select("item_index")
+
+
+@query("win_10_top_movers", TOPK.format("") + f""", {_STATS},
+c AS (SELECT query_id, rank AS retrieval_rank, vec_id, score, rating, coalesce(popularity, 0) AS popularity FROM r LEFT JOIN st USING (vec_id) WHERE rank <= 20),
+x AS (SELECT *, min(score) OVER w AS s0, max(score) OVER w AS s1, min(popularity) OVER w AS p0, max(popularity) OVER w AS p1 FROM c WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT *, round(0.7 * CASE WHEN s1 > s0 THEN (score - s0) / (s1 - s0) ELSE 1 END + 0.2 * greatest(0, least(1, coalesce(rating, 0) / 5)) + 0.1 * CASE WHEN p1 > p0 THEN (popularity - p0) / (p1 - p0) ELSE 0 END, 9) AS final FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, score DESC, retrieval_rank, vec_id) AS place FROM f), m AS (SELECT query_id, vec_id, retrieval_rank - place AS change FROM o),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY change DESC, vec_id) AS up, row_number() OVER (PARTITION BY query_id ORDER BY change, vec_id) AS down FROM m)
+SELECT query_id, 'up' AS direction, up AS place, vec_id, change FROM u WHERE up <= 3 UNION ALL SELECT query_id, 'down', down, vec_id, change FROM u WHERE down <= 3""")
+def top_movers(spark, sf_dir):
+    """Of each query's reranked pool, the three that rose and the three that fell most."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count()
+    stats = reviews(spark, sf_dir).groupBy(F.pmod("item", F.lit(n)).alias("vec_id")).agg(F.avg("rating").alias("rating"), F.log1p(F.count(F.lit(1))).alias("popularity"))
+    found = N.vector_topk(_queries(spark, sf_dir), e, 20).withColumnRenamed("rank", "retrieval_rank").join(stats, "vec_id", "left").fillna(0.0, ["popularity"])
+    moved = materialise(H.rerank(found, 20, 20).select("query_id", "vec_id", "change"), "moved")
+    up, down = (R.top_per_group(moved, ["query_id"], [order, F.col("vec_id")], 3, "place").select("query_id", F.lit(name).alias("direction"), "place", "vec_id", "change") for name, order in (("up", F.desc("change")), ("down", F.asc("change"))))
+    return up.unionByName(down)
+
+
+CONTEXT_BUDGET = 12_000
+
+
+@query("ctx_01_context_blocks", f"""
+WITH b AS ({BLOCK_SQL}), r AS (SELECT c.item_index, lower(trim(c.store)) AS store, row_number() OVER (PARTITION BY lower(trim(c.store)) ORDER BY rating_number DESC NULLS LAST, c.item_index) AS rank, length(block) AS l FROM product_catalog c JOIN b USING (item_index) WHERE trim(c.store) <> ''),
+u AS (SELECT *, sum(l) OVER (PARTITION BY store ORDER BY rank) + 2 * (rank - 1) AS used FROM r)
+SELECT store, item_index, rank, CAST(used AS BIGINT) AS used FROM u WHERE used <= {CONTEXT_BUDGET}""")
+def context_blocks(spark, sf_dir):
+    """Per seller, the product blocks in rank order that fit a prompt of 12,000 characters, a blank line between them."""
+    c = table(spark, sf_dir, "product_catalog")
+    ranked = I.global_rank(c, F.desc_nulls_last("rating_number"), "item_index", name="overall")
+    blocks = ranked.filter(F.trim("store") != "").select("item_index", "rating_number", F.lower(F.trim("store")).alias("store"), X.product_block(F.col("overall")).alias("block"))
+    # a block has a line at least, so places beyond the budget can't fit; Spark cuts them before the shuffle
+    first = R.top_per_group(blocks, ["store"], [F.desc_nulls_last("rating_number"), F.col("item_index")], CONTEXT_BUDGET)
+    before = Window.partitionBy("store").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return first.withColumn("used", F.sum(F.length("block")).over(before) + 2 * (F.col("rank") - 1)).filter(F.col("used") <= CONTEXT_BUDGET).select("store", "item_index", "rank", "used")

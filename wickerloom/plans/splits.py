@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wickerloom.operators import interactions as I
@@ -222,12 +221,7 @@ def dense_ids(spark, sf_dir):
 WITH c AS (SELECT user_indices, count(DISTINCT item_indices) AS n FROM train WHERE user_indices >= 0 GROUP BY user_indices)
 SELECT user_indices, n, CAST(sum(n) OVER (ORDER BY user_indices) - n AS BIGINT) AS start FROM c""")
 def history_offsets(spark, sf_dir):
-    counts = table(spark, sf_dir, "train").filter("user_indices >= 0").groupBy("user_indices").agg(F.count_distinct("item_indices").alias("n"))
-    placed = materialise(counts.orderBy("user_indices").withColumn("p", F.spark_partition_id()), "offsets")
-    # running sums within partitions, and one row per partition for their starts
-    within = F.sum("n").over(Window.partitionBy("p").orderBy("user_indices")) - F.col("n")
-    starts = placed.groupBy("p").agg(F.sum("n").alias("s")).select("p", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    return placed.withColumn("w", within).join(F.broadcast(starts), "p").select("user_indices", "n", (F.col("w") + F.col("o")).alias("start"))
+    return I.history_offsets(table(spark, sf_dir, "train").filter("user_indices >= 0"), "user_indices", "item_indices")
 
 
 @query("win_14_adjacent_violations", """

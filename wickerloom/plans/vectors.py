@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wickerloom.operators import hybrid as H
 from wickerloom.operators import interactions as I
-from wickerloom.operators import ranking as R
 from wickerloom.operators import vectors as V
 from wickerloom.plans.registry import Registry
 from wickerloom.plans.splits import POP, SPLIT
