@@ -83,6 +83,14 @@ def test_products_are_grouped_across_wording_and_misspelling(spark):
     assert pairs == {(1, 2), (1, 3), (1, 10), (2, 3), (2, 10), (3, 10)}
 
 
+def test_very_long_titles(spark):
+    name = "".join(chr(97 + (k * k * 7 + k // 3) % 26) for k in range(3000))
+    rows = [(1, f"{name} 40 lamp", None, None, None), (2, f"{name[:1500]}{name[1501:]} 40 lamp", None, None, None), (3, f"{name[::-1]} 40 lamp", None, None, None), (4, "lamp " * 200_000, None, None, None), (5, "y" * 1_000_000, None, None, None)]
+    rows += [(100 + n, f"{name[:n]} 50 lamp", None, None, None) for n in range(56, 68)]
+    got = groups(spark, rows)
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5} | {100 + n: 156 for n in range(56, 68)}
+
+
 def test_many_copies_and_an_empty_catalogue(spark):
     rows = [(k, f"Zubrin Kalvero {70 if k % 2 else 90} mug 350 ml", None, None, None) for k in range(400)]
     assert groups(spark, rows) == {k: k % 2 for k in range(400)}

@@ -381,12 +381,16 @@ def _vocabulary() -> dict[str, list[tuple[str, str]]]:
 
 
 _NEAR = _vocabulary()
+#: Letters of the longest word or phrase that is known.
+LONGEST = max(len(w) for known in _NEAR.values() for _, w in known)
 
 
 @lru_cache(maxsize=200_000)
 def _near(word: str) -> dict[str, str] | None:
     """What the word misspells by one letter: units, number words, colours or phrases; titles share most of their words."""
     out: dict[str, str] = {}
+    if len(word) > LONGEST + 1:
+        return None
     for form in (word, *(word[:k] + word[k + 1 :] for k in range(len(word)))):
         for what, known in _NEAR.get(form, ()):
             if what not in out and one_edit(known, word):

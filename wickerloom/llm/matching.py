@@ -89,8 +89,13 @@ def _ordered(read: DataFrame) -> DataFrame:
 
 
 def _left_out(word: str) -> str:
-    """SQL of the keys of a word: with its number, the whole word and the word without each one of its letters."""
-    return f"transform(sequence(0, length({word})), k -> xxhash64(number, concat(left({word}, k - 1), substring({word}, k + 1))))"
+    """SQL of the keys of a word: with its number, the whole word and the word without each one of its letters.
+
+    A long word's keys are its two ends instead, of which one edit leaves one as it is; about 60 letters have both kinds.
+    """
+    each = f"transform(sequence(0, length({word})), k -> xxhash64(number, concat(left({word}, k - 1), substring({word}, k + 1))))"
+    ends = f"array(xxhash64(number, 'first', left({word}, 28)), xxhash64(number, 'last', right({word}, 28)))"
+    return f"concat(if(length({word}) <= 64, {each}, array()), if(length({word}) >= 58, {ends}, array()))"
 
 
 def _keys(nodes: DataFrame, said: DataFrame) -> DataFrame:
@@ -272,7 +277,7 @@ def product_groups(catalogue: DataFrame) -> DataFrame:
     said_much = [F.col("code") == "", F.desc(F.size(F.split("stated", ": "))), "rep"]
     together = reps.select(*statement, "rep").repartition("series_root").sortWithinPartitions("series_root", *said_much)
     clusters = together.mapInArrow(cluster, "series_root long, code string, brand string, stated string, variant string, cluster int, rep int")
-    # partitions are by series, so the least member of a cluster needs no further exchange
+    # a cluster has a row per distinct statement
     least = F.min("rep").over(Window.partitionBy("series_root", "cluster")).alias("group")
     grouped = clusters.select(*statement, least)
     return placed.join(grouped, statement).select("item_index", "group")
