@@ -155,6 +155,9 @@ def test_target_ranks_and_eligible_lists_in_any_blocks(spark, monkeypatch, block
             for alpha in (0.0, 0.5, 1.0):
                 order = sorted((k for k in range(30) if (u, k) not in seen), key=lambda k: (-total(u, k, variant, alpha), k))
                 assert got[u, variant, alpha] == (order.index(t) + 1 if t in order else 0)
+    pairs = [(u, k) for u, _ in users for k in (0, 7, 29)] + [(99, 1), (0, 99)]
+    z_of = {(r.user, r.vec_id): r.z for r in H.pair_z_scores(frame(pairs, "user long, vec_id long"), p, v).collect()}
+    assert z_of == {(u, k): pytest.approx(zs[u][k], abs=1e-9) for u, k in pairs if u != 99 and k != 99}
     eligible = [k for k in range(30) if k % 3]
     lists = defaultdict(list)
     for r in sorted(H.profile_scores(p, v, 5, counts, 0.5, sn, eligible=frame([(k,) for k in eligible], "vec_id long")).collect(), key=lambda r: r["rank"]):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerloom.operators.ranking import min_max, top_per_group
-from wickerloom.operators.vectors import as_matrix, best_columns
+from wickerloom.operators.vectors import as_matrix, best_columns, dot
 from wickerloom.session import materialise
 
 #: Vectors of a catalogue that one block holds, about, and entries of a block of users' scores.
@@ -120,6 +120,27 @@ def _with_seen(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
     return rows.join(seen.groupBy("user").agg(F.collect_set("vec_id").alias("seen")), "user", "left")  # at most the catalogue's size
 
 
+def pair_z_scores(pairs: DataFrame, profiles: DataFrame, vectors: DataFrame, epsilon: float = 1e-6) -> DataFrame:
+    """(user, vec_id, z) of each pair: the vector's score for the user, standardised over the user's scores of the whole catalogue.
+
+    A user's mean and deviation follow from the catalogue's mean and covariance, so only the pairs are scored. Pairs
+    without a profile or a vector are left out.
+    """
+    _, mean, covariance = _moments(vectors)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                p = as_matrix(b.column(1))
+                deviation = np.sqrt(np.maximum(((p @ covariance) * p).sum(1), 0.0)) + epsilon
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p @ mean), pa.array(deviation)], ["user", "profile", "centre", "deviation"])
+
+    rows = profiles.select(F.col("user").cast("long").alias("user"), F.col("profile").cast("array<double>").alias("profile")).filter("profile is not null")
+    of_user = rows.mapInArrow(moments, "user long, profile array<double>, centre double, deviation double")
+    scored = pairs.select("user", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(of_user, "user")
+    return scored.select("user", "vec_id", ((dot(F.col("profile"), F.col("embedding")) - F.col("centre")) / F.col("deviation")).alias("z"))
+
+
 def target_ranks(profiles: DataFrame, vectors: DataFrame, popularity: DataFrame, targets: DataFrame, alphas: Sequence[float], seen: DataFrame | None = None, epsilon: float = 1e-6) -> DataFrame:
     """(user, variant, alpha, rank): the target's place in each user's ranking under every alpha, for both ways of fusing.
 

@@ -218,9 +218,7 @@ def best_alpha(spark, sf_dir):
 def catalogue_z(spark, sf_dir):
     """z-scores of each user's own items among the scores of the whole catalogue."""
     profiles, e, seen, _, _ = _semantic(spark, sf_dir, 1.0)
-    n = e.count()
-    every = H.profile_scores(profiles, e, n)
-    return every.join(seen, ["user", "vec_id"], "left_semi").select("user", "vec_id", F.round("score", 6).alias("z"))
+    return H.pair_z_scores(seen, profiles, e).withColumn("z", F.round("z", 6))
 
 
 #: Eligible vectors: the category mask of the serving queries.
