@@ -26,18 +26,31 @@ def _per_source(name: str, values: dict[str, float]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), F.col(name)), F.lit(0.0)) if pairs else F.lit(0.0)
 
 
+def _coarse(bins: list[tuple[float, float]], wanted: float, cap: float, high: float) -> float:
+    """b that meets the tokens wanted with all documents of a bin (tokens, mean size) at its mean, by halving."""
+    given = lambda b: sum(t * min(cap, math.exp(min(700.0, b * x))) for t, x in bins)
+    low = high - 1.0
+    while given(low) > wanted:
+        low = high - 2 * (high - low)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if given(middle) < wanted else (low, middle)
+    return (low + high) / 2
+
+
 def _solve(hist: DataFrame, goal: dict[str, tuple[float, float, float]], tolerance: float) -> dict[str, float]:
     """b per source with sum(size * min(cap, exp(b * size))) = tokens wanted, sizes in units of the source's mean.
 
     goal: source -> (tokens wanted, mean size, cap). The sum grows with b, so a bracket around the solution keeps every
     step; what isn't met within the tolerance after as many halvings as a double has digits fails.
     """
-    # at b = log(rate) documents of the mean size have the rate that the source needs on the whole
-    sizes = {r.source: (r.low, r.tokens) for r in hist.groupBy("source").agg(F.min("n_tokens").alias("low"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens")).collect()}
+    # sizes in bins of a 64th of a factor e, some 2,000 a source at most: the driver's solution for them is where the iterations begin
+    bins = hist.groupBy("source", F.floor(64 * F.log("n_tokens")).alias("bin")).agg(F.min("n_tokens").alias("low"), F.sum("docs").alias("docs"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens")).collect()
     at, low, high = {}, {}, {}
     for s, (tokens, mean, cap) in goal.items():
-        at[s] = math.log(tokens / sizes[s][1])
-        low[s], high[s] = -math.inf, max(0.0, math.log(cap)) * mean / sizes[s][0]
+        mine = [r for r in bins if r.source == s]
+        low[s], high[s] = -math.inf, max(0.0, math.log(cap)) * mean / min(r.low for r in mine)
+        at[s] = _coarse([(r.tokens, r.tokens / r.docs / mean) for r in mine], tokens, cap, high[s])
     todo = dict(goal)
     for _ in range(200):
         if not todo:
