@@ -192,3 +192,26 @@ def test_as_many_sources_as_held(spark):
     assert run(trust) == 5
     with pytest.raises(ValueError):
         run(trust.unionByName(spark.createDataFrame([("one more", 1)], trust.schema)))
+
+
+@pytest.mark.parametrize("popular, columns, rows, matrix", [(64, 512, 200_000, 8192), (4, 5, 150, 16), (10**9, 3, 40, 7), (0, 512, 60, 8192)])
+def test_blocks_of_records_in_any_cut(monkeypatch, popular, columns, rows, matrix):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from wickerloom.llm import cooccurrence as module
+
+    for name, value in (("POPULAR", popular), ("COLUMNS", columns), ("BLOCK_ROWS", rows), ("MATRIX_ROWS", matrix)):
+        monkeypatch.setattr(module, name, value)
+    dice = random.Random(9)
+    baskets = [sorted({min(dice.randrange(40), dice.randrange(40)) for _ in range(dice.randrange(1, 12))}) for _ in range(300)]
+    flat = np.array([(r, i) for r, b in enumerate(baskets) for i in b], np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["r", "i"]) for x in np.array_split(flat, 23)]
+    got = Counter()
+    for b in module._gram(iter(batches)):
+        for a, z, n in zip(*(c.to_pylist() for c in b.columns)):
+            got[a, z] += n
+    assert got == Counter(p for b in baskets for p in combinations(b, 2))
+    assert list(module._gram(iter([]))) == []

@@ -1,8 +1,9 @@
 """Items that appear together, counted as a blocked Gram matrix.
 
 The records are the rows of a binary matrix X and the items its columns; the counts are the entries above the diagonal
-of X'X. Tasks hold blocks of records as sorted sparse rows and sum their products before anything is shuffled, so what
-travels are block sums and not the pairs of each record. Records wider than `wide` are cut into item blocks, and each
+of X'X. Tasks hold blocks of records as sorted sparse rows, multiply the columns of items that are popular in a block as
+a matrix and the others sparsely, and sum the products before anything is shuffled, so what travels are block sums and
+not the pairs of each record. Records wider than `wide` are cut into item blocks, and each
 pair of item blocks is a task's work of its own, so no task holds a whole huge record or its square.
 """
 
@@ -20,6 +21,10 @@ from wickerloom.session import materialise
 
 #: Pair codes that a task holds before it sums them.
 HELD_PAIRS = 4_000_000
+#: Rows (record, item) of a block of records, and records of one matrix within it.
+BLOCK_ROWS, MATRIX_ROWS = 200_000, 8192
+#: An item is a column of the matrix if it is in one of so many of the block's records, and so many columns at most.
+POPULAR, COLUMNS = 64, 512
 PAIRS = T.StructType([T.StructField("item_a", T.LongType()), T.StructField("item_b", T.LongType()), T.StructField("n", T.LongType())])
 
 
@@ -60,27 +65,62 @@ class _Sums:
             yield from self.batches(self.merged())
 
 
+def _product(record: np.ndarray, item: np.ndarray, sums: _Sums) -> Iterator[pa.RecordBatch]:
+    """The transposed product of a block of records, whose rows are sorted by record and item.
+
+    Items in many of the block's records are the columns of a binary matrix that is multiplied as a whole, so pairs of
+    popular items are sums before they are pairs. The other pairs come diagonal by diagonal: neighbours at distance k.
+    """
+    row = np.cumsum(np.append(0, record[1:] != record[:-1]))
+    items, at, n = np.unique(item, return_inverse=True, return_counts=True)
+    popular = np.flatnonzero(n * POPULAR >= row[-1] + 1)
+    if len(popular) > COLUMNS:
+        popular = np.sort(popular[np.argsort(-n[popular], kind="stable")[:COLUMNS]])
+    column = np.full(len(items), -1)
+    column[popular] = np.arange(len(popular))
+    column = column[at]
+    dense = column >= 0
+    if len(popular) > 1:
+        gram = np.zeros((len(popular), len(popular)), np.int64)
+        for first in range(0, row[-1] + 1, MATRIX_ROWS):
+            here = dense & (row >= first) & (row < first + MATRIX_ROWS)
+            x = np.zeros((min(MATRIX_ROWS, row[-1] + 1 - first), len(popular)), np.float32)
+            x[row[here] - first, column[here]] = 1
+            gram += (x.T @ x).astype(np.int64)  # below 2^24, so singles are exact
+        p, q = np.nonzero(np.triu(gram, 1))
+        yield from sums.add(items[popular[p]], items[popular[q]], gram[p, q])
+    else:
+        dense[:] = False
+    left = np.arange(len(row))
+    for k in range(1, len(row)):
+        left = left[left + k < len(row)]
+        left = left[row[left] == row[left + k]]  # a record that has no pair at k has none farther apart
+        if not len(left):
+            break
+        some = left[~(dense[left] & dense[left + k])]
+        yield from sums.add(item[some], item[some + k])
+
+
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Block sums of rows (record, item) that are sorted by both; a record may run over batches, up to the wide limit."""
-    sums, record, item = _Sums(), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def product(r: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # diagonal by diagonal: neighbours at distance k within a record
-        at = np.arange(len(r))
-        for k in range(1, len(r)):
-            at = at[at + k < len(r)]
-            at = at[r[at] == r[at + k]]  # a record that has no pair at k has none farther apart
-            if not len(at):
-                break
-            yield from sums.add(i[at], i[at + k])
+    sums, held, size = _Sums(), [], 0
+
+    def block(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        record, item = (np.concatenate(x) for x in zip(*held))
+        cut = len(record) if last else np.searchsorted(record, record[-1])
+        if cut:
+            yield from _product(record[:cut], item[:cut], sums)
+        held, size = [(record[cut:], item[cut:])], len(record) - cut
 
     for b in batches:
-        record, item = np.append(record, np.asarray(b.column(0))), np.append(item, np.asarray(b.column(1)))
-        if len(record):
-            cut = np.searchsorted(record, record[-1])
-            yield from product(record[:cut], item[:cut])
-            record, item = record[cut:], item[cut:]
-    yield from product(record, item)
+        if b.num_rows:
+            held.append((np.asarray(b.column(0)), np.asarray(b.column(1))))
+            size += b.num_rows
+            if size >= BLOCK_ROWS:
+                yield from block(False)
+    if size:
+        yield from block(True)
     yield from sums.rest()
 
 
