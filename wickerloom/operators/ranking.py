@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickerloom.operators.interactions import global_rank
-from wickerloom.session import materialise
 
 
 def popularity(train: DataFrame) -> DataFrame:
@@ -28,9 +27,9 @@ def popularity_topk(train: DataFrame, users: DataFrame, pop: DataFrame, k: int)
     is in the size of train plus k per user. The first ranks, which every user needs, are looked up in a table of bounded size.
     """
     n_items = pop.count()
-    ranked = materialise(train.select("user", "item").distinct().join(pop.select("item", "pop_rank"), "item").select("user", "pop_rank"), "seen")
-    sizes = ranked.groupBy("user").agg(F.count(F.lit(1)).alias("s"))
-    near = ranked.join(sizes, "user").filter(F.col("pop_rank") <= k + F.col("s")).groupBy("user").agg(F.first("s").alias("s"), F.collect_list("pop_rank").alias("seen"))
+    ranked = train.select("user", "item").distinct().join(pop.select("item", "pop_rank"), "item").select("user", "pop_rank")
+    # a user's distinct items, at most the catalogue's size
+    near = ranked.groupBy("user").agg(F.collect_list("pop_rank").alias("seen")).withColumn("s", F.size("seen")).withColumn("seen", F.filter("seen", lambda r: r <= k + F.col("s")))
     room = users.join(near, "user", "left").withColumn("last", F.least(F.lit(n_items), k + F.coalesce("s", F.lit(0))).cast("long"))
     ranks = F.when(F.col("last") > 0, F.sequence(F.lit(1).cast("long"), F.col("last"))).otherwise(F.array().cast("array<bigint>"))
     # array_except keeps the order
