@@ -188,3 +188,68 @@ def test_split_of_long_and_short_histories(spark):
         if len(mine) > 2:
             want[mine[-1][1]], want[mine[-2][1]] = "test", "valid"
         assert {i: s for (x, i), s in got.items() if x == u} == want
+
+
+def best_by_loop(queries, vectors, k):
+    """{(query, rank, vector, score)} with every pair scored; scores rounded to floats, ties by vector."""
+    import numpy as np
+
+    out = set()
+    for q, a in queries:
+        scores = [(-float(np.float32(sum(float(np.float32(x)) * float(np.float32(y)) for x, y in zip(a, b)))), v) for v, b in vectors]
+        out |= {(q, r + 1, v, -s) for r, (s, v) in enumerate(sorted(scores)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("shape", ["long tail", "one length", "few values"])
+def test_search_by_length_equals_every_pair(spark, monkeypatch, shape):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(400, 6)), rng.normal(size=(50, 6))
+    if shape == "long tail":
+        x /= (1 + np.arange(400))[:, None]
+    elif shape == "one length":
+        x /= np.sqrt((x * x).sum(1))[:, None]
+    else:  # many ties, also between vectors of one length whose squares are summed in another order
+        x, q = rng.integers(-1, 2, size=(400, 6)) * 0.1, rng.integers(-1, 2, size=(50, 6)) * 1.0
+    q[3] = 0
+    x[17] = 0
+    vectors = [(int(v), x[v].tolist()) for v in rng.permutation(400)]
+    queries = [(k, a.tolist()) for k, a in enumerate(q)]
+    v = spark.createDataFrame([*vectors, (400, None), (401, [float("nan")] * 6)], "vec_id int, embedding array<float>")
+    d = spark.createDataFrame([*queries, (50, None)], "query_id int, embedding array<float>")
+    want = best_by_loop(queries, vectors, 7)
+    for size, first in ((V.LENGTH_BLOCK_BYTES, V.FIRST_ROWS), (150 * 24, 5)):  # in one block and in three
+        monkeypatch.setattr(V, "LENGTH_BLOCK_BYTES", size)
+        monkeypatch.setattr(V, "FIRST_ROWS", first)
+        assert {tuple(r) for r in V.topk_by_length(d, v, 7).collect()} == want
+    assert V.topk_by_length(d, v.filter("false"), 7).collect() == [] and V.topk_by_length(d.filter("false"), v, 7).collect() == []
+    assert {tuple(r) for r in V.topk_by_length(d, v.filter("vec_id < 3"), 7).collect()} == best_by_loop(queries, [p for p in vectors if p[0] < 3], 7)
+
+
+def test_search_by_length_ends_before_the_long_tail(spark, monkeypatch):
+    v = spark.createDataFrame([(v, [1.0 / (1 + v), 0.0]) for v in range(2000)], "vec_id int, embedding array<float>")
+    q = spark.createDataFrame([(k, [1.0 + k, 1.0]) for k in range(5)], "query_id int, embedding array<float>")
+    blocks, real = [], V._longest_first
+    monkeypatch.setattr(V, "_longest_first", lambda queries, block, *rest: blocks.append(block.num_rows) or real(queries, block, *rest))
+    monkeypatch.setattr(V, "LENGTH_BLOCK_BYTES", 100 * 8)
+    assert {(r.query_id, r.rank, r.vec_id) for r in V.topk_by_length(q, v, 3).collect()} == {(k, r + 1, r) for k in range(5) for r in range(3)}
+    assert blocks == [101]
+
+
+def test_factorised_lists_are_whole_without_scoring_every_pair(spark, tmp_path, monkeypatch):
+    from pyspark.ml.recommendation import ALSModel
+
+    from wickerloom.plans.documents import factorised_topk
+
+    rng, seen = random.Random(4), []
+    rows = [(u, i) for u in range(40) for i in {*rng.sample(range(60), 4), rng.choice([0, 1, 2])}] + [(-1, 5), (0, 1), (0, 1)]
+    spark.createDataFrame(rows, "user_indices int, item_indices int").write.parquet(f"{tmp_path}/train.parquet")
+    monkeypatch.setattr(ALSModel, "recommendForAllUsers", lambda *a: pytest.fail("every user is scored with every item"))
+    real = V.topk_by_length
+    monkeypatch.setattr(V, "topk_by_length", lambda users, items, k: seen.extend(([tuple(r) for r in users.collect()], [tuple(r) for r in items.collect()])) or real(users, items, k))
+    got = factorised_topk(spark, str(tmp_path))
+    assert got.dtypes == [("user_indices", "int"), ("rank", "int"), ("item_indices", "int"), ("rating", "float")]
+    assert {tuple(r) for r in got.select("user_indices", "rank", "item_indices", "rating").collect()} == best_by_loop(*seen, 10)
+    assert got.count() == 400 and {u for u, _ in seen[0]} == {*range(40)}

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickerloom.operators.interactions import global_rank
 from wickerloom.operators.ranking import top_per_group
+from wickerloom.session import materialise
 
 #: Bytes of the query vectors that one block holds; a block travels to every partition of the other side.
 BLOCK_BYTES = 64 << 20
@@ -117,6 +119,107 @@ def _block_topk(spark, block: pa.Table, vectors: DataFrame, k: int) -> DataFrame
     return rows.mapInArrow(search, "query_id long, vec_id long, score double")
 
 
+#: Bytes of the vectors, as floats, that one block of topk_by_length holds; a block travels to every task.
+LENGTH_BLOCK_BYTES = 16 << 20
+#: Vectors of a block that are scored first; each time after four times as many, ROW_BLOCK at most.
+FIRST_ROWS = 256
+#: Scores that one product of topk_by_length makes, as ties may leave all of them to be sorted.
+PAIRS = 1_000_000
+#: Part of two lengths' product that bounds what rounding does to a score and to the bound of the scores to come.
+ROUNDING = 1e-6
+
+
+def topk_by_length(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): exact inner-product top k of each query over vectors of floats, where both sides are large.
+
+    Scores are summed in doubles and rounded to floats; ties by vec_id. No score exceeds the product of both lengths, so
+    vectors are scored longest first, and a query is done once its length times the next vector's is below its k-th score.
+    Vectors travel in blocks of LENGTH_BLOCK_BYTES; queries that a block leaves open go on to the next, to the last if need be.
+    """
+    floats = F.col("embedding").cast("array<float>").alias("embedding")
+    rows = vectors.filter("embedding is not null").select("vec_id", floats).withColumn("__l", norm(F.col("embedding")))
+    placed = global_rank(rows.filter(~F.isnan("__l") & (F.col("__l") < float("inf"))), F.desc("__l"), "vec_id", name="__place")
+    size = placed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    step = max(k, LENGTH_BLOCK_BYTES // (4 * (size.d or 1)))
+    none = [F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<float>").alias("scores")]
+    going, out = queries.filter("embedding is not null").select("query_id", floats, *none), None
+    for start in range(0, max(1, size.n), step):
+        last = start + step >= size.n
+        # one row more tells the length that comes next
+        block = placed.filter((F.col("__place") > start) & (F.col("__place") <= start + step + 1)).select("vec_id", "embedding", "__place")
+        state = _longest_first(going, block.toArrow(), k, last)
+        if not last:
+            state = materialise(state, "topk")
+        found = state.filter("embedding is null").select("query_id", "ids", "scores")
+        out = found if out is None else out.unionByName(found)
+        going = state.filter("embedding is not null")
+        if not last and going.isEmpty():
+            break
+    best = out.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("place", "x"))
+    return best.select("query_id", (F.col("place") + 1).cast("long").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+
+
+def _padded(column: pa.Array, k: int, fill: np.ndarray) -> np.ndarray:
+    """Rows of a list column of k values at most, filled up."""
+    out = np.full((len(column), k), fill)
+    out[np.arange(k) < np.asarray(column.value_lengths())[:, None]] = np.asarray(column.flatten())
+    return out
+
+
+def _longest_first(queries: DataFrame, block: pa.Table, k: int, last: bool) -> DataFrame:
+    """queries with their best of the block and of those before it; the embedding is null where no later vector can be among them."""
+    order = np.argsort(np.asarray(block.column(2)))
+    own, x = np.asarray(block.column(0), np.int64)[order], as_matrix(block.column(1))[order]
+    length = np.append(np.sqrt((x * x).sum(1)), 0.0)
+    held = len(own) if last else len(own) - 1
+    shared = queries.sparkSession.sparkContext.broadcast((own[:held], x[:held].astype(np.float32), length))
+
+    def fold(q: np.ndarray, reach: np.ndarray, y: np.ndarray, ids: np.ndarray, best_score: np.ndarray, best_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The queries whose best change, and these."""
+        score, cut = q @ y.T, best_score[:, -1].astype(np.float64)
+        if len(ids) > k and np.isneginf(cut).any():
+            cut = np.maximum(cut, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+        r, c = np.nonzero(score >= (cut - ROUNDING * reach)[:, None])
+        # summed again in one order, as a product's last bit depends on where in the matrix it stands
+        exact = np.zeros(len(r))
+        for d in range(q.shape[1]):
+            exact += q[r, d] * y[c, d]
+        rows, r = np.unique(r, return_inverse=True)
+        r = np.concatenate([r, np.repeat(np.arange(len(rows)), k)])
+        s, i = np.concatenate([exact.astype(np.float32), best_score[rows].ravel()]), np.concatenate([ids[c], best_id[rows].ravel()])
+        order = np.lexsort((i, -s, r))
+        first = np.searchsorted(r[order], np.arange(len(rows)))
+        kept = order[(first[:, None] + np.arange(k)).ravel()]  # each has k at least, as its earlier best are among them
+        return rows, s[kept].reshape(-1, k), i[kept].reshape(-1, k)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, length = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(a, ROW_BLOCK)
+                q = as_matrix(part.column(1))
+                reach = np.sqrt((q * q).sum(1))
+                best_id, best_score = _padded(part.column(2), k, np.iinfo(np.int64).max), _padded(part.column(3), k, np.float32(-np.inf))
+                live, at, width = np.arange(len(q)), 0, FIRST_ROWS
+                while at < len(ids) and len(live):
+                    y, own = x[at : at + width].astype(np.float64), ids[at : at + width]
+                    for f in range(0, len(live), PAIRS // width):
+                        r = live[f : f + PAIRS // width]
+                        rows, s, i = fold(q[r], reach[r] * length[at], y, own, best_score[r], best_id[r])
+                        best_score[r[rows]], best_id[r[rows]] = s, i
+                    at += len(own)
+                    live = live[~(reach[live] * length[at] * (1 + ROUNDING) < best_score[live, -1])]
+                    width = min(4 * width, ROW_BLOCK)
+                done = np.ones(len(q), bool)
+                done[[] if last else live] = False
+                some = np.isfinite(best_score)
+                offsets = pa.array(np.append(0, np.cumsum(some.sum(1))).astype(np.int32))
+                vectors = part.column(1).take(pa.array(np.arange(len(q)), mask=done))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors, pa.ListArray.from_arrays(offsets, pa.array(best_id[some])), pa.ListArray.from_arrays(offsets, pa.array(best_score[some]))], ["query_id", "embedding", "ids", "scores"])
+
+    return queries.mapInArrow(search, queries.schema)
+
+
 def topk_per_candidate(queries: DataFrame, candidates: DataFrame, vectors: DataFrame, group: str, k: int) -> DataFrame:
     """(query_id, group, rank, vec_id, score): of each query's candidate groups, the k best vectors of each.
 

@@ -112,7 +112,10 @@ def factorised_topk(spark, sf_dir):
 
     rows = table(spark, sf_dir, "train").filter("user_indices >= 0").distinct().withColumn("seen", F.lit(1.0))
     model = ALS(rank=16, maxIter=5, implicitPrefs=True, userCol="user_indices", itemCol="item_indices", ratingCol="seen", seed=1).fit(rows)
-    return model.recommendForAllUsers(K).select("user_indices", F.posexplode("recommendations").alias("pos", "r")).select("user_indices", (F.col("pos") + 1).alias("rank"), "r.item_indices", "r.rating")
+    # recommendForAllUsers scores every user with every item
+    users, items = (f.select(F.col("id").alias(name), F.col("features").alias("embedding")) for f, name in ((model.userFactors, "query_id"), (model.itemFactors, "vec_id")))
+    top = V.topk_by_length(users, items, K)
+    return top.select(F.col("query_id").alias("user_indices"), F.col("rank").cast("int").alias("rank"), F.col("vec_id").cast("int").alias("item_indices"), F.col("score").alias("rating"))
 
 
 @query("met_06_metric_records", POP + """
